@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from assaylake.llm import mixing
+from assaylake.llm import mixing, secrets
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
+    "op1_secrets": secrets.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
