@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from assaylake.llm import mixing, secrets
+from assaylake.llm import mixing, secrets, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
     "op1_secrets": secrets.ORACLE,
+    "op8_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
