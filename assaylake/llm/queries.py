@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from assaylake.llm import mixing, secrets, warc
+from assaylake.llm import mixing, secrets, tokens, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op5_tokens": tokens.op5_tokens,
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
 }
