@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from assaylake.llm import mixing, secrets, tokens, warc
+from assaylake.llm import minhash, mixing, secrets, tokens, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op3_minhash": minhash.op3_minhash,
     "op5_tokens": tokens.op5_tokens,
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
@@ -13,6 +14,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_secrets": secrets.ORACLE,
+    "op3_minhash": minhash.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
