@@ -79,7 +79,7 @@ class Encoder:
             except KeyError:
                 if len(self.memo) > MEMO:
                     self.memo.clear()
-                new = list(set(parts) - self.memo.keys())
+                new = [w for w in set(parts) if w not in self.memo]
                 for word, x in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
                     self.memo[word] = np.array(x.ids, self.kind).tobytes()
                 out.append(b"".join(map(self.memo.__getitem__, parts)))
