@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from assaylake.llm import minhash, mixing, secrets, tokens, warc
+from assaylake.llm import minhash, mixing, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op3_minhash": minhash.op3_minhash,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_tokens": tokens.op5_tokens,
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
