@@ -44,8 +44,8 @@ PACK_HEAD, RECIPE_HEAD, RECIPE_CHUNK = struct.Struct("<16sI"), struct.Struct("<q
 NO_ID = -(2**63)
 #: The rolling hash sees WINDOW ids; a chunk has LEAST to MOST ids and ends about every 2^CUT_BITS ids beyond LEAST.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 4096
-#: Words that a worker keeps with their ids, and documents whose ids are hashed together.
-MEMO, GROUP = 300_000, 256
+#: Words that a worker keeps with their ids, the longest of them, and documents whose ids are hashed together.
+MEMO, LONG, GROUP = 1_000_000, 64, 256
 POOL_SCHEMA = "digest binary, n_ids bigint, crc bigint"
 RECIPE_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, digests array<binary>, lengths array<bigint>"
 
@@ -71,18 +71,22 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
+        """The packed ids of each text; texts are taken together to look up their new words at once."""
+        memo = self.memo
+        split = []
         for text in texts:
-            parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, parts)))
-            except KeyError:
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                new = [w for w in set(parts) if w not in self.memo]
-                for word, x in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.memo[word] = np.array(x.ids, self.kind).tobytes()
-                out.append(b"".join(map(self.memo.__getitem__, parts)))
+            # Case folding is the normalizer's own; done before, it spares entries. Special tokens keep their case.
+            if text.isascii() and "<|" not in text:
+                text = text.lower()
+            split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        if len(memo) > MEMO:
+            memo.clear()
+        new = list(set().union(*split).difference(memo))
+        memo.update(zip(new, (np.array(x.ids, self.kind).tobytes() for x in self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        out = [b"".join(map(memo.__getitem__, parts)) for parts in split]
+        for word in new:
+            if len(word) > LONG:
+                del memo[word]
         return out
 
 
