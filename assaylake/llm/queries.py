@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from assaylake.llm import minhash, mixing, secrets, tokens, toxicity, warc
+from assaylake.llm import langid, minhash, mixing, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_langid": langid.op2_langid,
     "op3_minhash": minhash.op3_minhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_tokens": tokens.op5_tokens,
