@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assaylake.llm import langid, minhash, mixing, secrets, tokens, toxicity, warc
+from assaylake.llm import decontam, langid, minhash, mixing, quality, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_minhash": minhash.op3_minhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_tokens": tokens.op5_tokens,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
