@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assaylake.llm import decontam, langid, minhash, mixing, quality, secrets, tokens, toxicity, warc
+from assaylake.llm import decontam, fingerprint, langid, minhash, mixing, quality, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash": minhash.op3_minhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_tokens": tokens.op5_tokens,
+    "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
