@@ -9,7 +9,8 @@ A key may hold very many classes, so not all its pairs are made:
 1. Each class is compared with the smallest of its key; the pairs whose signatures are near enough are confirmed on the full
    sets, and the confirmed links give first components.
 2. In keys that still hold more than one component, the classes are dealt into blocks of about BLOCK, and blocks are compared
-   in pairs. Pairs of different components with near signatures are confirmed too. Pairs within a component add nothing.
+   in pairs. Classes with a near signature in another component are suspects. The shingles that one suspect alone has bound
+   what it can share; pairs of suspects that the bound allows are confirmed too. Pairs within a component add nothing.
 
 Cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a text with fewer words than
 the width has one shingle, all its words; rows that repeat a doc_id get a row each, told apart by their texts, and classes with
@@ -73,22 +74,40 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of blocks, the pairs of classes of different components whose signatures differ in at most LARGEST."""
-    unpack = lambda row: (np.array([x["node"] for x in row]), np.array([x["component"] for x in row]), np.frombuffer(b"".join(x["signature"] for x in row), "<u2").reshape(-1, COMPONENTS))
+def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for part, texts in blocks(batches):
+        sets = shingle_sets(texts, width)
+        nodes = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], names=["node", "shingle"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Of pairs of blocks, the pairs of classes of different components that may be linked; or only the classes in such pairs.
+
+    Signatures must differ in at most LARGEST components. Where `shared` of a class is known, the number of its shingles that
+    another class has, no more than the lesser of two can be common to both, and that must be enough for the similarity.
+    """
     for batch in batches:
         us, vs = [], []
         for left, right in zip(batch.column(0), batch.column(1), strict=True):
-            a, ca, sa = unpack(left.as_py())
-            b, cb, sb = unpack(right.as_py())
+            (a, ca, na, ma, sa), (b, cb, nb, mb, sb) = (_members(x) for x in (left.values, right.values))
             for k in range(len(a)):
-                apart = np.flatnonzero(cb != ca[k])
-                apart = apart[(sb[apart] != sa[k]).sum(axis=1) <= LARGEST]
-                us.append(np.full(len(apart), a[k]))
-                vs.append(b[apart])
+                most = np.minimum(ma[k], mb)
+                at = np.flatnonzero((cb != ca[k]) & (100 * most >= percent * (na[k] + nb - most)))
+                at = at[(sb[at] != sa[k]).sum(axis=1) <= LARGEST]
+                us.append(np.full(len(at), a[k]))
+                vs.append(b[at])
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+        if pairs:
+            found = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([u, v])), pa.int64())], names=["node"])
+
+
+def _members(row: pa.StructArray) -> tuple[np.ndarray, ...]:
+    node, component, n, shared = (row.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n_shingles", "shared"))
+    return node, component, n, shared, np.frombuffer(b"".join(row.field("signature").to_pylist()), "<u2").reshape(-1, COMPONENTS)
 
 
 def _keys() -> list:
@@ -109,13 +128,30 @@ def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: in
     return written(spark, both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(lambda x: _confirm(x, percent), "u bigint, v bigint"), "near-links")
 
 
+def _met(spark: SparkSession, keyed: DataFrame, components: DataFrame, classes: DataFrame, alone: DataFrame | None) -> DataFrame:
+    """Pairs of blocks (l, r) of the classes in keys that hold more than one component; of the suspects only, once known."""
+    known = classes.select("node", "n_shingles", "signature").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if alone is None:
+        known = known.withColumn("shared", F.col("n_shingles"))
+    else:
+        known = known.join(alone, "node").withColumn("shared", F.col("n_shingles") - F.col("alone")).drop("alone")
+    held = keyed.join(known.select("node", "component"), "node")
+    open_ = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    open_ = open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = keyed.join(open_, "key").join(known, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n_shingles", "shared", "signature")).alias("members"))  # about BLOCK at most
+    dealt = written(spark, dealt, "near-blocks")
+    left = dealt.select("key", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("members").alias("l"))
+    return left.join(dealt.select("key", "block", F.col("members").alias("r")), ["key", "block"]).select("l", "r")
+
+
 def near_groups(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(spark, docs.mapInArrow(lambda x: _sketch(x, width), "doc_id bigint, n_shingles bigint, set_key binary, signature binary"), "near-sketches")
-    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).filter("node IS NOT NULL")
     classes = written(spark, classes, "near-classes")
-    signatures = classes.filter("node IS NOT NULL").select("node", "signature")
+    signatures = classes.select("node", "signature")
 
     keyed = signatures.select("node", F.explode(F.array(*_keys())).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
@@ -127,15 +163,13 @@ def near_groups(spark: SparkSession, docs: DataFrame, width: int = 5, percent: i
     links = _confirmed(spark, docs, pairs, width, percent)
     first = written(spark, components(spark, links), "near-components")
 
-    held = keyed.select("key", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    open_ = open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = held.join(open_, "key").join(signatures, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "signature")).alias("members"))  # about BLOCK at most
-    dealt = written(spark, dealt, "near-blocks")
-    left = dealt.select("key", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("members").alias("l"))
-    met = left.join(dealt.select("key", "block", F.col("members").alias("r")), ["key", "block"]).select("l", "r")
-    more = met.mapInArrow(_near, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
+    keyed = keyed.select("key", "node")
+    suspects = written(spark, _met(spark, keyed, first, classes, None).mapInArrow(lambda x: _near(x, percent, False), "node bigint").distinct(), "near-suspects")
+    # A shingle of one suspect alone is in no partner of it: what is left bounds every overlap.
+    shingles = docs.join(suspects.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lambda x: _shingle_rows(x, width), "node bigint, shingle bigint")
+    alone = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    alone = written(spark, suspects.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone")), "near-alone")
+    more = _met(spark, keyed, first, classes, alone).mapInArrow(lambda x: _near(x, percent, True), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
     more = written(spark, more, "near-more")
     links = links.unionByName(_confirmed(spark, docs, more, width, percent))
     final = components(spark, links)
