@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from assaylake.llm.common import n_words, ranged, running_sums, text_or_empty, unit_bits
+from assaylake.llm.common import n_words, ranged, running_sums, text_or_empty, unit_bits, written
 
 #: Bits of the random number, and of the part by which the order is cut into bins.
 BITS, BIN_BITS = 52, 12
@@ -46,7 +46,7 @@ def targets(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...] = (1
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
     """Of each row of docs(doc_id, source, text): doc_id, source, size, source_size, target, copies, taken."""
-    sizes = docs.select("doc_id", "source", n_words(text_or_empty()).alias("size"))
+    sizes = written(spark, docs.select("doc_id", "source", n_words(text_or_empty()).alias("size")), "mix-sizes")  # texts are read once
     per = targets(spark, sizes, weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     per = per.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -76,6 +76,17 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """docs, each row as many times as the mix takes it. Rows that agree in doc_id, source and size are taken alike."""
+    keys = ["doc_id", "source", "size"]
+    copies = mix(spark, docs, weights, most).groupBy(*keys).agg(F.min("copies").alias("copies")).filter("copies > 0")
+    copies = copies.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("copies").alias("_copies"))
+    names = docs.columns
+    rows = docs.withColumn("_words", n_words(text_or_empty()))
+    met = rows["doc_id"].eqNullSafe(copies["_doc_id"]) & rows["source"].eqNullSafe(copies["_source"]) & (rows["_words"] == copies["_size"])
+    return rows.join(copies, met).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{n}`") for n in names))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
