@@ -179,6 +179,13 @@ def near_groups(spark: SparkSession, docs: DataFrame, width: int = 5, percent: i
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay: one document of each group. Of rows that repeat a doc_id one stays; without a doc_id all do."""
+    stay = near_groups(spark, docs, width, percent).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
+    named = docs.filter("doc_id IS NOT NULL")
+    return named.join(stay, named["doc_id"] == stay["_stay"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
 

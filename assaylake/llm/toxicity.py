@@ -198,6 +198,19 @@ def scores(docs: DataFrame, field: Field, with_spans: bool = False) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: _score(x, shared.value, with_spans), kind)
 
 
+def _clean(batches: Iterator[pa.RecordBatch], field: Field, text: int) -> Iterator[pa.RecordBatch]:
+    for part, texts in blocks(batches, text):
+        features, _, _, first, begins = tokenize(texts)
+        score = logistic(summary(field.tokens(features, begins), first) @ field.score[:-1] + field.score[-1])
+        yield part.filter(pa.array(score < TOXIC))
+
+
+def clean(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows of docs whose score is below TOXIC, as they are."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index("text")
+    return docs.mapInArrow(lambda x: _clean(x, shared.value, at), docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(3, 1))
