@@ -45,7 +45,7 @@ NO_ID = -(2**63)
 #: The rolling hash sees WINDOW ids; a chunk has LEAST to MOST ids and ends about every 2^CUT_BITS ids beyond LEAST.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 4096
 #: Words that a worker keeps with their ids, the longest of them, and documents whose ids are hashed together.
-MEMO, LONG, GROUP = 1_000_000, 64, 256
+MEMO, LONG, GROUP = 900_000, 64, 256
 POOL_SCHEMA = "digest binary, n_ids bigint, crc bigint"
 RECIPE_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, digests array<binary>, lengths array<bigint>"
 
@@ -82,9 +82,13 @@ class Encoder:
         if len(memo) > MEMO:
             memo.clear()
         new = list(set().union(*split).difference(memo))
-        memo.update(zip(new, (np.array(x.ids, self.kind).tobytes() for x in self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        # A full stop or comma after a letter is always a part of its own.
+        ending = [w for w in new if w[-1:] in (".", ",") and w[-2:-1].isalpha()]
+        base = list({*new, *(w[:-1] for w in ending), ".", ","}.difference(ending, memo))
+        memo.update(zip(base, (np.array(x.ids, self.kind).tobytes() for x in self.model.encode_batch_fast(base, add_special_tokens=False)), strict=True))
+        memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in ending)
         out = [b"".join(map(memo.__getitem__, parts)) for parts in split]
-        for word in new:
+        for word in {*new, *base}:
             if len(word) > LONG:
                 del memo[word]
         return out
