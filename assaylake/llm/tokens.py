@@ -20,6 +20,7 @@ an empty table gives manifests without files; columns other than doc_id and text
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import struct
 import uuid
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from assaylake.llm.common import ranged, running_sums, work_path, written
+from assaylake.llm.common import discard, partitions, ranged, running_sums, work_path, written
 
 FORMAT = "assaylake_tokens"
 PACK_MAGIC, RECIPE_MAGIC = b"ALPACK1\n", b"ALRECP1\n"
@@ -130,11 +131,24 @@ def cuts(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
     return out
 
 
-STAGED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64())), ("payloads", pa.list_(pa.binary()))])
+STAGED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64())), ("file", pa.string()), ("offsets", pa.list_(pa.int64()))])
 
 
-def _stage(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _stage(batches: Iterator[pa.RecordBatch], path: str, end_id: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Encode, and put the chunks that are new to the task into a file of its own; rows say where each chunk lies.
+
+    Rows of a lost or repeated attempt never reach the table, so nothing refers to its file.
+    """
     enc = encoder(path)
+    store, at = fs.FileSystem.from_uri(folder)
+    store.create_dir(at, recursive=True)
+    file = f"{uuid.uuid4().hex}.bin"
+    with store.open_output_stream(f"{at}/{file}", compression=None) as out:
+        yield from _chunks(batches, enc, end_id, file, out)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], enc: Encoder, end_id: int, file: str, out) -> Iterator[pa.RecordBatch]:
+    written_to = 0
     end, width = np.array([end_id], enc.kind).tobytes(), enc.width
     seen: set[bytes] = set()  # chunks that this task has handed on
     for batch in batches:
@@ -145,18 +159,23 @@ def _stage(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             rows: list[tuple] = []
             for k, own in enumerate(cuts(np.frombuffer(b"".join(packed), enc.kind), starts)):
-                data, begin, digests, sizes, payloads = packed[k], int(starts[k]), [], [], []
+                data, begin, digests, sizes, offsets = packed[k], int(starts[k]), [], [], []
                 last = begin
                 for stop in own:
                     piece = data[(last - begin) * width : (stop - begin) * width]
                     digest = hashlib.blake2b(piece, digest_size=16).digest()
                     digests.append(digest)
                     sizes.append(stop - last)
-                    payloads.append(None if digest in seen else piece)
-                    if len(seen) < 1_000_000:  # beyond, a chunk may be handed on again; the pool still holds it once
-                        seen.add(digest)
+                    if digest in seen:
+                        offsets.append(None)
+                    else:
+                        offsets.append(written_to)
+                        out.write(piece)
+                        written_to += len(piece)
+                        if len(seen) < 1_000_000:  # beyond, a chunk may be put aside again; the packs still hold it once
+                            seen.add(digest)
                     last = stop
-                rows.append((ids_[lo + k], int(lengths[k]), digests, sizes, payloads))
+                rows.append((ids_[lo + k], int(lengths[k]), digests, sizes, file, offsets))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STAGED, strict=True)], schema=STAGED)
 
 
@@ -179,12 +198,12 @@ def _root(digests: list[bytes]) -> bytes:
 
 class StoreWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.path, self.table, self.width = options["path"].rstrip("/"), options["table"], int(options["width"])
+        self.path, self.table, self.width, self.chunks = options["path"].rstrip("/"), options["table"], int(options["width"]), options.get("chunks")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, folder = fs.FileSystem.from_uri(self.path)
         store.create_dir(folder, recursive=True)
-        files, out = [], None
+        files, out, source, opened = [], None, None, None
 
         def close():
             if out is not None:
@@ -203,7 +222,10 @@ class StoreWriter(DataSourceArrowWriter):
                     out.write(data)
                     check.update(data)
                 if self.table == "packs":
-                    data = PACK_HEAD.pack(row["digest"], len(row["payload"]) // self.width) + row["payload"]
+                    if opened != row["file"]:  # rows come by file and offset
+                        source, opened = _reader(self.chunks, row["file"]), row["file"]
+                    source.seek(row["offset"])
+                    data = PACK_HEAD.pack(row["digest"], row["length"]) + source.read(row["length"] * self.width)
                 else:
                     own = row["digests"]
                     doc_id = NO_ID if row["doc_id"] is None else row["doc_id"]
@@ -228,6 +250,11 @@ class StoreWriter(DataSourceArrowWriter):
             store.delete_file(f"{folder}/{f['name']}")
 
 
+def _reader(folder: str, file: str) -> io.BufferedReader:
+    store, at = fs.FileSystem.from_uri(folder)
+    return io.BufferedReader(store.open_input_file(f"{at}/{file}"), 1 << 20)
+
+
 class StoreReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table = options["path"].rstrip("/"), options["table"]
@@ -346,11 +373,16 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str,
     """Write the store of docs(doc_id, text) to a folder of the shared store."""
     spark.dataSource.register(TokenStore)
     width = encoder(tokenizer).width
-    stage = written(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: _stage(x, tokenizer, end_id), "doc_id bigint, n_tokens bigint, digests array<binary>, lengths array<bigint>, payloads array<binary>"), "tokens-stage")
-    chunks = stage.select(F.explode(F.arrays_zip("digests", "payloads")).alias("c")).select("c.digests", "c.payloads").filter("payloads IS NOT NULL")
-    pool = chunks.select(F.col("digests").alias("digest"), F.col("payloads").alias("payload")).dropDuplicates(["digest"])
+    aside = work_path(spark, "tokens-chunks")
+    stage = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: _stage(x, tokenizer, end_id, aside), "doc_id bigint, n_tokens bigint, digests array<binary>, lengths array<bigint>, file string, offsets array<bigint>")
+    stage = written(spark, stage, "tokens-stage")
+    # One place of each chunk is kept. Only places are shuffled; the chunks themselves go from file to file.
+    places = stage.select("file", F.explode(F.arrays_zip("digests", "lengths", "offsets")).alias("c")).filter("c.offsets IS NOT NULL")
+    places = places.groupBy(F.col("c.digests").alias("digest")).agg(F.min(F.struct("file", F.col("c.offsets").alias("offset"), F.col("c.lengths").alias("length"))).alias("at"))
+    places = places.select("digest", "at.*").repartition(partitions(spark), "file").sortWithinPartitions("file", "offset")
     store = {"path": path, "width": width}
-    pool.write.format(FORMAT).options(**store, table="packs").mode("append").save()
+    places.write.format(FORMAT).options(**store, table="packs", chunks=aside).mode("append").save()
+    discard(spark, aside)
     order = [F.col("doc_id"), F.col("digests")]
     recipes = ranged(spark, stage.select("doc_id", "n_tokens", "digests", "lengths"), [F.col("doc_id")], "tokens-recipes")
     recipes = running_sums(recipes, order, {"start": F.col("n_tokens")}, before=True)
