@@ -8,7 +8,7 @@ undoes that.
 
 Cases: a null or empty text, or one without words, has an empty fingerprint: likeness 1 to another such and 0 to any other;
 a text with fewer words than the width has one shingle. Rows that repeat a doc_id get a row each; as the next document of
-others, the smallest of their texts counts. The last document's next is the first; a lone document is its own next. A null
+others, the one with the smallest beginning counts. The last document's next is the first; a lone document is its own next. A null
 doc_id comes first. An empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from assaylake.llm.common import ranged, text_or_empty, words
+from assaylake.llm.common import ranged, text_or_empty, words, written
 
 BINS, B, WIDTH = 128, 8, 5
 DIGITS = B // 4
@@ -75,38 +75,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(estimate)
 
 
-def neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """For each distinct doc_id: the one before it, and a quarter of that one's greatest length. The first's is the last.
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """For each row of docs(doc_id, text): doc_id, n (code points), hash of the text, packed fingerprint."""
+    text = text_or_empty()
+    return docs.select("doc_id", F.length(text).cast("long").alias("n"), F.xxhash64(text).alias("text_hash"), packed(bins(text, width)).alias("fingerprint"))
+
 
-    Ids and lengths alone are put in order, in range partitions; between partitions, their first and last rows are enough.
+def neighbours(spark: SparkSession, ids: DataFrame) -> DataFrame:
+    """For each distinct doc_id of ids(doc_id, n): the one before it, and a quarter of that one's greatest length. The first's is the last.
+
+    Ids and lengths alone are put in order, in range partitions; between partitions, their last rows are enough.
     """
-    ids = docs.select("doc_id", F.length(text_or_empty()).cast("long").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
     order = F.col("doc_id").asc_nulls_first()
-    ids = ranged(spark, ids, [order], "fingerprint-ids").withColumn("row", F.struct("doc_id", "n"))
-    inside = W.partitionBy("pid").orderBy(order)
-    ids = ids.withColumn("before", F.lag("row").over(inside))
+    ids = ranged(spark, ids.groupBy("doc_id").agg(F.max("n").alias("n")), [order], "fingerprint-ids").withColumn("row", F.struct("doc_id", "n"))
+    ids = ids.withColumn("before", F.lag("row").over(W.partitionBy("pid").orderBy(order)))
     ends = ids.groupBy("pid").agg(F.max_by("row", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("last"))  # a row for each partition
-    ends = ends.withColumn("ended", F.coalesce(F.lag("last").over(W.orderBy("pid")), F.last("last").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))).select("pid", "ended")
+    every = W.orderBy("pid")
+    ends = ends.select("pid", F.coalesce(F.lag("last").over(every), F.last("last").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("ended"))
     ids = ids.join(F.broadcast(ends), "pid").withColumn("before", F.coalesce("before", "ended"))
-    return ids.select(F.col("doc_id").alias("id"), F.col("before.doc_id").alias("before_id"), F.floor(F.col("before.n") / 4).alias("quarter"))
+    return ids.select("doc_id", F.col("before.doc_id").alias("before_id"), F.floor(F.col("before.n") / 4).cast("int").alias("quarter"))
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs(doc_id, text) with their packed fingerprints."""
-    return docs.select("doc_id", text_or_empty().alias("text")).withColumn("fingerprint", packed(bins(F.col("text"), width)))
+def _key(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    before = neighbours(spark, docs)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = docs.select(key.alias("key"), "doc_id", text_or_empty().alias("text"))
-    before = before.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("key"), F.coalesce(F.col("before_id").cast("string"), F.lit("null")).alias("of"), "quarter")
-    # What a document lends to the one before it: its first characters, no more than are asked for, and its fingerprint.
-    lent = rows.join(before, "key").select("of", F.struct("text", "quarter").alias("x"))
-    lent = lent.groupBy("of").agg(F.min("x").alias("x")).select(F.col("of").alias("key"), F.expr("substring(x.text, 1, cast(x.quarter as int))").alias("head"), packed(bins(F.col("x.text"))).alias("next_fingerprint"))
-    both = rows.join(lent, "key").withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
-    edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.expr("substring(head, 1, cut)"))
-    both = both.select("doc_id", "n_chars", "next_fingerprint", "text", edited.alias("edited"))
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(bins(F.col("text"))).alias("fingerprint"), packed(bins(F.col("edited"))).alias("edited_fingerprint"), "next_fingerprint")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = written(spark, fingerprints(docs), "fingerprints")
+    # A doc_id has one text, or as many as rows repeat it with.
+    of_text = own.groupBy(_key("doc_id").alias("key")).agg(F.map_from_entries(F.collect_set(F.struct("text_hash", "fingerprint"))).alias("prints"))
+    before = neighbours(spark, own).select(_key("doc_id").alias("key"), _key("before_id").alias("of"), "quarter")
+    # Texts are shuffled once, by key; all else joins them there. The key alone names the row, so that both uses share it.
+    rows = docs.select(_key("doc_id").alias("key"), text_or_empty().alias("text"))
+    lent = rows.join(before, "key").join(of_text, "key")
+    lent = lent.select(F.col("of").alias("key"), F.struct(F.expr("substring(text, 1, quarter)").alias("head"), F.element_at("prints", F.xxhash64("text")).alias("fingerprint")).alias("x"))
+    lent = lent.groupBy("key").agg(F.min("x").alias("x")).select("key", F.col("x.head").alias("head"), F.col("x.fingerprint").alias("next_fingerprint"))
+    both = rows.join(lent, "key").join(of_text, "key").withColumn("n_chars", F.length("text"))
+    edited = F.concat(F.expr("substring(text, 1, n_chars - n_chars div 4)"), F.expr("substring(head, 1, cast(n_chars div 4 as int))"))
+    both = both.select(F.col("key").try_cast("long").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.element_at("prints", F.xxhash64("text")).alias("fingerprint"), "next_fingerprint", edited.alias("edited"))
+    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", packed(bins(F.col("edited"))).alias("edited_fingerprint"), "next_fingerprint")
     return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
