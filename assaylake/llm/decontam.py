@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.llm.learn import char_hash, letters, lower
-from assaylake.llm.textvec import blocks, codes, mix
+from assaylake.llm.textvec import blocks, codes
 
-Q, BUDGET, LEAST, LONG, WINDOW, BLOCK_CHARS, FILTER_BITS = 8, 0.08, 24, 160, 120, 2_000_000, 23
+Q, BUDGET, LEAST, LONG, WINDOW, BLOCK_CHARS, FILTER_BITS = 8, 0.08, 24, 160, 120, 2_000_000, 21
+#: Diagonals that are first counted together, more than twice a band's; slots of those counts.
+WIDE, SLOT_BITS = 512, 20
 KIND = "array<struct<item_id:bigint,start:int,stop:int,edits:int>>"
 
 
@@ -42,13 +44,16 @@ def normal(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(c: np.ndarray) -> np.ndarray:
-    """A hash of the Q characters from each position on; 0 where there are fewer."""
+    """A hash of the Q characters from each position on; 0 where there are fewer. Q is a power of two: runs are doubled."""
     h = char_hash()[c]
+    base, n = np.uint64(0x9E3779B97F4A7C15), 1
+    while n < Q and len(h) > n:
+        h = h[:-n] * base + h[n:]
+        base, n = np.uint64(int(base) * int(base) % (1 << 64)), 2 * n
     out = np.zeros(len(c), np.uint64)
-    n = len(c) - Q + 1
-    for k in range(Q if n > 0 else 0):
-        out[:n] = out[:n] * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    return mix(out)
+    if n == Q:
+        out[: len(h)] = h * np.uint64(0xD6E8FEB86659FD93)
+    return out
 
 
 @dataclass
@@ -116,18 +121,22 @@ def candidates(p: Patterns, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
     entry = np.repeat(p.where[key], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     pos = np.repeat(at, count)
     pat = p.pattern[entry]
-    # First by text and pattern alone, which few pairs pass; then by band.
-    pair = doc[pos].astype(np.int64) * len(p.item) + pat
-    total = np.bincount(pair, minlength=0)
-    enough = total[pair] >= p.bound[pat]
-    pos, pat, entry, pair = pos[enough], pat[enough], entry[enough], pair[enough]
+    diagonal = pos - p.offset[entry]
+    # First in wide runs of diagonals, in two grids so that no band is cut by both; counts of runs that meet in a slot add up.
+    enough = np.zeros(len(pos), bool)
+    for shift in (0, WIDE // 2):
+        slot = (pat * 1_000_003 + (diagonal + shift) // WIDE) & ((1 << SLOT_BITS) - 1)
+        enough |= np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= p.bound[pat]
+    pos, pat, diagonal = pos[enough], pat[enough], diagonal[enough]
     step = np.maximum(p.allowed[pat], 1)
-    band = (pos - p.offset[entry] + (1 << 30)) // step
-    rows = np.concatenate([np.stack([pair, band]), np.stack([pair, band - 1])], axis=1)
-    rows, n = np.unique(rows, axis=1, return_counts=True)
-    pat = rows[0] % len(p.item)
+    band = (diagonal + (1 << 30)) // step
+    # Each band as one number: text, pattern, band.
+    whole = (doc[pos].astype(np.int64) * len(p.item) + pat) << 31
+    rows, n = np.unique(np.concatenate([whole + band, whole + band - 1]), return_counts=True)
+    pair, band = rows >> 31, rows & ((1 << 31) - 1)
+    pat = pair % len(p.item)
     good = n >= p.bound[pat]
-    return np.stack([rows[0] // len(p.item), pat, rows[1] * np.maximum(p.allowed[pat], 1) - (1 << 30)], axis=1)[good]
+    return np.stack([pair // len(p.item), pat, band * np.maximum(p.allowed[pat], 1) - (1 << 30)], axis=1)[good]
 
 
 def find(p: Patterns, texts: list[str]) -> list[list[dict]]:
@@ -142,7 +151,8 @@ def find(p: Patterns, texts: list[str]) -> list[list[dict]]:
         lo, hi = max(diagonal - k, edges[d]), min(diagonal + 2 * max(k, 1) + len(own) + k, edges[d + 1])
         if hi <= lo:
             continue
-        edits, a, b = align(own, c[lo:hi])
+        at_once = c[lo:hi].tobytes().find(own.tobytes())
+        edits, a, b = (0, at_once // 4, at_once // 4 + len(own)) if at_once >= 0 and at_once % 4 == 0 else align(own, c[lo:hi])
         if edits <= k and b > a and (d, pat, lo + a) not in done:
             done.add((d, pat, lo + a))
             out[d].append({"item_id": int(p.item[pat]), "start": int(at[lo + a] - starts[d]), "stop": int(at[lo + b - 1] + 1 - starts[d]), "edits": edits})
