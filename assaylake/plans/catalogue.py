@@ -226,7 +226,7 @@ def donor_roles(spark, d):
     return splits.roles(rows).select("patient", "donor", "measured", "role")
 
 
-@query("WITH d AS (SELECT c_custkey AS donor, c_mktsegment AS stratum, (c_custkey * 2654435761 + (20260915 % 100000) * 1013904223) % 2147483647 AS score FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY score, donor) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM d) SELECT donor, stratum, score, CASE WHEN n >= 2 AND k <= least(greatest(round_even(n * 0.2, 0)::BIGINT, 1), n - 1) THEN 'validation' ELSE 'train' END AS split FROM k")
+@query("WITH d AS (SELECT c_custkey AS donor, c_mktsegment AS stratum, (c_custkey * 2654435761 + (20260915 % 100000)::BIGINT * 1013904223) % 2147483647 AS score FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY score, donor) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM d) SELECT donor, stratum, score, CASE WHEN n >= 2 AND k <= least(greatest(round_even(n * 0.2, 0)::BIGINT, 1), n - 1) THEN 'validation' ELSE 'train' END AS split FROM k")
 def donor_split(spark, d):
     return splits.donor_split(I.patients(spark, d).select(F.col("patient").alias("donor"), F.col("patient").alias("number"), "stratum"), 20260915, 0.2)
 
