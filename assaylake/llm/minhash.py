@@ -9,8 +9,9 @@ A key may hold very many classes, so not all its pairs are made:
 1. Each class is compared with the smallest of its key; the pairs whose signatures are near enough are confirmed on the full
    sets, and the confirmed links give first components.
 2. In keys that still hold more than one component, the classes are dealt into blocks of about BLOCK, and blocks are compared
-   in pairs. Classes with a near signature in another component are suspects. The shingles that one suspect alone has bound
-   what it can share; pairs of suspects that the bound allows are confirmed too. Pairs within a component add nothing.
+   in pairs. Each class is known by the shingles of the key's smallest that it has, as bits, and by slots of those it has beyond:
+   that bounds every overlap, and closely. Pairs of different components with near signatures that the bound allows are confirmed too; pairs
+   within a component add nothing.
 
 Cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a text with fewer words than
 the width has one shingle, all its words; rows that repeat a doc_id get a row each, told apart by their texts, and classes with
@@ -64,50 +65,74 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["node", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+RELATED = "a bigint, b bigint, linked boolean, beyond int, held binary, rest binary"
+#: Slots into which the shingles beyond the key's first class are hashed.
+SLOTS = 2048
+
+
+def _relate(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their sets: whether they are linked, how many shingles of b a lacks, which of a's, in order, b has, as bits, and the slots of those a lacks."""
     for batch in batches:
-        keep = []
+        linked, beyond, held, rest = [], [], [], []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
             a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            keep.append(100 * both >= percent * (len(a) + len(b) - both) > 0)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
+            inside = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+            both = int(inside.sum())
+            linked.append(100 * both >= percent * (len(a) + len(b) - both) > 0)
+            beyond.append(len(b) - both)
+            held.append(np.packbits(inside).tobytes())
+            alone = b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b]
+            rest.append((alone >> np.uint64(40)).astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(beyond, pa.int32()), pa.array(held, pa.binary()), pa.array(rest, pa.binary())], names=["a", "b", "linked", "beyond", "held", "rest"])
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for part, texts in blocks(batches):
-        sets = shingle_sets(texts, width)
-        nodes = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], names=["node", "shingle"])
 
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs of blocks of a key, the pairs of classes of different components that may be linked.
 
-def _near(batches: Iterator[pa.RecordBatch], percent: int, pairs: bool) -> Iterator[pa.RecordBatch]:
-    """Of pairs of blocks, the pairs of classes of different components that may be linked; or only the classes in such pairs.
-
-    Signatures must differ in at most LARGEST components. Where `shared` of a class is known, the number of its shingles that
-    another class has, no more than the lesser of two can be common to both, and that must be enough for the similarity.
+    Signatures must differ in at most LARGEST components, and the overlap can be enough: within the key's first class
+    it is counted from the bits, beyond it is no more than the lesser of what the two have there.
     """
     for batch in batches:
         us, vs = [], []
         for left, right in zip(batch.column(0), batch.column(1), strict=True):
-            (a, ca, na, ma, sa), (b, cb, nb, mb, sb) = (_members(x) for x in (left.values, right.values))
-            for k in range(len(a)):
-                most = np.minimum(ma[k], mb)
-                at = np.flatnonzero((cb != ca[k]) & (100 * most >= percent * (na[k] + nb - most)))
-                at = at[(sb[at] != sa[k]).sum(axis=1) <= LARGEST]
-                us.append(np.full(len(at), a[k]))
-                vs.append(b[at])
+            a, b = (_members(x) for x in (left.values, right.values))
+            width = max((len(x) for x in (*a["held"], *b["held"]) if x is not None), default=0)
+            xa, xb = (_bits(x["held"], width) for x in (a, b))
+            (na, ka), (nb, kb) = _slots(a), _slots(b)
+            past = np.minimum(na @ (nb > 0).T.astype(np.float32), (na > 0).astype(np.float32) @ nb.T)
+            past = np.where(ka[:, None] & kb[None], past, np.inf)
+            most = xa @ xb.T + np.minimum(past, np.minimum(a["beyond"][:, None], b["beyond"][None]))
+            most = np.minimum(most, np.minimum(a["n"][:, None], b["n"][None]))
+            may = (a["component"][:, None] != b["component"][None]) & (100 * most >= percent * (a["n"][:, None] + b["n"][None] - most))
+            i, j = np.nonzero(may)
+            near = (a["signature"][i] != b["signature"][j]).sum(axis=1) <= LARGEST
+            us.append(a["node"][i[near]])
+            vs.append(b["node"][j[near]])
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        if pairs:
-            found = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([u, v])), pa.int64())], names=["node"])
+        found = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+
+
+def _members(row: pa.StructArray) -> dict[str, np.ndarray | list]:
+    out = {c: row.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for c, f in (("node", "node"), ("component", "component"), ("n", "n_shingles"), ("beyond", "beyond"))}
+    out["held"], out["rest"] = row.field("held").to_pylist(), row.field("rest").to_pylist()
+    out["signature"] = np.frombuffer(b"".join(row.field("signature").to_pylist()), "<u2").reshape(-1, COMPONENTS)
+    return out
+
 
+def _bits(held: list[bytes | None], width: int) -> np.ndarray:
+    """A row of zeros and ones for each; all ones where nothing is known, as for the first class itself."""
+    full = b"\xff" * width
+    return np.unpackbits(np.frombuffer(b"".join(full if x is None else x.ljust(width, b"\x00") for x in held), np.uint8).reshape(len(held), width), axis=1).astype(np.float32)
 
-def _members(row: pa.StructArray) -> tuple[np.ndarray, ...]:
-    node, component, n, shared = (row.field(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n_shingles", "shared"))
-    return node, component, n, shared, np.frombuffer(b"".join(row.field("signature").to_pylist()), "<u2").reshape(-1, COMPONENTS)
+
+def _slots(members: dict) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles beyond the first class each member has in each slot, and for which members that is known."""
+    out = np.zeros((len(members["rest"]), SLOTS), np.float32)
+    for k, x in enumerate(members["rest"]):
+        if x:
+            out[k] = np.bincount(np.frombuffer(x, "<u2") % SLOTS, minlength=SLOTS)
+    return out, np.array([x is not None for x in members["rest"]]) | (members["beyond"] == 0)
 
 
 def _keys() -> list:
@@ -119,27 +144,33 @@ def _apart(a: str, b: str):
     return F.aggregate(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), F.lit(0), lambda n, k: n + (F.substring(a, 2 * k + 1, F.lit(2)) != F.substring(b, 2 * k + 1, F.lit(2))).cast("int"))
 
 
-def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(a, b) whose full sets are similar enough, as links(u, v)."""
+def _related(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs(a, b) compared on their full sets, as RELATED."""
     nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = docs.join(nodes, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, width), "node bigint, shingles binary")
     sets = written(spark, sets, "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(spark, both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(lambda x: _confirm(x, percent), "u bigint, v bigint"), "near-links")
+    return written(spark, both.select("a", "b", "x", "y").mapInArrow(lambda x: _relate(x, percent), RELATED), "near-related")
 
 
-def _met(spark: SparkSession, keyed: DataFrame, components: DataFrame, classes: DataFrame, alone: DataFrame | None) -> DataFrame:
-    """Pairs of blocks (l, r) of the classes in keys that hold more than one component; of the suspects only, once known."""
-    known = classes.select("node", "n_shingles", "signature").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    if alone is None:
-        known = known.withColumn("shared", F.col("n_shingles"))
-    else:
-        known = known.join(alone, "node").withColumn("shared", F.col("n_shingles") - F.col("alone")).drop("alone")
-    held = keyed.join(known.select("node", "component"), "node")
+def _linked(related: DataFrame) -> DataFrame:
+    return related.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _open(keyed: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of keyed(key, node, first) in keys that hold more than one component, with n, the rows of the key."""
+    held = keyed.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    open_ = open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = keyed.join(open_, "key").join(known, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n_shingles", "shared", "signature")).alias("members"))  # about BLOCK at most
+    return keyed.join(open_.select("key", "n"), "key")
+
+
+def _met(spark: SparkSession, keyed: DataFrame, components: DataFrame, classes: DataFrame, related: DataFrame) -> DataFrame:
+    """Pairs of blocks (l, r) of the classes in keys that hold more than one component."""
+    known = classes.select("node", "n_shingles", "signature").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    dealt = _open(keyed, components).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(known, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.join(related.select(F.col("a").alias("first"), F.col("b").alias("node"), "beyond", "held", "rest"), ["first", "node"], "left")
+    dealt = dealt.withColumn("beyond", F.when(F.col("node") == F.col("first"), 0).otherwise(F.coalesce("beyond", "n_shingles")).cast("int"))
+    dealt = dealt.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n_shingles", "beyond", "held", "rest", "signature")).alias("members"))  # about BLOCK at most
     dealt = written(spark, dealt, "near-blocks")
     left = dealt.select("key", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("members").alias("l"))
     return left.join(dealt.select("key", "block", F.col("members").alias("r")), ["key", "block"]).select("l", "r")
@@ -160,18 +191,15 @@ def near_groups(spark: SparkSession, docs: DataFrame, width: int = 5, percent: i
     pairs = keyed.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     sides = [signatures.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab"]
     pairs = written(spark, pairs.join(sides[0], "a").join(sides[1], "b").filter(_apart("sa", "sb") <= LARGEST).select("a", "b"), "near-pairs")
-    links = _confirmed(spark, docs, pairs, width, percent)
-    first = written(spark, components(spark, links), "near-components")
-
-    keyed = keyed.select("key", "node")
-    suspects = written(spark, _met(spark, keyed, first, classes, None).mapInArrow(lambda x: _near(x, percent, False), "node bigint").distinct(), "near-suspects")
-    # A shingle of one suspect alone is in no partner of it: what is left bounds every overlap.
-    shingles = docs.join(suspects.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lambda x: _shingle_rows(x, width), "node bigint, shingle bigint")
-    alone = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    alone = written(spark, suspects.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone")), "near-alone")
-    more = _met(spark, keyed, first, classes, alone).mapInArrow(lambda x: _near(x, percent, True), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
+    related = _related(spark, docs, pairs, width, percent)
+    first = written(spark, components(spark, _linked(related)), "near-components")
+
+    # Classes that are open but far from the first of their key are compared with it too: unrelated, they would stay unbounded.
+    far = written(spark, _open(keyed, first).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "near-far")
+    related = related.unionByName(_related(spark, docs, far, width, percent))
+    more = _met(spark, keyed, first, classes, related).mapInArrow(lambda x: _near(x, percent), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
     more = written(spark, more, "near-more")
-    links = links.unionByName(_confirmed(spark, docs, more, width, percent))
+    links = _linked(related).unionByName(_linked(_related(spark, docs, more, width, percent)))
     final = components(spark, links)
 
     named = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
