@@ -255,7 +255,9 @@ class WarcReader(DataSourceReader):
             files = [{"name": f.path[len(at) :].lstrip("/"), "size": f.size, "splits": [0]} for f in found if f.path.endswith((".warc", ".warc.gz"))]
         return [Range(f"{self.path}/{f['name']}", a, b) for f in files for a, b in zip(f["splits"], [*f["splits"][1:], f["size"]], strict=True)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         tests = self.tests
 
         def keep(row: tuple) -> bool:
