@@ -23,8 +23,10 @@ import hashlib
 import io
 import json
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -45,8 +47,8 @@ PACK_HEAD, RECIPE_HEAD, RECIPE_CHUNK = struct.Struct("<16sI"), struct.Struct("<q
 NO_ID = -(2**63)
 #: The rolling hash sees WINDOW ids; a chunk has LEAST to MOST ids and ends about every 2^CUT_BITS ids beyond LEAST.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 4096
-#: Words that a worker keeps with their ids, the longest of them, and documents whose ids are hashed together.
-MEMO, LONG, GROUP = 900_000, 64, 256
+#: Words in each of the two generations that a worker keeps with their ids, the longest of them, and documents whose ids are hashed together.
+MEMO, LONG, GROUP = 500_000, 64, 256
 POOL_SCHEMA = "digest binary, n_ids bigint, crc bigint"
 RECIPE_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, digests array<binary>, lengths array<bigint>"
 
@@ -70,6 +72,14 @@ class Encoder:
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text; texts are taken together to look up their new words at once."""
@@ -81,12 +91,16 @@ class Encoder:
                 text = text.lower()
             split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
         if len(memo) > MEMO:
-            memo.clear()
-        new = list(set().union(*split).difference(memo))
+            self.older, self.memo = memo, (memo := {})
+        new = set().union(*split).difference(memo)
+        if self.older:  # what is still in use moves on, the rest goes with its generation
+            known = [w for w in new if w in self.older]
+            memo.update((w, self.older[w]) for w in known)
+            new.difference_update(known)
         # A full stop or comma after a letter is always a part of its own.
         ending = [w for w in new if w[-1:] in (".", ",") and w[-2:-1].isalpha()]
         base = list({*new, *(w[:-1] for w in ending), ".", ","}.difference(ending, memo))
-        memo.update(zip(base, (np.array(x.ids, self.kind).tobytes() for x in self.model.encode_batch_fast(base, add_special_tokens=False)), strict=True))
+        memo.update(zip(base, (self.packed(x.ids) for x in self.model.encode_batch_fast(base, add_special_tokens=False)), strict=True))
         memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in ending)
         out = [b"".join(map(memo.__getitem__, parts)) for parts in split]
         for word in {*new, *base}:
