@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -30,11 +31,24 @@ def sample(docs: DataFrame, rows: DataFrame, columns: list[str], n: int) -> pd.D
     return found.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").limit(n).toPandas().drop_duplicates("doc_id").fillna({"text": ""})
 
 
+def grouped(texts: list[str], chars: int = 400_000) -> Iterator[list[str]]:
+    """Texts in groups of about so many characters, so that arrays over characters stay small on the driver."""
+    group, held = [], 0
+    for t in texts:
+        if group and held + len(t) > chars:
+            yield group
+            group, held = [], 0
+        group.append(t)
+        held += len(t)
+    if group:
+        yield group
+
+
 def novel(texts: list[str], share: float = 0.5) -> np.ndarray:
     """Which texts of a sample share less than so much of their 4-word shingles with those kept before: copies would count as evidence again and again."""
     seen: set[int] = set()
     keep = np.zeros(len(texts), bool)
-    for k, own in enumerate(shingle_sets(texts, 4)):
+    for k, own in enumerate(s for group in grouped(texts) for s in shingle_sets(group, 4)):
         own = own.tolist()
         keep[k] = not own or sum(x in seen for x in own) < share * len(own)
         if keep[k]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.learn import Adam, held_out, letters, logistic, lower, novel, sample
+from assaylake.llm.learn import Adam, grouped, held_out, letters, logistic, lower, novel, sample
 from assaylake.llm.textvec import blocks, codes, is_space, run_hashes, spans
 
 SAMPLE, HIDDEN, STEPS, BATCH, PRIOR = 2500, 24, 1500, 512, 0.5
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Network | float:
     every = sample(docs, docs.filter("doc_id IS NOT NULL").select("doc_id", F.lit(0).alias("of")), ["of"], 2 * n)["text"].tolist()
     if not good or not every:
         return prior
-    return train(features(good), features(every), prior)
+    return train(*(np.concatenate([features(g) for g in grouped(x)]) for x in (good, every)), prior)
 
 
 def scores(docs: DataFrame, net: Network | float) -> DataFrame:

@@ -383,10 +383,20 @@ def _shifted(crc: pd.Series, n_bytes: pd.Series) -> pd.Series:
 # --- the operator
 
 
+def _width(spark: SparkSession, tokenizer: str) -> int:
+    """Bytes of an id, asked of an executor: the vocabulary is not loaded on the driver."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encoder(tokenizer).width], pa.int64())], names=["width"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(ask, "width bigint").first()["width"]
+
+
 def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Write the store of docs(doc_id, text) to a folder of the shared store."""
     spark.dataSource.register(TokenStore)
-    width = encoder(tokenizer).width
+    width = _width(spark, tokenizer)
     aside = work_path(spark, "tokens-chunks")
     stage = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: _stage(x, tokenizer, end_id, aside), "doc_id bigint, n_tokens bigint, digests array<binary>, lengths array<bigint>, file string, offsets array<bigint>")
     stage = written(spark, stage, "tokens-stage")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.learn import Adam, char_hash, fit_logistic, held_out, letters, logistic, lower, novel, sample
+from assaylake.llm.learn import Adam, char_hash, fit_logistic, grouped, held_out, letters, logistic, lower, novel, sample
 from assaylake.llm.textvec import blocks, codes, mix, powers, spans
 
 SAMPLE, BITS, EPOCHS, STRONG, SURE = 1500, 18, 25, 8.0, 3
@@ -116,7 +116,16 @@ def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], toxic: np.ndarray, prevalence: float) -> Field:
-    features, _, _, first, begins = tokenize(texts)
+    parts, counts, opens, n = [], [], [], 0
+    for group in grouped(texts):
+        found, _, _, of, new = tokenize(group)
+        parts.append(found.astype(np.int32))
+        counts.append(np.diff(of))
+        opens.append(new + n)
+        n += len(found)
+    features, begins = np.concatenate(parts), np.concatenate(opens)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    del parts, opens
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     size = 1 << BITS
     in_docs = []
@@ -132,7 +141,7 @@ def train(texts: list[str], toxic: np.ndarray, prevalence: float) -> Field:
     y = (toxic[doc] == 1) & np.any([telling[k][features[:, k]] for k in range(4)], axis=0)
 
     used, compact = np.unique(features, return_inverse=True)
-    compact = compact.reshape(features.shape)
+    compact = compact.reshape(features.shape).astype(np.int32)
     w, b, move = np.zeros(len(used)), np.array([-3.0]), np.zeros((2, 2))
     opt = Adam([w, b, move], 0.3)
     opens = np.zeros(len(y), bool)
