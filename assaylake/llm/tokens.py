@@ -28,7 +28,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -37,11 +36,9 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from assaylake.llm.common import discard, partitions, ranged, running_sums, work_path, written
 
-FORMAT = "assaylake_tokens"
 PACK_MAGIC, RECIPE_MAGIC = b"ALPACK1\n", b"ALRECP1\n"
 PACK_HEAD, RECIPE_HEAD, RECIPE_CHUNK = struct.Struct("<16sI"), struct.Struct("<qqqI32s"), struct.Struct("<16sI")
 NO_ID = -(2**63)
@@ -196,25 +193,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], enc: Encoder, end_id: int, file:
 # --- files
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    files: list
-
-
-@dataclass
-class One(InputPartition):
-    file: dict
+FILES = "number bigint, name string, width bigint, sha256 string"
 
 
 def _root(digests: list[bytes]) -> bytes:
     return hashlib.sha256(b"".join(digests)).digest()
 
 
-class StoreWriter(DataSourceArrowWriter):
+class StoreWriter:
     def __init__(self, options: dict):
         self.path, self.table, self.width, self.chunks = options["path"].rstrip("/"), options["table"], int(options["width"]), options.get("chunks")
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each file written; of a lost or repeated attempt no row arrives."""
         store, folder = fs.FileSystem.from_uri(self.path)
         store.create_dir(folder, recursive=True)
         files, out, source, opened = [], None, None, None
@@ -247,21 +238,19 @@ class StoreWriter(DataSourceArrowWriter):
                 out.write(data)
                 check.update(data)
         close()
-        return Written(files)
+        if files:
+            yield pa.RecordBatch.from_pylist(files, pa.schema([("number", pa.int64()), ("name", pa.string()), ("width", pa.int64()), ("sha256", pa.string())]))
 
-    def commit(self, messages: list) -> None:
-        store, folder = fs.FileSystem.from_uri(self.path)
-        store.create_dir(folder, recursive=True)
-        files = sorted((f for m in messages if m is not None for f in m.files), key=lambda f: (f["number"], f["name"]))
-        root = _root([bytes.fromhex(f["sha256"]) for f in files]).hex()
-        with store.open_output_stream(f"{folder}/{self.table}.json.part", compression=None) as out:
-            out.write(json.dumps({"root": root, "files": files}).encode())
-        store.move(f"{folder}/{self.table}.json.part", f"{folder}/{self.table}.json")
 
-    def abort(self, messages: list) -> None:
-        store, folder = fs.FileSystem.from_uri(self.path)
-        for f in (f for m in messages if m is not None for f in m.files):
-            store.delete_file(f"{folder}/{f['name']}")
+def _commit(path: str, table: str, rows: list) -> None:
+    """Write the manifest: files are as many as tasks wrote."""
+    store, folder = fs.FileSystem.from_uri(path)
+    store.create_dir(folder, recursive=True)
+    files = sorted((r.asDict() for r in rows), key=lambda f: (f["number"], f["name"]))
+    root = _root([bytes.fromhex(f["sha256"]) for f in files]).hex()
+    with store.open_output_stream(f"{folder}/{table}.json.part", compression=None) as out:
+        out.write(json.dumps({"root": root, "files": files}).encode())
+    store.move(f"{folder}/{table}.json.part", f"{folder}/{table}.json")
 
 
 def _reader(folder: str, file: str) -> io.BufferedReader:
@@ -269,24 +258,27 @@ def _reader(folder: str, file: str) -> io.BufferedReader:
     return io.BufferedReader(store.open_input_file(f"{at}/{file}"), 1 << 20)
 
 
-class StoreReader(DataSourceReader):
+class StoreReader:
     def __init__(self, options: dict):
         self.path, self.table = options["path"].rstrip("/"), options["table"]
 
-    def partitions(self) -> list[One]:
+    def files(self) -> list[dict]:
         store, folder = fs.FileSystem.from_uri(self.path)
         with store.open_input_stream(f"{folder}/{self.table}.json") as x:
             manifest = json.loads(x.read())
         if _root([bytes.fromhex(f["sha256"]) for f in manifest["files"]]).hex() != manifest["root"]:
             raise ValueError(f"{self.table}: the manifest's root is not that of its files")
-        return [One(f) for f in manifest["files"]]
+        return manifest["files"]
+
+    def read_all(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.to_pylist():
+                yield from self.read(file)
 
-    def read(self, partition: One | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
+    def read(self, file: dict) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(self.path)
         check = hashlib.sha256()
-        with store.open_input_stream(f"{folder}/{partition.file['name']}", buffer_size=1 << 20) as source:
+        with store.open_input_stream(f"{folder}/{file['name']}", buffer_size=1 << 20) as source:
 
             def take(n: int) -> bytes:
                 data = source.read(n)
@@ -294,9 +286,9 @@ class StoreReader(DataSourceReader):
                 return data
 
             take(len(PACK_MAGIC))
-            yield from (self._packs if self.table == "packs" else self._recipes)(take, partition.file["width"])
-        if check.hexdigest() != partition.file["sha256"]:
-            raise ValueError(f"{partition.file['name']} is not what was written")
+            yield from (self._packs if self.table == "packs" else self._recipes)(take, file["width"])
+        if check.hexdigest() != file["sha256"]:
+            raise ValueError(f"{file['name']} is not what was written")
 
     def _packs(self, take, width: int) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("digest", pa.binary()), ("n_ids", pa.int64()), ("crc", pa.int64())])
@@ -329,21 +321,6 @@ class StoreReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-class TokenStore(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
-
-    def schema(self) -> str:
-        return POOL_SCHEMA if self.options["table"] == "packs" else RECIPE_SCHEMA
-
-    def reader(self, schema) -> StoreReader:
-        return StoreReader(dict(self.options))
-
-    def writer(self, schema, overwrite: bool) -> StoreWriter:
-        return StoreWriter(dict(self.options))
-
-
 # --- CRC-32 of joined pieces: x^(8 n) times a checksum, modulo the polynomial, for many pieces at once
 
 
@@ -395,7 +372,6 @@ def _width(spark: SparkSession, tokenizer: str) -> int:
 
 def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Write the store of docs(doc_id, text) to a folder of the shared store."""
-    spark.dataSource.register(TokenStore)
     width = _width(spark, tokenizer)
     aside = work_path(spark, "tokens-chunks")
     stage = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: _stage(x, tokenizer, end_id, aside), "doc_id bigint, n_tokens bigint, digests array<binary>, lengths array<bigint>, file string, offsets array<bigint>")
@@ -405,20 +381,25 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str,
     places = places.groupBy(F.col("c.digests").alias("digest")).agg(F.min(F.struct("file", F.col("c.offsets").alias("offset"), F.col("c.lengths").alias("length"))).alias("at"))
     places = places.select("digest", "at.*").repartition(partitions(spark), "file").sortWithinPartitions("file", "offset")
     store = {"path": path, "width": width}
-    places.write.format(FORMAT).options(**store, table="packs", chunks=aside).mode("append").save()
+    _commit(path, "packs", places.mapInArrow(StoreWriter({**store, "table": "packs", "chunks": aside}).write, FILES).collect())
     discard(spark, aside)
     order = [F.col("doc_id"), F.col("digests")]
     recipes = ranged(spark, stage.select("doc_id", "n_tokens", "digests", "lengths"), [F.col("doc_id")], "tokens-recipes")
     recipes = running_sums(recipes, order, {"start": F.col("n_tokens")}, before=True)
     recipes = recipes.sortWithinPartitions("pid", *order)
-    recipes.write.format(FORMAT).options(**store, table="recipes").mode("append").save()
+    _commit(path, "recipes", recipes.mapInArrow(StoreWriter({**store, "table": "recipes"}).write, FILES).collect())
+
+
+def _load(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    reader = StoreReader({"path": path, "table": table})
+    files = reader.files()
+    rows = [(f["number"], f["name"], f["width"], f["sha256"]) for f in files]
+    return spark.createDataFrame(rows, FILES).repartition(max(1, len(files))).mapInArrow(reader.read_all, schema)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """From the files alone, for each document: doc_id, start, n_tokens, ids_crc32."""
-    spark.dataSource.register(TokenStore)
-    pool = spark.read.format(FORMAT).options(path=path, table="packs").load()
-    recipes = spark.read.format(FORMAT).options(path=path, table="recipes").load()
+    pool, recipes = _load(spark, path, "packs", POOL_SCHEMA), _load(spark, path, "recipes", RECIPE_SCHEMA)
     pieces = recipes.select("doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("digests", "lengths")).alias("at", "c"), "lengths")
     after = F.aggregate(F.slice("lengths", F.col("at") + 2, F.size("lengths")), F.lit(0).cast("long"), lambda a, x: a + x) * 4
     pieces = pieces.select("doc_id", "start", "n_tokens", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"), after.alias("after"))
