@@ -1,10 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Texts and items are compared as letters and digits in lower case, with single blanks for all else. An item longer than LONG
-is looked for by windows of WINDOW characters, so that a passage of it counts too. A pattern of n characters lies in a text
-with at most k = n * BUDGET edits only if at least n - Q + 1 - k Q of its q-grams do, on diagonals no further apart than k.
-Shared q-grams are counted in overlapping bands of 2 k diagonals; bands that reach the bound are verified by banded
-alignment, with free ends in the text.
+Texts and items are compared as letters and digits in lower case, with single blanks for all else. An item is found where
+all of it, or any WINDOW characters in a row of a longer one, lie in the text with at most BUDGET edits a character. n
+characters do with at most k edits only if at least n - Q + 1 - k Q of their q-grams do, on diagonals no further apart than
+k. Shared q-grams are counted in overlapping bands of 2 k diagonals, for an item as a whole; in bands that reach the bound
+all windows that reach it themselves are verified together by banded alignment, with free ends in the text. Passages of an
+item that overlap in the text are one region, with the fewest edits of them.
 
 The items are the query set: they are broadcast in blocks of at most BLOCK_CHARS characters, each block a pass over the
 documents; their number of characters is counted first.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from assaylake.llm.learn import char_hash, letters, lower
 from assaylake.llm.textvec import blocks, codes
 
-Q, BUDGET, LEAST, LONG, WINDOW, BLOCK_CHARS, FILTER_BITS = 8, 0.08, 24, 160, 120, 2_000_000, 21
-#: Diagonals that are first counted together, more than twice a band's; slots of those counts.
+Q, BUDGET, LEAST, WINDOW, BLOCK_CHARS, FILTER_BITS = 8, 0.08, 24, 120, 2_000_000, 21
+#: Diagonals that are first counted together, at least twice a band's (wider bands are not counted so); slots of those counts.
 WIDE, SLOT_BITS = 512, 20
 KIND = "array<struct<item_id:bigint,start:int,stop:int,edits:int>>"
 
@@ -59,7 +60,9 @@ def grams(c: np.ndarray) -> np.ndarray:
 @dataclass
 class Patterns:
     item: np.ndarray
-    chars: list[np.ndarray]
+    row: np.ndarray  # of the item among the items
+    chars: list[np.ndarray]  # of the whole item
+    length: np.ndarray  # of the stretches looked for: all of the item, or WINDOW
     allowed: np.ndarray  # edits
     bound: np.ndarray  # shared q-grams
     keys: np.ndarray  # distinct q-gram hashes, sorted
@@ -69,21 +72,29 @@ class Patterns:
     seen: np.ndarray  # filter over the hashes' first bits
 
 
+def edits_allowed(n: int) -> int:
+    return int(n * BUDGET)
+
+
 def patterns(items: pd.DataFrame) -> Patterns | None:
-    item, chars = [], []
-    for item_id, text in zip(items["item_id"], items["text"], strict=True):
+    item, row, chars, length = [], [], [], []
+    for k, (item_id, text) in enumerate(zip(items["item_id"], items["text"], strict=True)):
         c, _ = normal(codes([text])[0])
         c = c[:-1] if len(c) and c[-1] == 32 else c
-        if len(c) < LEAST:
+        n = len(c)
+        if n < LEAST:
             continue
-        begins = [0] if len(c) <= LONG else [*range(0, len(c) - WINDOW, WINDOW // 2), len(c) - WINDOW]
-        for b in begins:
+        # An item that holds more windows than its edits can spoil is never found as a whole without one of them.
+        implied = n > WINDOW and n // WINDOW * (edits_allowed(WINDOW) + 1) > edits_allowed(n)
+        for m in [n] * (not implied) + [WINDOW] * (n > WINDOW):
             item.append(item_id)
-            chars.append(c if len(c) <= LONG else c[b : b + WINDOW])
+            row.append(k)
+            chars.append(c)
+            length.append(m)
     if not item:
         return None
-    n = np.array([len(c) for c in chars])
-    allowed = np.floor(n * BUDGET).astype(np.int64)
+    n = np.array(length)
+    allowed = np.array([edits_allowed(m) for m in length], np.int64)
     hashes = [grams(c)[: len(c) - Q + 1] for c in chars]
     flat = np.concatenate(hashes)
     order = np.argsort(flat, kind="stable")
@@ -92,26 +103,45 @@ def patterns(items: pd.DataFrame) -> Patterns | None:
     seen[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     of = np.repeat(np.arange(len(chars)), [len(h) for h in hashes])[order]
     offset = np.concatenate([np.arange(len(h)) for h in hashes])[order]
-    return Patterns(np.array(item, np.int64), chars, allowed, np.maximum(n - Q + 1 - allowed * Q, 1), keys, np.append(where, len(flat)), of, offset, seen)
-
-
-def align(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Fewest edits between the pattern and any part of the text, and the part: (edits, start, stop)."""
-    m = len(text)
-    j = np.arange(m + 1)
-    cost, start = np.zeros(m + 1, np.int64), j.copy()
-    for x in pattern:
-        both = np.concatenate([[cost[0] + 1], np.minimum(cost[:-1] + (text != x), cost[1:] + 1)])
-        came = np.concatenate([[start[0]], np.where(cost[:-1] + (text != x) <= cost[1:] + 1, start[:-1], start[1:])])
-        least = np.minimum.accumulate(both - j)
-        source = np.maximum.accumulate(np.where(both - j == least, j, 0))
-        cost, start = least + j, came[source]
-    stop = int(cost.argmin())
-    return int(cost[stop]), int(start[stop]), stop
-
-
-def candidates(p: Patterns, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Rows (text, pattern, first diagonal of the band) whose bands share enough q-grams. doc: the text of each position."""
+    return Patterns(np.array(item, np.int64), np.array(row), chars, n, allowed, np.maximum(n - Q + 1 - allowed * Q, 1), keys, np.append(where, len(flat)), of, offset, seen)
+
+
+def align(own: np.ndarray, begins: np.ndarray, length: int, k: int, text: np.ndarray, diagonal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each stretch own[b : b + length] with at most k edits to a part of the text: edits, start, stop.
+
+    Only alignments within the band of 2 k diagonals are seen. A state is edits * width + diagonal of the start; all
+    stretches take a step together. Places outside the text equal nothing, so that using one costs as leaving it out does.
+    """
+    width = 2 * max(k, 1)
+    lo, hi = int(begins[0]) + diagonal, int(begins[-1]) + diagonal + length + width
+    seg = np.full(hi - lo, 0xFFFFFFFF, np.uint32)
+    a, b = max(lo, 0), min(hi, len(text))
+    if a < b:
+        seg[a - lo : b - lo] = text[a:b]
+    across = np.arange(width, dtype=np.int32)[:, None]
+    rise = across * width
+    state = np.repeat(across, len(begins), axis=1)
+    for i in range(length):
+        both = state + np.int32(width) * (seg[across + (begins + i + diagonal - lo)] != own[begins + i])
+        np.minimum(both[:-1], state[1:] + width, out=both[:-1])
+        state = np.minimum.accumulate(both - rise, axis=0) + rise
+        if i % 16 == 15 or i == length - 1:
+            live = (state < (k + 1) * width).any(axis=0)
+            if not live.all():
+                begins, state = begins[live], state[:, live]
+            if not len(begins):
+                break
+    if not len(begins):
+        return (np.zeros(0, np.int64),) * 3
+    best, end = state.min(axis=0), state.argmin(axis=0)
+    return best // width, np.maximum(begins + diagonal + best % width, 0), np.minimum(begins + diagonal + length + end, len(text))
+
+
+def candidates(p: Patterns, c: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(text, pattern, first diagonal of the band, offsets of the q-grams shared there) of bands that share enough.
+
+    doc: the text of each position.
+    """
     h = grams(c)
     at = np.flatnonzero(p.seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
     key = np.searchsorted(p.keys, h[at])
@@ -120,23 +150,48 @@ def candidates(p: Patterns, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
     count = p.where[key + 1] - p.where[key]
     entry = np.repeat(p.where[key], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     pos = np.repeat(at, count)
-    pat = p.pattern[entry]
-    diagonal = pos - p.offset[entry]
+    pat, offset = p.pattern[entry], p.offset[entry]
+    diagonal = pos - offset
     # First in wide runs of diagonals, in two grids so that no band is cut by both; counts of runs that meet in a slot add up.
-    enough = np.zeros(len(pos), bool)
+    enough = 2 * p.allowed[pat] > WIDE // 2
     for shift in (0, WIDE // 2):
         slot = (pat * 1_000_003 + (diagonal + shift) // WIDE) & ((1 << SLOT_BITS) - 1)
         enough |= np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= p.bound[pat]
-    pos, pat, diagonal = pos[enough], pat[enough], diagonal[enough]
+    pos, pat, offset, diagonal = pos[enough], pat[enough], offset[enough], diagonal[enough]
     step = np.maximum(p.allowed[pat], 1)
     band = (diagonal + (1 << 30)) // step
     # Each band as one number: text, pattern, band.
     whole = (doc[pos].astype(np.int64) * len(p.item) + pat) << 31
-    rows, n = np.unique(np.concatenate([whole + band, whole + band - 1]), return_counts=True)
-    pair, band = rows >> 31, rows & ((1 << 31) - 1)
-    pat = pair % len(p.item)
-    good = n >= p.bound[pat]
-    return np.stack([pair // len(p.item), pat, band * np.maximum(p.allowed[pat], 1) - (1 << 30)], axis=1)[good]
+    each = np.concatenate([whole + band, whole + band - 1])
+    rows, n = np.unique(each, return_counts=True)
+    rows = rows[n >= p.bound[(rows >> 31) % len(p.item)]]
+    if not len(rows):
+        return
+    row = np.minimum(np.searchsorted(rows, each), len(rows) - 1)
+    mine = np.flatnonzero(rows[row] == each)
+    order = mine[np.argsort(row[mine], kind="stable")]
+    offset = np.concatenate([offset, offset])[order]
+    edges = np.searchsorted(row[order], np.arange(len(rows) + 1)).tolist()
+    for k, r in enumerate(rows.tolist()):
+        d, pattern = divmod(r >> 31, len(p.item))
+        yield d, pattern, (r & ((1 << 31) - 1)) * max(int(p.allowed[pattern]), 1) - (1 << 30), offset[edges[k] : edges[k + 1]]
+
+
+def passages(p: Patterns, pat: int, text: np.ndarray, diagonal: int, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, stop, edits) in a band of the text, where the pattern's q-grams at the offsets are."""
+    own, k, m = p.chars[pat], int(p.allowed[pat]), int(p.length[pat])
+    lo, hi = max(diagonal, 0), min(diagonal + 2 * max(k, 1) + len(own), len(text))
+    at = text[lo:hi].tobytes().find(own.tobytes()) if hi > lo else -1
+    if at >= 0 and at % 4 == 0:  # all windows of it are as they are
+        return [(lo + at // 4, lo + at // 4 + len(own), 0)]
+    has = np.zeros(len(own) - Q + 2, np.int64)
+    has[offsets + 1] = 1
+    upto = np.cumsum(has)
+    begins = np.flatnonzero(upto[m - Q + 1 :] - upto[: len(upto) - (m - Q + 1)] >= p.bound[pat])
+    if not len(begins):
+        return []
+    edits, start, stop = align(own, begins, m, k, text, diagonal)
+    return [x for x in zip(start.tolist(), stop.tolist(), edits.tolist(), strict=True) if x[0] < x[1]]
 
 
 def find(p: Patterns, texts: list[str]) -> list[list[dict]]:
@@ -144,18 +199,20 @@ def find(p: Patterns, texts: list[str]) -> list[list[dict]]:
     c, at = normal(raw)
     edges = np.searchsorted(at, starts)
     doc = np.repeat(np.arange(len(texts)), np.diff(edges))
+    spans: dict[tuple[int, int, int], set[tuple[int, int, int]]] = {}
+    for d, pat, diagonal, offsets in candidates(p, c, doc):
+        lo = int(edges[d])
+        if got := passages(p, pat, c[lo : edges[d + 1]], diagonal - lo, offsets):
+            spans.setdefault((d, int(p.row[pat]), int(p.item[pat])), set()).update(got)
     out: list[list[dict]] = [[] for _ in texts]
-    done: set[tuple[int, int]] = set()
-    for d, pat, diagonal in candidates(p, c, doc).tolist():
-        own, k = p.chars[pat], int(p.allowed[pat])
-        lo, hi = max(diagonal - k, edges[d]), min(diagonal + 2 * max(k, 1) + len(own) + k, edges[d + 1])
-        if hi <= lo:
-            continue
-        at_once = c[lo:hi].tobytes().find(own.tobytes())
-        edits, a, b = (0, at_once // 4, at_once // 4 + len(own)) if at_once >= 0 and at_once % 4 == 0 else align(own, c[lo:hi])
-        if edits <= k and b > a and (d, pat, lo + a) not in done:
-            done.add((d, pat, lo + a))
-            out[d].append({"item_id": int(p.item[pat]), "start": int(at[lo + a] - starts[d]), "stop": int(at[lo + b - 1] + 1 - starts[d]), "edits": edits})
+    for (d, _, item), some in spans.items():
+        lo, whole = int(edges[d]), []
+        for a, b, edits in sorted(some):
+            if whole and a < whole[-1][1]:
+                whole[-1] = (whole[-1][0], max(b, whole[-1][1]), min(edits, whole[-1][2]))
+            else:
+                whole.append((a, b, edits))
+        out[d] += [{"item_id": item, "start": int(at[lo + a] - starts[d]), "stop": int(at[lo + b - 1] + 1 - starts[d]), "edits": n} for a, b, n in whole]
     return [sorted(x, key=lambda r: (r["start"], r["item_id"], r["stop"])) for x in out]
 
 

@@ -334,6 +334,35 @@ def test_leaks_against_the_plain_table(spark):
         assert got[d] == want, d
 
 
+def test_leaked_passages_off_the_grid(spark):
+    """Any 120 characters of an item, whatever their offset and the item's length, against the plain table."""
+    rng = np.random.default_rng(9)
+    letters = "abcdefghijklmnopqrstuvwxyz      "
+    text = lambda n: re.sub(" +", " ", "".join(letters[k] for k in rng.integers(0, 32, 2 * n))).strip()[:n].strip()
+    items = [(k, text(n)) for k, n in enumerate((150, 161, 230, 300))]
+    docs = {}
+    for k, t in items:
+        for b in range(0, len(t) - 119, 11):
+            docs[len(docs)] = (k, f"{text(80)} {t[b : b + 120]} {text(50)}")
+    verbatim = len(docs)
+    for n, wrong in ((105, 0), (120, 9), (120, 10), (124, 10), (140, 12)):
+        for k, t in items[:2]:
+            b = int(rng.integers(0, len(t) - n + 1))
+            leak = list(t[b : b + n])
+            for p in rng.choice(n, wrong, replace=False):
+                leak[p] = "0"
+            docs[len(docs)] = (k, f"{text(40)} {''.join(leak)} {text(40)}")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontam.regions(spark, spark.createDataFrame([(d, t) for d, (_, t) in docs.items()], "doc_id bigint, text string"), bench)
+    got = {r.doc_id: r.regions for r in found.collect()}
+    for d, (k, body) in docs.items():
+        t, seen = items[k][1], {x.item_id for x in got[d]}
+        least = 0 if d < verbatim else min(edits(t[b : b + 120], body) for b in range(len(t) - 119))
+        assert seen == ({k} if least <= 9 or edits(t, body) <= int(len(t) * decontam.BUDGET) else set()), d
+        if d < verbatim:
+            assert [x.edits for x in got[d]] == [0] and got[d][0].stop - got[d][0].start >= 120
+
+
 def test_leaks_on_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
     got = decontam.regions(spark, odd, bench)
