@@ -6,12 +6,15 @@ import json
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.functions import ids
 
+#: Bits of a hash by which ranks are counted.
+RANK_BITS = 12
+
 
 def study_components(spark: SparkSession, occurrences: DataFrame, folder: str) -> DataFrame:
     """For each study of occurrences(sample, study): component, the smallest study that shared samples lead to.
@@ -130,6 +133,42 @@ def nested_manifest(donors: list[str], outer: int, repeats: int, inner: int, see
     return out
 
 
+def _ranked(df: DataFrame, by: list[str], seed: Column) -> DataFrame:
+    """df with rank, from 0 in each group, in the order of a hash of the seed and the donor.
+
+    Ranks are counted in bins of the hash: a group's window has a row for each of 2^RANK_BITS bins, a bin's its share of the donors.
+    """
+    hashed = df.withColumn("hash", F.xxhash64(seed.cast("bigint"), "donor"))
+    hashed = hashed.withColumn("bin", F.shiftrightunsigned("hash", 64 - RANK_BITS))
+    bins = hashed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.select(*by, "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = W.partitionBy(*by, "bin").orderBy("hash", "donor")
+    return hashed.join(bins, [*by, "bin"]).withColumn("rank", F.col("before") + F.row_number().over(inside) - 1).drop("hash", "bin", "before")
+
+
+def nested_manifest_of(donors: DataFrame, outer: int, repeats: int, inner: int, seed: int) -> DataFrame:
+    """nested_manifest of any number of donors(donor), with parts of the same sizes; the order is a hash's instead of numpy's generator's."""
+    donors = donors.select(F.col("donor").cast("string").alias("donor")).distinct()
+    if not donors.filter("donor IS NULL").isEmpty():
+        raise ValueError("donors cannot be missing")
+    n = donors.count()
+    if outer < 2 or outer > n or inner < 2 or inner > n - -(-n // outer):
+        raise ValueError("folds must be at least two and no more than the donors")
+    size, more = divmod(n, outer)  # the first folds have one more
+    long = lambda x: F.lit(x).cast("bigint")
+    rows = donors.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    rows = _ranked(rows, ["repeat"], long(seed) + F.col("repeat"))
+    own = F.when(F.col("rank") < more * (size + 1), F.floor(F.col("rank") / (size + 1))).otherwise(more + F.floor((F.col("rank") - more * (size + 1)) / size))
+    rows = rows.select("repeat", "donor", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("fold"))
+    names = ["repeat", "fold", "donor"]
+    train = _ranked(rows.filter("own <> fold").select(*names), ["repeat", "fold"], long(seed + 100_003) + 1009 * F.col("repeat") + 37 * F.col("fold"))
+    held = F.ceil((n - size - (F.col("fold") < more).cast("int")) / inner)
+    train = train.select(*names, F.lit("outer_train").alias("outer_role"), F.when(F.col("rank") < held, "inner_validation").otherwise("inner_train").alias("inner_role"))
+    test = rows.filter("own = fold").select(*names, F.lit("outer_test").alias("outer_role"), F.lit("not_applicable").alias("inner_role"))
+    return train.unionByName(test)
+
+
 def quantile_strata(df: DataFrame, column: str, n: int = 4) -> DataFrame:
     """Right-closed bins between quantiles, equal edges merged; a missing value counts as the median. Not ntile: ties stay together."""
     edges = df.agg(F.percentile(column, F.array(*(F.lit(k / n) for k in range(n + 1)))).alias("edges"), F.percentile(column, F.lit(0.5)).alias("median"))

@@ -255,9 +255,8 @@ def sweep_expand(spark, d):
 
 @query()
 def nested_manifest(spark, d):
-    """Roles of every customer group of the cohort in every fold; leaks would be rows of nested_manifest_check."""
-    donors = [str(x.stratum) for x in I.patients(spark, d).select("stratum").distinct().orderBy("stratum").limit(1000).collect()]
-    return spark.createDataFrame(splits.nested_manifest(donors, 3, 2, 2, 7), "repeat int, fold int, donor string, outer_role string, inner_role string")
+    """Roles of every donor of the cohort in every fold; leaks would be rows of nested_manifest_check."""
+    return splits.nested_manifest_of(I.patients(spark, d), 3, 2, 2, 7)
 
 
 @query("SELECT NULL::INT AS repeat, NULL::INT AS fold, NULL::VARCHAR AS donor, NULL::BIGINT AS roles, NULL::BIGINT AS bad WHERE false")

@@ -1,13 +1,18 @@
 """Small fixtures with known numbers, invariants of fits, and one violation for each contract."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assaylake.functions import ids
 from assaylake.operators import contracts, history, models, normalize, outcomes, qc, reports, splits, store
+from assaylake.plans import catalogue
 from assaylake.sources import npy, tables
 
+DATA = "/root/testdata/sf0.001"
+
 
 def values(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
@@ -100,6 +105,39 @@ def test_nested_manifest_is_pure():
         assert sorted(tested) == sorted(f"D{k}" for k in range(20))
 
 
+def roles_are_whole(rows, donors, outer, repeats, inner):
+    assert len(rows) == len(set(map(tuple, rows))) == len(donors) * outer * repeats
+    for repeat in range(repeats):
+        tested = [r.donor for r in rows if r.repeat == repeat and r.outer_role == "outer_test"]
+        assert sorted(tested) == sorted(donors)
+        for fold in range(outer):
+            here = [r for r in rows if (r.repeat, r.fold) == (repeat, fold)]
+            assert {r.donor for r in here} == donors
+            n = {k: sum(r.inner_role == k for r in here) for k in ("inner_train", "inner_validation", "not_applicable")}
+            assert n["not_applicable"] == len(donors) // outer + (fold < len(donors) % outer) == sum(r.outer_role == "outer_test" for r in here)
+            assert n["inner_validation"] == -(-(len(donors) - n["not_applicable"]) // inner) and sum(n.values()) == len(donors)
+
+
+def test_nested_manifest_of_many_donors(spark):
+    donors = spark.range(1234).select(F.concat(F.lit("D"), F.col("id") % 1201).alias("donor"))
+    made = splits.nested_manifest_of(donors, 4, 2, 5, 11)
+    rows = made.collect()
+    roles_are_whole(rows, {f"D{k}" for k in range(1201)}, 4, 2, 5)
+    assert sorted(rows) == sorted(splits.nested_manifest_of(donors.repartition(7), 4, 2, 5, 11).collect())
+    assert contracts.nested_leaks(made).count() == 0
+    assert contracts.nested_leaks(made.unionByName(made.limit(1).withColumn("outer_role", F.lit("other")))).count() == 1
+    folds = {k: frozenset(r.donor for r in rows if (r.repeat, r.fold) == (k, 0) and r.outer_role == "outer_test") for k in range(2)}
+    assert folds[0] != folds[1]
+    with pytest.raises(ValueError):
+        splits.nested_manifest_of(donors.limit(3), 4, 2, 5, 11)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_nested_manifest_query_holds_every_donor(spark):
+    donors = {str(r.c_custkey // 2) for r in spark.read.parquet(f"{DATA}/customer.parquet").collect()}
+    roles_are_whole(catalogue.QUERIES["nested_manifest"](spark, DATA).collect(), donors, 3, 2, 2)
+
+
 def test_sweep(spark):
     runs = splits.expand_sweep(spark, {"a": {"fixed": {"x": 1}, "grid": {"y": [1, 2], "z": [3, 4]}}}, {"x", "y", "z"}).collect()
     assert [r.array_index for r in runs] == [1, 2, 3, 4] and '"z": 4' in runs[1].settings
