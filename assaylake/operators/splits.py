@@ -55,14 +55,16 @@ def balanced_assignment(sizes: dict[str, int], seed: int, train: float, validati
     if len(sizes) < 3:
         raise ValueError("at least three components are needed")
     names, weight = list(sizes), np.array(list(sizes.values()), float)
-    total, rng = weight.sum(), np.random.default_rng(seed)
+    total, least, rng = weight.sum(), weight.min(), np.random.default_rng(seed)
     best, best_score = None, np.inf
     for _ in range(max(128, attempts)):
         part = np.zeros(len(names), int)
         for label, share in ((1, validation), (2, test)):
             free = np.flatnonzero(part == 0)
             held = 0.0
-            for k in rng.permutation(free):
+            for k in rng.permutation(free).tolist():
+                if least > 2 * (share * total - held) + 1e-6:
+                    break  # none can bring it nearer
                 if abs(held + weight[k] - share * total) < abs(held - share * total):
                     held += weight[k]
                     part[k] = label
@@ -81,9 +83,9 @@ def balanced_assignment(sizes: dict[str, int], seed: int, train: float, validati
 
 
 def component_split(spark: SparkSession, samples: DataFrame, components: DataFrame, seed: int, train: float, validation: float) -> DataFrame:
-    """samples(sample, study) with component and split; sizes are counted in Spark, components are few."""
-    joined = samples.join(components, "study", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("UNGROUPED::"), F.col("sample").cast("string"))))
-    sizes = {r["component"]: r["n"] for r in joined.groupBy("component").agg(F.countDistinct("sample").alias("n")).orderBy("component").limit(100_000).collect()}
+    """samples(sample, study) with component and split; sizes are counted in Spark, and all components meet on the driver."""
+    joined = samples.join(components, "study", "left").withColumn("component", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("UNGROUPED::"), F.col("sample").cast("string"))))
+    sizes = {r["component"]: r["n"] for r in joined.groupBy("component").agg(F.countDistinct("sample").alias("n")).orderBy("component").collect()}
     part = balanced_assignment(sizes, seed, train, validation)
     table = spark.createDataFrame(sorted(part.items()), "component string, split string")
     return joined.join(table, "component")

@@ -236,6 +236,14 @@ def split_summary(spark, d):
     return I.matrix(spark, d).groupBy("split").agg(F.countDistinct("sample_id").alias("samples"), F.countDistinct("study").alias("studies"))
 
 
+@query()
+def split_apply(spark, d):
+    from assaylake.session import work_folder
+
+    samples = I.matrix(spark, d).select(F.col("sample_id").alias("sample"), "study")
+    return splits.component_split(spark, samples, splits.study_components(spark, samples, work_folder(spark, "split")), 5, 0.8, 0.1)
+
+
 @query("SELECT l_partkey AS sample, count(DISTINCT l_suppkey % 3) AS parts FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey % 3) > 1")
 def split_leak_check(spark, d):
     return contracts.crossing(I.occurrences(spark, d).withColumn("part", F.pmod("study", F.lit(3))), "sample", "part")

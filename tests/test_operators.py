@@ -97,6 +97,26 @@ def test_balanced_assignment():
         splits.balanced_assignment({"a": 1, "b": 1}, 5, 0.8, 0.1)
 
 
+def test_component_split_keeps_all_samples(spark, monkeypatch):
+    """More components than were once collected; the filling itself is tested above."""
+    monkeypatch.setattr(splits, "balanced_assignment", lambda sizes, *_: {c: ("train", "validation", "test")[k % 3] for k, c in enumerate(sizes)})
+    samples = spark.range(100_050).select(F.col("id").alias("sample"), F.when(F.col("id") < 40, F.col("id") % 4).alias("study"))
+    components = spark.createDataFrame([(k, k // 2) for k in range(4)], "study bigint, component bigint")
+    got = splits.component_split(spark, samples, components, 5, 0.8, 0.1)
+    n = got.agg(F.count("split").alias("n"), F.countDistinct("sample").alias("samples"), F.countDistinct("component").alias("components")).first()
+    assert tuple(n) == (100_050, 100_050, 100_012)
+    assert got.groupBy("component").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_split_query_gives_every_sample_a_part(spark):
+    rows = catalogue.QUERIES["split_apply"](spark, DATA).collect()
+    want = {r.vec_id: r.label for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    assert {r["sample"]: r.study for r in rows} == want and len(rows) == len(want)
+    assert {r.split for r in rows} == {"train", "validation", "test"}
+    assert len({(r.study, r.split) for r in rows}) == len(set(want.values()))
+
+
 def test_nested_manifest_is_pure():
     rows = splits.nested_manifest([f"D{k}" for k in range(20)], 5, 2, 4, 11)
     assert rows == splits.nested_manifest([f"D{k}" for k in range(20)], 5, 2, 4, 11)
