@@ -10,8 +10,9 @@ item that overlap in the text are one region, with the fewest edits of them.
 The items are the query set: they are broadcast in blocks of at most BLOCK_CHARS characters, each block a pass over the
 documents; their number of characters is counted first.
 
-Cases: a null text, or one shorter than a pattern, has no region; items that are null or have fewer than LEAST characters
-are no evidence; repeated items are found each; repeated rows are searched each; without items nothing is found; an empty
+Cases: a null text, or one shorter than a pattern, has no region; items of fewer than LEAST characters are found as they are,
+between bounds of words; items that are null or without letters and digits have nothing to be found; an item without an id
+is found with a null id; repeated items are found each; repeated rows are searched each; without items nothing is found; an empty
 table gives an empty result; further columns are not read.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.llm.learn import char_hash, letters, lower
-from assaylake.llm.textvec import blocks, codes
+from assaylake.llm.textvec import blocks, codes, mix, run_hashes, spans
 
 Q, BUDGET, LEAST, WINDOW, BLOCK_CHARS, FILTER_BITS = 8, 0.08, 24, 120, 2_000_000, 21
 #: Diagonals that are first counted together, at least twice a band's (wider bands are not counted so); slots of those counts.
@@ -59,7 +60,7 @@ def grams(c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Patterns:
-    item: np.ndarray
+    item: list[int | None]
     row: np.ndarray  # of the item among the items
     chars: list[np.ndarray]  # of the whole item
     length: np.ndarray  # of the stretches looked for: all of the item, or WINDOW
@@ -70,19 +71,35 @@ class Patterns:
     pattern: np.ndarray  # of each entry
     offset: np.ndarray
     seen: np.ndarray  # filter over the hashes' first bits
+    short: dict[int, dict[int, list[tuple[int, int | None, np.ndarray]]]]  # number of words, their hash: row, item, characters
 
 
 def edits_allowed(n: int) -> int:
     return int(n * BUDGET)
 
 
+def runs_of_words(c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each n words in a row of normalized text, where they start and where they stop."""
+    starts, ends = spans(c != 32)
+    words = run_hashes(c, starts, ends)
+    many = max(len(words) - n + 1, 0)
+    h = np.zeros(many, np.uint64)
+    for k in range(n if many else 0):
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + words[k : k + many])
+    return h, starts[:many], ends[n - 1 :]
+
+
 def patterns(items: pd.DataFrame) -> Patterns | None:
-    item, row, chars, length = [], [], [], []
+    item, row, chars, length, short = [], [], [], [], {}
     for k, (item_id, text) in enumerate(zip(items["item_id"], items["text"], strict=True)):
         c, _ = normal(codes([text])[0])
         c = c[:-1] if len(c) and c[-1] == 32 else c
         n = len(c)
         if n < LEAST:
+            c = c[1:] if n and c[0] == 32 else c
+            if len(c):
+                words = int((c == 32).sum()) + 1
+                short.setdefault(words, {}).setdefault(int(runs_of_words(c, words)[0][0]), []).append((k, item_id, c))
             continue
         # An item that holds more windows than its edits can spoil is never found as a whole without one of them.
         implied = n > WINDOW and n // WINDOW * (edits_allowed(WINDOW) + 1) > edits_allowed(n)
@@ -91,19 +108,19 @@ def patterns(items: pd.DataFrame) -> Patterns | None:
             row.append(k)
             chars.append(c)
             length.append(m)
-    if not item:
+    if not item and not short:
         return None
-    n = np.array(length)
+    n = np.array(length, np.int64)
     allowed = np.array([edits_allowed(m) for m in length], np.int64)
     hashes = [grams(c)[: len(c) - Q + 1] for c in chars]
-    flat = np.concatenate(hashes)
+    flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
     order = np.argsort(flat, kind="stable")
     keys, where = np.unique(flat[order], return_index=True)
     seen = np.zeros(1 << FILTER_BITS, bool)
     seen[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    of = np.repeat(np.arange(len(chars)), [len(h) for h in hashes])[order]
-    offset = np.concatenate([np.arange(len(h)) for h in hashes])[order]
-    return Patterns(np.array(item, np.int64), np.array(row), chars, n, allowed, np.maximum(n - Q + 1 - allowed * Q, 1), keys, np.append(where, len(flat)), of, offset, seen)
+    of = np.repeat(np.arange(len(chars)), np.array([len(h) for h in hashes], np.int64))[order]
+    offset = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashes)])[order]
+    return Patterns(item, np.array(row), chars, n, allowed, np.maximum(n - Q + 1 - allowed * Q, 1), keys, np.append(where, len(flat)), of, offset, seen, short)
 
 
 def align(own: np.ndarray, begins: np.ndarray, length: int, k: int, text: np.ndarray, diagonal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,6 +159,8 @@ def candidates(p: Patterns, c: np.ndarray, doc: np.ndarray) -> Iterator[tuple[in
 
     doc: the text of each position.
     """
+    if not len(p.keys):
+        return
     h = grams(c)
     at = np.flatnonzero(p.seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
     key = np.searchsorted(p.keys, h[at])
@@ -161,10 +180,10 @@ def candidates(p: Patterns, c: np.ndarray, doc: np.ndarray) -> Iterator[tuple[in
     step = np.maximum(p.allowed[pat], 1)
     band = (diagonal + (1 << 30)) // step
     # Each band as one number: text, pattern, band.
-    whole = (doc[pos].astype(np.int64) * len(p.item) + pat) << 31
+    whole = (doc[pos].astype(np.int64) * len(p.chars) + pat) << 31
     each = np.concatenate([whole + band, whole + band - 1])
     rows, n = np.unique(each, return_counts=True)
-    rows = rows[n >= p.bound[(rows >> 31) % len(p.item)]]
+    rows = rows[n >= p.bound[(rows >> 31) % len(p.chars)]]
     if not len(rows):
         return
     row = np.minimum(np.searchsorted(rows, each), len(rows) - 1)
@@ -173,7 +192,7 @@ def candidates(p: Patterns, c: np.ndarray, doc: np.ndarray) -> Iterator[tuple[in
     offset = np.concatenate([offset, offset])[order]
     edges = np.searchsorted(row[order], np.arange(len(rows) + 1)).tolist()
     for k, r in enumerate(rows.tolist()):
-        d, pattern = divmod(r >> 31, len(p.item))
+        d, pattern = divmod(r >> 31, len(p.chars))
         yield d, pattern, (r & ((1 << 31) - 1)) * max(int(p.allowed[pattern]), 1) - (1 << 30), offset[edges[k] : edges[k + 1]]
 
 
@@ -194,18 +213,32 @@ def passages(p: Patterns, pat: int, text: np.ndarray, diagonal: int, offsets: np
     return [x for x in zip(start.tolist(), stop.tolist(), edits.tolist(), strict=True) if x[0] < x[1]]
 
 
+def exact(p: Patterns, c: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int | None, int, int]]:
+    """(text, row, item, start, stop) of short items."""
+    for n, known in p.short.items():
+        h, starts, stops = runs_of_words(c, n)
+        hit = np.flatnonzero(np.isin(h, np.array(list(known), np.uint64)))
+        hit = hit[doc[starts[hit]] == doc[stops[hit] - 1]]
+        for code, a, b, d in zip(h[hit].tolist(), starts[hit].tolist(), stops[hit].tolist(), doc[starts[hit]].tolist(), strict=True):
+            for row, item, own in known[code]:
+                if np.array_equal(own, c[a:b]):
+                    yield d, row, item, a, b
+
+
 def find(p: Patterns, texts: list[str]) -> list[list[dict]]:
     raw, starts = codes(texts)
     c, at = normal(raw)
     edges = np.searchsorted(at, starts)
     doc = np.repeat(np.arange(len(texts)), np.diff(edges))
-    spans: dict[tuple[int, int, int], set[tuple[int, int, int]]] = {}
+    held: dict[tuple[int, int, int | None], set[tuple[int, int, int]]] = {}
+    for d, row, item, a, b in exact(p, c, doc):
+        held.setdefault((d, row, item), set()).add((a - int(edges[d]), b - int(edges[d]), 0))
     for d, pat, diagonal, offsets in candidates(p, c, doc):
         lo = int(edges[d])
         if got := passages(p, pat, c[lo : edges[d + 1]], diagonal - lo, offsets):
-            spans.setdefault((d, int(p.row[pat]), int(p.item[pat])), set()).update(got)
+            held.setdefault((d, int(p.row[pat]), p.item[pat]), set()).update(got)
     out: list[list[dict]] = [[] for _ in texts]
-    for (d, _, item), some in spans.items():
+    for (d, _, item), some in held.items():
         lo, whole = int(edges[d]), []
         for a, b, edits in sorted(some):
             if whole and a < whole[-1][1]:
@@ -213,19 +246,20 @@ def find(p: Patterns, texts: list[str]) -> list[list[dict]]:
             else:
                 whole.append((a, b, edits))
         out[d] += [{"item_id": item, "start": int(at[lo + a] - starts[d]), "stop": int(at[lo + b - 1] + 1 - starts[d]), "edits": n} for a, b, n in whole]
-    return [sorted(x, key=lambda r: (r["start"], r["item_id"], r["stop"])) for x in out]
+    return [sorted(x, key=lambda r: (r["start"], r["item_id"] is None, r["item_id"] or 0, r["stop"])) for x in out]
 
 
 def regions(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with a column `regions`: item_id, start and stop in code points, edits. A column of that name is replaced."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-chars // BLOCK_CHARS))
     docs = docs.drop("regions")
     names = docs.columns
     out = docs.withColumn("regions", F.array().cast(KIND))
     for k in range(passes):  # more than one only for a benchmark of millions of characters
-        p = patterns(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").toPandas())
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
+        p = patterns(pd.DataFrame({"item_id": pd.Series([r["item_id"] for r in own], dtype=object), "text": pd.Series([r["text"] for r in own], dtype=object)}))
         if p is None:
             continue
         shared = spark.sparkContext.broadcast(p)

@@ -371,6 +371,16 @@ def test_leaks_on_odd_rows(spark, odd):
     assert decontam.regions(spark, odd.limit(0), bench).count() == 0
 
 
+def test_short_items_and_items_without_an_id(spark):
+    long = "a passage of a benchmark that has no id of its own"
+    items = [(1, "Forty-two."), (2, "x"), (3, "?!"), (4, "forty two"), (None, long), (None, "Nine Lives"), (2**60 + 1, "seven seas")]
+    docs = [(1, "It is forty  two, he said"), (2, "forty twos"), (3, f"so: {long.upper()}."), (4, "x"), (5, "xx nine lives"), (6, "seven"), (7, "seas"), (8, "SEVEN SEAS, seven seas"), (9, None)]
+    bench, texts = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: [(x.item_id, x.start, x.stop) for x in r.regions] for r in decontam.regions(spark, texts, bench).collect()}
+    want = {1: [(1, 6, 16), (4, 6, 16)], 2: [], 3: [(None, 4, 4 + len(long))], 4: [(2, 0, 1)], 5: [(None, 3, 13)], 6: [], 7: [], 8: [(2**60 + 1, 0, 10), (2**60 + 1, 12, 22)], 9: []}
+    assert got == want
+
+
 # --- archives
 
 
