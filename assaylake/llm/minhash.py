@@ -208,10 +208,24 @@ def near_groups(spark: SparkSession, docs: DataFrame, width: int = 5, percent: i
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one document of each group. Of rows that repeat a doc_id one stays; without a doc_id all do."""
-    stay = near_groups(spark, docs, width, percent).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    named = docs.filter("doc_id IS NOT NULL")
-    return named.join(stay, named["doc_id"] == stay["_stay"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """The rows of docs that stay: one document of each group; without a doc_id all do.
+
+    Of rows that repeat a doc_id and a text one stays; where texts of a doc_id differ, each is a document of its own.
+    """
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    names = docs.columns
+    named = docs.filter("doc_id IS NOT NULL").withColumn("_node", F.col("doc_id").cast("long"))
+    several = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("h"))
+    several = written(spark, several.groupBy("_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("_id"), "near-several")
+    if not several.isEmpty():
+        top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+        texts = named.join(several, named["_node"] == several["_id"], "left_semi").select(F.col("_node").alias("_id"), key.alias("_text")).distinct()
+        own = written(spark, texts.withColumn("_own", F.lit(top + 1) + F.monotonically_increasing_id()), "near-own")
+        named = named.withColumn("_key", key)
+        named = named.join(own, (named["_node"] == own["_id"]) & (named["_key"] == own["_text"]), "left").withColumn("_node", F.coalesce("_own", "_node"))
+    stay = near_groups(spark, named.select(F.col("_node").alias("doc_id"), "text"), width, percent).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
+    named = named.join(stay, named["_node"] == stay["_stay"], "left_semi").dropDuplicates(["_node"])
+    return named.select(*(F.col(f"`{n}`") for n in names)).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,6 +298,15 @@ def test_fingerprints_on_odd_rows(spark, odd):
     assert (row.x, row.y) == (1.0, 0.0)
 
 
+def test_texts_that_repeat_an_id_each_stay(spark):
+    """An id with a clean text, a copy of another row's and a repeat of the clean one: only the copy goes."""
+    text = {k: " ".join(f"{k}{j}" for j in range(60)) for k in "abcd"}
+    rows = [(1, text["a"]), (2, text["a"]), (2, text["b"]), (2, text["b"]), (2, text["c"]), (3, text["d"]), (4, text["d"])]
+    stays = minhash.one_of_each(spark, spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = [(r.doc_id, r.text) for r in stays.collect()]
+    assert stays.columns == ["doc_id", "text"] and sorted(got) == [(1, text["a"]), (2, text["b"]), (2, text["c"]), (3, text["d"])]
+
+
 # --- decontamination
 
 
