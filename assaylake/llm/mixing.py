@@ -3,7 +3,8 @@
 Each source gets a target number of words: a share by its weight, at most `most` times what it has, the excess
 given to the others by weight. A document is first taken as many whole times as target / size of its source
 holds; for what is left of the target, the documents of the source are ranked by random odds divided by
-inclusion odds, and taken in that order up to the target, to the nearest document.
+inclusion odds, and taken in that order up to the target, to the nearest document. The inclusion odds are one number
+for a source, so within it the order is plain random.
 
 Cases: a null text has size 0; a null source is a source of its own, the last; a source without words has target 0
 and its documents are taken 0 times; repeated rows count each by itself and, having the same random number, stand
