@@ -5,8 +5,9 @@ scores the word by the log-probabilities of its letter trigrams (with its ends),
 finds for the words of a text the best sequence of languages, where each change costs SWITCH; runs of one language are
 the spans. The text's language is that of most letters, and the score its share of the letters.
 
-Trigram counts come from at most SAMPLE texts of each language, those with the smallest hashes of their doc_id, near copies
-left out. The languages are the distinct labels; the table for them is on the driver (its size is checked).
+Trigram counts come, in one task of an executor, from at most SAMPLE texts of each language, those with the smallest hashes of
+their doc_id and at most LONGEST code points, CHARS in all; near copies are left out. The languages are the distinct labels,
+however many: the table has at most 2^TABLE_BITS entries, so that with very many languages trigrams share buckets.
 
 Cases: a null text, or one without a letter, is `und` with score 0; words of a script that no language uses score nothing and
 go with their neighbours; without any label all texts are `und`; equal scores go to the first language in order; repeated
@@ -20,14 +21,16 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from assaylake.llm.learn import char_hash, held_out, letters, lower, novel, sample
+from assaylake.llm.learn import char_hash, fitted, held_out, letters, lower, novel, texts_of
 from assaylake.llm.textvec import blocks, codes, mix, spans
 
-SAMPLE, BITS, SWITCH, MOST_LANGUAGES = 400, 16, 12.0, 200
+SAMPLE, BITS, LEAST_BITS, TABLE_BITS, SWITCH = 400, 16, 10, 24, 12.0
 #: Word scores (words x languages) that are decoded together.
 TOGETHER = 16_000_000
 #: First code points of ranges of scripts; the rest up to the first is Latin, as is what no range names.
@@ -38,6 +41,7 @@ SCRIPTS = (
     (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0xFF00, "latin"), (0x10000, "other"), (0x20000, "han"),
 )
 NAMES = sorted({name for _, name in SCRIPTS})
+SPANS = "array<struct<start:int,stop:int,lang:string>>"
 
 
 @cache
@@ -51,24 +55,25 @@ def scripts() -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # 2^BITS x languages
+    bits: int
+    table: np.ndarray  # 2^bits x languages
     uses: np.ndarray  # scripts x languages, whether a language uses a script
 
 
-def word_trigrams(texts: list[str]):
+def word_trigrams(texts: list[str], bits: int):
     """Buckets of the letters' trigrams, word starts and ends among them, each word's script, starts, ends, and the texts' first words."""
     raw, at = codes(texts)
     inside = letters()[raw]
     starts, ends = spans(inside)
     h = np.where(inside, char_hash()[lower()[raw]], np.uint64(7))
     before, after = np.roll(h, 1), np.roll(h, -1)
-    grams = mix(before * np.uint64(3) + h * np.uint64(0x9E3779B97F4A7C15) + after * np.uint64(0xC2B2AE3D27D4EB4F))[inside] >> np.uint64(64 - BITS)
+    grams = mix(before * np.uint64(3) + h * np.uint64(0x9E3779B97F4A7C15) + after * np.uint64(0xC2B2AE3D27D4EB4F))[inside] >> np.uint64(64 - bits)
     letters_before = np.concatenate([[0], np.cumsum(ends - starts)])
     return grams.astype(np.int64), letters_before, scripts()[raw[starts]], starts, ends, np.searchsorted(starts, at), at
 
 
 def word_scores(model: Model, texts: list[str]):
-    grams, bounds, script, starts, ends, first, at = word_trigrams(texts)
+    grams, bounds, script, starts, ends, first, at = word_trigrams(texts, model.bits)
     if not len(starts):
         return np.zeros((0, len(model.languages)), np.float32), starts, ends, first, at
     scores = np.stack([np.add.reduceat(model.table[:, k][grams], bounds[:-1]) for k in range(len(model.languages))], axis=1)
@@ -81,15 +86,15 @@ def word_scores(model: Model, texts: list[str]):
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word, for texts that stand one after another; all texts take each step together."""
     if not len(scores):
-        return np.zeros(0, np.uint8)
+        return np.zeros(0, np.uint16)
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     alive = (len(lengths) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), "right")).tolist()
-    came = np.zeros(len(scores), np.uint8)  # the best language one word before
+    came = np.zeros(len(scores), np.uint16)  # the best language one word before
     moved = np.zeros(scores.shape, bool)  # whether coming from it beats staying
     v = scores[starts[: alive[0]]].astype(np.float64)
-    last = np.zeros(len(lengths), np.uint8)
+    last = np.zeros(len(lengths), np.uint16)
     for k in range(1, len(alive)):
         n = alive[k]
         if n < len(v):
@@ -102,7 +107,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
         came[at], moved[at] = best, jump
         v = np.where(jump, -switch, v) + scores[at]
     last[: len(v)] = v.argmax(axis=1)
-    path = np.zeros(len(scores), np.uint8)
+    path = np.zeros(len(scores), np.uint16)
     state = last
     for k in range(len(alive) - 1, -1, -1):
         n = alive[k]
@@ -130,19 +135,14 @@ def _label(batches: Iterator[pa.RecordBatch], model: Model, with_spans: bool) ->
         names = np.array([*model.languages, "und"], object)[np.where(none, langs, best)]
         out = [pa.concat_arrays([h[0] for h in held]), pa.array(names, pa.string()), pa.array(score)]
         if with_spans:
-            found, w = [], 0
-            for h in held:
-                for d in range(len(h[4]) - 1):
-                    lo, own = int(h[4][d]), []
-                    for k in range(int(np.diff(h[4])[d])):
-                        lang, a, b = model.languages[path[w + k]], int(h[2][lo + k] - h[5][d]), int(h[3][lo + k] - h[5][d])
-                        if own and own[-1]["lang"] == lang:
-                            own[-1]["stop"] = b
-                        else:
-                            own.append({"start": a, "stop": b, "lang": lang})
-                    w += int(np.diff(h[4])[d])
-                    found.append(own)
-            out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))))
+            begin = np.concatenate([h[2] - np.repeat(h[5][:-1], np.diff(h[4])) for h in held])
+            stop = np.concatenate([h[3] - np.repeat(h[5][:-1], np.diff(h[4])) for h in held])
+            doc = np.repeat(np.arange(n), counts)
+            opens = np.flatnonzero((np.diff(path.astype(np.int64), prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+            closes = np.append(opens[1:], len(path))[: len(opens)] - 1
+            named = pa.array(model.languages, pa.string()).take(pa.array(path[opens], pa.int32()))
+            runs = pa.StructArray.from_arrays([pa.array(begin[opens], pa.int32()), pa.array(stop[closes], pa.int32()), named], names=["start", "stop", "lang"])
+            out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[opens], np.arange(n + 1)), pa.int32()), runs))
         return pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "spans"][: len(out)])
 
     for part, texts in blocks(batches):
@@ -159,32 +159,38 @@ def _label(batches: Iterator[pa.RecordBatch], model: Model, with_spans: bool) ->
 def fit(docs: DataFrame, n: int = SAMPLE) -> Model:
     """Learn from docs(doc_id, text, lang); the caller leaves out what must not be learned from."""
     rows = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    languages = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = np.full((1 << BITS, len(languages)), 0.02)
+    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    ids = rows.select("doc_id", "lang").distinct().withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= n).select("doc_id", "lang")
+    languages = rows.select(F.lit(None).cast("long").alias("doc_id"), "lang", F.lit("").alias("text")).distinct()  # those whose texts are all too long count, too
+    return fitted(texts_of(rows.drop("lang"), ids, ["lang"]).unionByName(languages), _fit)
+
+
+def _fit(found: pd.DataFrame) -> Model:
+    languages = sorted(found["lang"].unique().tolist())
+    bits = max(LEAST_BITS, min(BITS, TABLE_BITS - max(0, len(languages) - 1).bit_length()))
+    table = np.full((1 << bits, len(languages)), 0.02, np.float32)
     uses = np.zeros((len(NAMES), len(languages)), bool)
     for k, lang in enumerate(languages):
-        found = sample(rows, rows.filter(F.col("lang") == lang).select("doc_id", "lang"), ["lang"], n)["text"].tolist()
-        found = [t for t, new in zip(found, novel(found), strict=True) if new]
-        grams, bounds, script, *_ = word_trigrams(found)
-        table[:, k] += np.bincount(grams, minlength=1 << BITS)
+        texts = found["text"][found["lang"] == lang].tolist()
+        texts = [t for t, new in zip(texts, novel(texts), strict=True) if new]
+        grams, bounds, script, *_ = word_trigrams(texts, bits)
+        table[:, k] += np.bincount(grams, minlength=1 << bits)
         share = np.bincount(script, minlength=len(NAMES)) / max(1, len(script))
         uses[:, k] = share >= 0.001
-    table = np.log(table / table.sum(axis=0))
-    return Model(languages, np.ascontiguousarray(table.astype(np.float32)), uses)
+        table[:, k] = np.log(table[:, k] / table[:, k].sum(dtype=np.float64))
+    return Model(languages, bits, table, uses)
 
 
 def label(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and, if asked, the spans (start, stop in code points, lang)."""
     if not model.languages:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 256 kB for each language
-    kind = "doc_id bigint, lang_pred string, score double" + ", spans array<struct<start:int,stop:int,lang:string>>" * with_spans
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *([F.array().cast(SPANS).alias("spans")] if with_spans else []))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4 << TABLE_BITS bytes
+    kind = "doc_id bigint, lang_pred string, score double" + f", spans {SPANS}" * with_spans
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda x: _label(x, shared.value, with_spans), kind)
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = label(docs, fit(docs.filter(~held_out(4, 2))))
-    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+    found = label(docs, fit(docs.filter(~held_out(4, 2))), with_spans=True)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "spans")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +23,51 @@ def held_out(parts: int, which: int) -> Column:
     return F.coalesce(fold(F.col("doc_id"), parts) == which, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: DataFrame, columns: list[str], n: int) -> pd.DataFrame:
-    """Texts of the n rows(doc_id, *columns) with the smallest hashes of their doc_id; never more than n rows.
+#: Code points of a sample that a model is fitted on: of one text, and of all.
+LONGEST, CHARS = 100_000, 12_000_000
+
+
+def sample(docs: DataFrame, rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """doc_id, text, *columns of the n rows(doc_id, *columns) with the smallest hashes of their doc_id; never more than n rows.
 
     Rows with an equal doc_id count once (the smallest); docs that repeat a doc_id give one text, the first in order.
+    Texts of more than LONGEST code points are left out of the sample, not of what is scored.
     """
     ids = rows.groupBy("doc_id").agg(*(F.min(c).alias(c) for c in columns)).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(n)
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # n rows
-    return found.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").limit(n).toPandas().drop_duplicates("doc_id").fillna({"text": ""})
+    return texts_of(docs, ids, columns)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """The text of each of ids(doc_id, *columns), a bounded number of rows."""
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= LONGEST).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", *columns).agg(F.min("text").alias("text"))
+
+
+def fitted(frame: DataFrame, train: Callable[[pd.DataFrame], object], chars: int = CHARS) -> object:
+    """train(rows of the bounded sample) in one task of an executor; only the model comes to the driver.
+
+    Rows come in order of the hash of their doc_id, up to `chars` code points in all. A lost executor costs a retry.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+        for batch in batches:
+            upto = np.cumsum([len(t) for t in batch.column("text").to_pylist()]) + held
+            kept.append(batch.slice(0, int((upto <= chars).sum())).to_pandas())
+            if len(upto) and upto[-1] > chars:
+                break
+            held = int(upto[-1]) if len(upto) else held
+        rows = pd.concat(kept, ignore_index=True) if kept else pd.DataFrame(columns=frame_columns)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+
+    frame_columns = frame.columns
+    frame = frame.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
+    found = frame.mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else train(pd.DataFrame(columns=frame.columns))
 
 
 def grouped(texts: list[str], chars: int = 400_000) -> Iterator[list[str]]:
-    """Texts in groups of about so many characters, so that arrays over characters stay small on the driver."""
+    """Texts in groups of about so many characters, so that arrays over characters stay small."""
     group, held = [], 0
     for t in texts:
         if group and held + len(t) > chars:

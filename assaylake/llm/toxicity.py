@@ -2,12 +2,12 @@
 
 The labels are of documents; the tokens' labels for training are derived from them: a token of a toxic document is toxic
 if one of its features (the word, its first 4 or 5 letters, its last 4) is in far more toxic than clean documents of the
-sample, and surely so. The field has two states and one chain for each sentence. Forward-backward gives each token's marginal; a
+sample, or is so often, and surely so. The field has two states and one chain for each sentence. Forward-backward gives each token's marginal; a
 document's score is a logistic function of how many tokens are likelier toxic than not, how sure the surest is, and their
 share, fitted on the documents' labels at their prevalence.
 
-The model is fitted on at most SAMPLE toxic and SAMPLE other documents, those with the smallest hashes of their
-doc_id; near copies within the sample are left out of it.
+The model is fitted, in one task of an executor, on at most SAMPLE toxic and SAMPLE other documents, those with the smallest
+hashes of their doc_id and at most LONGEST code points, CHARS in all (learn.py); near copies within the sample are left out.
 
 Cases: a null or empty text, or one without letters, has no token and the score of a text without toxic tokens; repeated
 rows are scored each; labels that are null or repeated count not at all or once; without labels of both kinds every score
@@ -20,14 +20,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.learn import Adam, char_hash, fit_logistic, grouped, held_out, letters, logistic, lower, novel, sample
+from assaylake.llm.learn import Adam, char_hash, fit_logistic, fitted, grouped, held_out, letters, logistic, lower, novel, sample
 from assaylake.llm.textvec import blocks, codes, mix, powers, spans
 
 SAMPLE, BITS, EPOCHS, STRONG, SURE = 1500, 18, 25, 8.0, 3
+#: Occurrences in a document from which a feature counts as there.
+OFTEN = (1, 2, 4)
 TOXIC = 0.7
 #: Sentences end at these and at line ends.
 ENDS = np.array([ord(c) for c in ".!?\n\r"], np.uint32)
@@ -128,17 +131,21 @@ def train(texts: list[str], toxic: np.ndarray, prevalence: float) -> Field:
     del parts, opens
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     size = 1 << BITS
-    in_docs = []
-    for label in (0, 1):
-        pairs = np.unique((doc[:, None] * (4 * size) + np.arange(4) * size + features)[toxic[doc] == label]) % (4 * size)
-        in_docs.append(np.bincount(pairs, minlength=4 * size))
     n0, n1 = (toxic == 0).sum(), (toxic == 1).sum()
-    odds = ((in_docs[1] + 0.5) / (n1 + 1)) / ((in_docs[0] + 0.5) / (n0 + 1))
-    # By chance alone, fewer than SURE features of all would keep to toxic documents so.
-    q, n = n1 / (n0 + n1), np.maximum(in_docs[0] + in_docs[1], 1)
-    log_ratio = sum(x * np.log(np.maximum(x, 1) / (share * n)) for x, share in ((in_docs[1], q), (in_docs[0], 1 - q)))
-    telling = ((odds > STRONG) & (log_ratio > np.log((in_docs[0] + in_docs[1] > 0).sum() / SURE))).reshape(4, size)
-    y = (toxic[doc] == 1) & np.any([telling[k][features[:, k]] for k in range(4)], axis=0)
+    cells, back_to, times = np.unique(doc[:, None] * (4 * size) + np.arange(4) * size + features, return_inverse=True, return_counts=True)
+    in_toxic, of = toxic[cells // (4 * size)] == 1, cells % (4 * size)
+    sure = np.zeros(len(cells), bool)
+    for least in OFTEN:  # a feature may tell by being there, or by being there often
+        enough = times >= least
+        with_ = [np.bincount(of[enough & (in_toxic == k)], minlength=4 * size) for k in (False, True)]
+        odds = ((with_[1] + 0.5) / (n1 + 1)) / ((with_[0] + 0.5) / (n0 + 1))
+        # By chance alone, fewer than SURE features of all would keep to toxic documents so.
+        q, n = n1 / (n0 + n1), np.maximum(with_[0] + with_[1], 1)
+        log_ratio = sum(x * np.log(np.maximum(x, 1) / (share * n)) for x, share in ((with_[1], q), (with_[0], 1 - q)))
+        telling = (odds > STRONG) & (log_ratio > np.log(max(1, (with_[0] + with_[1] > 0).sum()) / SURE))
+        sure |= enough & in_toxic & telling[of]
+    y = sure[back_to.reshape(features.shape)].any(axis=1)
+    del cells, back_to, times, in_toxic, of, sure
 
     used, compact = np.unique(features, return_inverse=True)
     compact = compact.reshape(features.shape).astype(np.int32)
@@ -178,8 +185,10 @@ def _score(batches: Iterator[pa.RecordBatch], field: Field, with_spans: bool) ->
         names = ["doc_id", "score"]
         if with_spans:
             at = codes(texts)[1]
-            found = [[{"start": int(starts[k] - at[d]), "stop": int(ends[k] - at[d]), "p": float(p[k])} for k in range(first[d], first[d + 1]) if p[k] > 0.5] for d in range(len(texts))]
-            out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("p", pa.float64())]))))
+            hits = np.flatnonzero(p > 0.5)
+            doc = np.searchsorted(first, hits, "right") - 1
+            runs = pa.StructArray.from_arrays([pa.array(starts[hits] - at[doc], pa.int32()), pa.array(ends[hits] - at[doc], pa.int32()), pa.array(p[hits], pa.float64())], names=["start", "stop", "p"])
+            out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32()), runs))
             names.append("spans")
         yield pa.RecordBatch.from_arrays(out, names=names)
 
@@ -188,16 +197,19 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Field:
     """Learn from labels(doc_id, toxic); the caller leaves out what must not be learned from."""
     labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic")
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prevalence = counts.get(1, 0) / max(1, sum(counts.values()))
-    parts = [sample(docs, labels.filter(F.col("toxic") == k), ["toxic"], n) for k in (0, 1)]
-    parts = [x[novel(x["text"].tolist())] for x in parts]
-    texts = [*parts[0]["text"], *parts[1]["text"]]
-    toxic = np.array([0] * len(parts[0]) + [1] * len(parts[1]))
-    if not len(parts[0]) or not len(parts[1]):
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    rows = [sample(docs, labels.filter(F.col("toxic") == k), ["toxic"], n) for k in (0, 1)]
+    return fitted(rows[0].unionByName(rows[1]), lambda found: _fit(found, share))
+
+
+def _fit(found: pd.DataFrame, prevalence: float) -> Field:
+    parts = [found["text"][found["toxic"] == k].tolist() for k in (0, 1)]
+    parts = [[t for t, new in zip(texts, novel(texts), strict=True) if new] for texts in parts]
+    if not parts[0] or not parts[1]:
         base = np.zeros(4)
         base[-1] = np.log((prevalence + 1e-9) / (1 - prevalence + 1e-9))
         return Field(np.zeros(1 << BITS), -30.0, np.zeros((2, 2)), base)
-    return train(texts, toxic, prevalence)
+    return train(parts[0] + parts[1], np.array([0] * len(parts[0]) + [1] * len(parts[1])), prevalence)
 
 
 def scores(docs: DataFrame, field: Field, with_spans: bool = False) -> DataFrame:
@@ -223,5 +235,5 @@ def clean(docs: DataFrame, field: Field) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(3, 1))
-    found = scores(docs, fit(docs, labels))
-    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+    found = scores(docs, fit(docs, labels), with_spans=True)
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "spans")
