@@ -7,9 +7,9 @@ that passages two documents share give the same chunks wherever they stand. The
   the ids, little-endian, in 2 bytes where the vocabulary allows it and else in 4.
 - recipes, in ascending doc_id order over the files in order of their numbers: for each document doc_id (i64; the
   smallest i64 stands for null), start (i64, ids of all documents before it), n_tokens (i64), the number of chunks
-  (u32), its Merkle root (32 bytes, SHA-256 over the chunk digests), then digest and number of ids of each chunk.
+  (u32), its Merkle root (32 bytes, SHA-256, over the chunk digests), then digest and number of ids of each chunk.
 
-A manifest for each kind lists the committed files with their digests, and the root over them; files of lost or
+A manifest for each kind lists the committed files with their digests, and the Merkle root over them; files of lost or
 repeated attempts are in no manifest. Reading verifies each chunk against its digest, each recipe against its root
 and each file against the manifest.
 
@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import os
+import re
 import struct
 import sys
 import uuid
@@ -29,10 +31,12 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +46,13 @@ from assaylake.llm.common import discard, partitions, ranged, running_sums, work
 PACK_MAGIC, RECIPE_MAGIC = b"ALPACK1\n", b"ALRECP1\n"
 PACK_HEAD, RECIPE_HEAD, RECIPE_CHUNK = struct.Struct("<16sI"), struct.Struct("<qqqI32s"), struct.Struct("<16sI")
 NO_ID = -(2**63)
+ASCII = frozenset(map(chr, range(128)))
 #: The rolling hash sees WINDOW ids; a chunk has LEAST to MOST ids and ends about every 2^CUT_BITS ids beyond LEAST.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 4096
-#: Words in each of the two generations that a worker keeps with their ids, the longest of them, and documents whose ids are hashed together.
-MEMO, LONG, GROUP = 500_000, 64, 256
+#: Words and digests of chunks in each of the two generations that a worker keeps, and the longest word kept: about 150 MB at most.
+WORDS, DIGESTS, LONG = 300_000, 100_000, 64
+#: Code points of documents that are taken together; a longer one is taken alone.
+GROUP = 500_000
 POOL_SCHEMA = "digest binary, n_ids bigint, crc bigint"
 RECIPE_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, digests array<binary>, lengths array<bigint>"
 
@@ -55,22 +62,63 @@ def _gear() -> np.ndarray:
     return np.random.default_rng(20).integers(0, 2**63, 1 << 16, dtype=np.uint64)
 
 
+class Recent:
+    """A mapping in two generations: what is not asked for while `size` entries come in is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.older = size, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Bring what is known of the keys into the young generation, and return the others."""
+        if len(self.young) > self.size:
+            self.older, self.young = self.young, {}
+        new = keys.difference(self.young)
+        if self.older:
+            known = [k for k in new if k in self.older]
+            self.young.update((k, self.older[k]) for k in known)
+            new.difference_update(known)
+        return new
+
+    def shorten(self, keys: set) -> None:
+        """Forget the long ones of these keys: entries have a greatest size."""
+        for k in keys:
+            if len(k) > LONG:
+                del self.young[k]
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, word by word.
 
-    The normalizer and the splitter of the word vocabulary never join what blanks and line ends part, so the ids of a
-    text are those of its parts; each distinct part goes through the library once while it is remembered.
+    The normalizer and the splitter of the word vocabulary never join what blanks and line ends part, so the ids of a text
+    are those of its words. Words of ASCII and Latin-1 letters are taken apart here as the splitter does, and the parts of many
+    new words go through the library's model as one text: a part's last id, and no other, is one of those that end a part. All
+    other words go through the whole library, and so do those of a vocabulary without such ids.
     """
 
+    PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+
+    RUNS = re.compile("[^\\sa-z0-9\xdf-\xf6\xf8-\xff][.,][ \n]")
+
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        self.whole = Tokenizer.from_file(path)
+        self.parts = Tokenizer(self.whole.model)  # for parts between blanks: no normalizer, no special tokens
+        self.parts.pre_tokenizer = CharDelimiterSplit(" ")
+        self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.code = "H" if self.width == 2 else "I"
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(1 << 8 * self.width if self.width == 2 else self.whole.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
+        # Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on; 0 to 32 are the first.
+        byte = {b: chr(0x100 + k) for k, b in enumerate([*range(33), *range(0x7F, 0xA1), 0xAD])}
+        self.written = {chr(c): "".join(byte.get(b, chr(b)) for b in chr(c).encode()) for c in range(0x80, 0x100)}
+        self.words = Recent(WORDS)
 
     def packed(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -78,34 +126,52 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
+    def _learn(self, new: set[str]) -> None:
+        words = self.words.young
+        plain = [w for w in new if (w.isascii() and w.isprintable() or self.PLAIN.fullmatch(w)) and "<|" not in w] if self.ends.any() else []
+        find = self.PARTS.findall
+        for lo in range(0, len(plain), 4096):
+            some = plain[lo : lo + 4096]
+            split = [find(w.lower()) for w in some]
+            text = " ".join(chain.from_iterable(split))
+            for c in set(text).difference(ASCII):
+                text = text.replace(c, self.written[c])
+            ids = np.array(self.parts.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids])[np.cumsum(np.fromiter(map(len, split), np.int64, len(split))) - 1] + 1  # one of each word
+            data, at = ids.tobytes(), [0, *(stops * self.width).tolist()]
+            words.update((w, data[a:b]) for w, a, b in zip(some, at, at[1:], strict=False))
+        others = list(new.difference(plain))
+        words.update((w, self.packed(x.ids)) for w, x in zip(others, self.whole.encode_batch_fast(others, add_special_tokens=False), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text; texts are taken together to look up their new words at once."""
-        memo = self.memo
         split = []
         for text in texts:
             # Case folding is the normalizer's own; done before, it spares entries. Special tokens keep their case.
-            if text.isascii() and "<|" not in text:
+            if "<|" not in text and (text.isascii() or _latin_1(text)):
                 text = text.lower()
+                if not self.RUNS.search(text):  # stops and commas then are parts of their own, and need not make words of their own
+                    text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
             split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        if len(memo) > MEMO:
-            self.older, self.memo = memo, (memo := {})
-        new = set().union(*split).difference(memo)
-        if self.older:  # what is still in use moves on, the rest goes with its generation
-            known = [w for w in new if w in self.older]
-            memo.update((w, self.older[w]) for w in known)
-            new.difference_update(known)
-        # A full stop or comma after a letter is always a part of its own.
-        ending = [w for w in new if w[-1:] in (".", ",") and w[-2:-1].isalpha()]
-        base = list({*new, *(w[:-1] for w in ending), ".", ","}.difference(ending, memo))
-        memo.update(zip(base, (self.packed(x.ids) for x in self.model.encode_batch_fast(base, add_special_tokens=False)), strict=True))
-        memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in ending)
-        out = [b"".join(map(memo.__getitem__, parts)) for parts in split]
-        for word in {*new, *base}:
-            if len(word) > LONG:
-                del memo[word]
+        every = set().union(*split)
+        every.discard("")
+        new = self.words.missing(every)
+        self._learn(new)
+        words = self.words.young
+        words[""] = b""
+        out = [b"".join(map(words.__getitem__, parts)) for parts in split]
+        self.words.shorten(new)
         return out
 
 
+def _latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -161,33 +227,44 @@ def _stage(batches: Iterator[pa.RecordBatch], path: str, end_id: int, folder: st
 def _chunks(batches: Iterator[pa.RecordBatch], enc: Encoder, end_id: int, file: str, out) -> Iterator[pa.RecordBatch]:
     written_to = 0
     end, width = np.array([end_id], enc.kind).tobytes(), enc.width
-    seen: set[bytes] = set()  # chunks that this task has handed on
+    seen = Recent(DIGESTS)  # chunks that this task has handed on; one forgotten is put aside again, and the packs hold it once
+    for doc_ids, texts in _groups(batches):
+        packed = [x + end for x in enc.encode(texts)]
+        lengths = np.array([len(x) // width for x in packed])
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        pieces: list[tuple[bytes, bytes]] = []
+        ends = cuts(np.frombuffer(b"".join(packed), enc.kind), starts)
+        for data, begin, own in zip(packed, starts.tolist(), ends, strict=True):
+            at = [0, *((stop - begin) * width for stop in own)]
+            pieces += [(hashlib.blake2b(x, digest_size=16).digest(), x) for x in (data[a:b] for a, b in zip(at, at[1:], strict=False))]
+        new = seen.missing({d for d, _ in pieces})
+        offsets: list[int | None] = []
+        for digest, piece in pieces:
+            if digest in new:
+                new.remove(digest)
+                seen.young[digest] = None
+                offsets.append(written_to)
+                out.write(piece)
+                written_to += len(piece)
+            else:
+                offsets.append(None)
+        rows, k = [], 0
+        for doc_id, n, own in zip(doc_ids, lengths.tolist(), ends, strict=True):
+            mine = slice(k, k := k + len(own))
+            rows.append((doc_id, n, [d for d, _ in pieces[mine]], [len(x) // width for _, x in pieces[mine]], file, offsets[mine]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STAGED, strict=True)], schema=STAGED)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """doc_ids and texts, about GROUP code points at a time."""
     for batch in batches:
-        ids_, texts = batch.column(0).to_pylist(), batch.column(1)
-        for lo in range(0, len(ids_), GROUP):
-            packed = [x + end for x in enc.encode([t or "" for t in texts[lo : lo + GROUP].to_pylist()])]
-            lengths = np.array([len(x) // width for x in packed])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            rows: list[tuple] = []
-            for k, own in enumerate(cuts(np.frombuffer(b"".join(packed), enc.kind), starts)):
-                data, begin, digests, sizes, offsets = packed[k], int(starts[k]), [], [], []
-                last = begin
-                for stop in own:
-                    piece = data[(last - begin) * width : (stop - begin) * width]
-                    digest = hashlib.blake2b(piece, digest_size=16).digest()
-                    digests.append(digest)
-                    sizes.append(stop - last)
-                    if digest in seen:
-                        offsets.append(None)
-                    else:
-                        offsets.append(written_to)
-                        out.write(piece)
-                        written_to += len(piece)
-                        if len(seen) < 1_000_000:  # beyond, a chunk may be put aside again; the packs still hold it once
-                            seen.add(digest)
-                    last = stop
-                rows.append((ids_[lo + k], int(lengths[k]), digests, sizes, file, offsets))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STAGED, strict=True)], schema=STAGED)
+        lo, held = 0, 0
+        lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+        for k, n in enumerate([*lengths, GROUP + 1]):
+            if k > lo and held + n > GROUP:
+                yield batch.column(0)[lo:k].to_pylist(), [t or "" for t in batch.column(1)[lo:k].to_pylist()]
+                lo, held = k, 0
+            held += n
 
 
 # --- files
@@ -197,7 +274,12 @@ FILES = "number bigint, name string, width bigint, sha256 string"
 
 
 def _root(digests: list[bytes]) -> bytes:
-    return hashlib.sha256(b"".join(digests)).digest()
+    """The root of the binary Merkle tree over the digests: leaves under a zero byte, inner nodes under a one; an odd node moves up as it is."""
+    level = [hashlib.sha256(b"\x00" + d).digest() for d in digests] or [hashlib.sha256(b"").digest()]
+    while len(level) > 1:
+        pairs = [hashlib.sha256(b"\x01" + a + b).digest() for a, b in zip(level[::2], level[1::2], strict=False)]
+        level = pairs + level[len(level) & ~1 :]
+    return level[0]
 
 
 class StoreWriter:
