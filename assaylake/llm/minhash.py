@@ -15,7 +15,8 @@ A key may hold very many classes, so not all its pairs are made:
 
 Cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a text with fewer words than
 the width has one shingle, all its words; rows that repeat a doc_id get a row each, told apart by their texts, and classes with
-the same smallest doc_id count as one; a null doc_id names no component; an empty table gives an empty result.
+the same smallest doc_id are linked; rows without words name themselves; a null doc_id names no component; an empty table gives
+an empty result. Work tables are deleted after their last reader; the sketches and the result's tables are read lazily and stay.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import work_path, written
+from assaylake.llm.common import Work, written
 from assaylake.llm.components import components
 from assaylake.llm.textvec import blocks, mix, shingle_sets
 
@@ -53,7 +54,7 @@ def signature(shingles: np.ndarray) -> bytes:
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for part, texts in blocks(batches):
         sets = shingle_sets(texts, width)
-        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        keys = [_set_key(s.tobytes()) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
             names=["doc_id", "n_shingles", "set_key", "signature"],
@@ -61,29 +62,42 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for part, texts in blocks(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["node", "shingles"])
+    for part, texts in blocks(batches, 0):
+        sets = [x for x in (s.tobytes() for s in shingle_sets(texts, width)) if x]
+        yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
+
+
+def _set_key(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
 
 
-RELATED = "a bigint, b bigint, linked boolean, beyond int, held binary, rest binary"
-#: Slots into which the shingles beyond the key's first class are hashed.
-SLOTS = 2048
+RELATED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("beyond", pa.int32()), ("held", pa.binary()), ("rest", pa.binary())])
+RELATED_DDL = "a bigint, b bigint, linked boolean, beyond int, held binary, rest binary"
+#: Slots into which the shingles beyond the key's first class are hashed, and sets that are compared with one copy of another.
+SLOTS, TOGETHER = 2048, 512
 
 
 def _relate(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their sets: whether they are linked, how many shingles of b a lacks, which of a's, in order, b has, as bits, and the slots of those a lacks."""
+    """Of rows (a, b, shingles) in which the set of a, with a null b, precedes those of its b: RELATED for each b.
+
+    That is whether they are linked, how many shingles of b a lacks, which of a's, in order, b has, as bits, and the slots of those a lacks.
+    """
+    last, x = None, np.zeros(0, np.uint64)
     for batch in batches:
-        linked, beyond, held, rest = [], [], [], []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
-            inside = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+        rows = []
+        for a, b, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            y = np.frombuffer(shingles.as_buffer(), np.uint64)
+            if b is None:
+                last, x = a, y.copy()
+                continue
+            if a != last:
+                raise ValueError(f"the set of class {a} is missing")
+            inside = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
             both = int(inside.sum())
-            linked.append(100 * both >= percent * (len(a) + len(b) - both) > 0)
-            beyond.append(len(b) - both)
-            held.append(np.packbits(inside).tobytes())
-            alone = b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b]
-            rest.append((alone >> np.uint64(40)).astype("<u2").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(beyond, pa.int32()), pa.array(held, pa.binary()), pa.array(rest, pa.binary())], names=["a", "b", "linked", "beyond", "held", "rest"])
+            alone = y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y]
+            rows.append((a, b, 100 * both >= percent * (len(x) + len(y) - both) > 0, len(y) - both, np.packbits(inside).tobytes(), (alone >> np.uint64(40)).astype("<u2").tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RELATED, strict=True)], schema=RELATED)
 
 
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -144,13 +158,14 @@ def _apart(a: str, b: str):
     return F.aggregate(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), F.lit(0), lambda n, k: n + (F.substring(a, 2 * k + 1, F.lit(2)) != F.substring(b, 2 * k + 1, F.lit(2))).cast("int"))
 
 
-def _related(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(a, b) compared on their full sets, as RELATED."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(nodes, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, width), "node bigint, shingles binary")
-    sets = written(spark, sets, "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(spark, both.select("a", "b", "x", "y").mapInArrow(lambda x: _relate(x, percent), RELATED), "near-related")
+def _related(work: Work, sets: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) compared on their full sets, as RELATED. A pair moves the set of b alone; that of a goes once to every TOGETHER pairs."""
+    of = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
+    dealt = pairs.join(of, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b", F.col("b").alias("node"))
+    firsts = of.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
+    asked = dealt.unionByName(firsts).join(classes.select("node", "set_key"), "node").drop("node")
+    rows = asked.join(sets, "set_key").select("a", "b", "shingles", "part").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return work.table(rows.select("a", "b", "shingles").mapInArrow(lambda x: _relate(x, percent), RELATED_DDL).dropDuplicates(["a", "b"]), "near-related")
 
 
 def _linked(related: DataFrame) -> DataFrame:
@@ -164,14 +179,14 @@ def _open(keyed: DataFrame, components: DataFrame) -> DataFrame:
     return keyed.join(open_.select("key", "n"), "key")
 
 
-def _met(spark: SparkSession, keyed: DataFrame, components: DataFrame, classes: DataFrame, related: DataFrame) -> DataFrame:
+def _met(work: Work, keyed: DataFrame, components: DataFrame, classes: DataFrame, related: DataFrame) -> DataFrame:
     """Pairs of blocks (l, r) of the classes in keys that hold more than one component."""
     known = classes.select("node", "n_shingles", "signature").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     dealt = _open(keyed, components).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(known, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.join(related.select(F.col("a").alias("first"), F.col("b").alias("node"), "beyond", "held", "rest"), ["first", "node"], "left")
     dealt = dealt.withColumn("beyond", F.when(F.col("node") == F.col("first"), 0).otherwise(F.coalesce("beyond", "n_shingles")).cast("int"))
     dealt = dealt.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n_shingles", "beyond", "held", "rest", "signature")).alias("members"))  # about BLOCK at most
-    dealt = written(spark, dealt, "near-blocks")
+    dealt = work.table(dealt, "near-blocks")
     left = dealt.select("key", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("members").alias("l"))
     return left.join(dealt.select("key", "block", F.col("members").alias("r")), ["key", "block"]).select("l", "r")
 
@@ -179,30 +194,39 @@ def _met(spark: SparkSession, keyed: DataFrame, components: DataFrame, classes:
 def near_groups(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    work = Work(spark)
     rows = written(spark, docs.mapInArrow(lambda x: _sketch(x, width), "doc_id bigint, n_shingles bigint, set_key binary, signature binary"), "near-sketches")
-    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).filter("node IS NOT NULL")
-    classes = written(spark, classes, "near-classes")
+    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).filter("doc IS NOT NULL")
+    classes = written(spark, classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     signatures = classes.select("node", "signature")
 
     keyed = signatures.select("node", F.explode(F.array(*_keys())).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
-    keyed = written(spark, keyed.join(shared, "key"), "near-keys")
+    keyed = work.table(keyed.join(shared, "key"), "near-keys")
+
+    # The sets of the classes that share a key are made once, for all that is confirmed on them.
+    wanted = classes.join(keyed.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
+    sets = work.table(docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(lambda x: _sets(x, width), "set_key binary, shingles binary"), "near-sets")
 
     pairs = keyed.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     sides = [signatures.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab"]
-    pairs = written(spark, pairs.join(sides[0], "a").join(sides[1], "b").filter(_apart("sa", "sb") <= LARGEST).select("a", "b"), "near-pairs")
-    related = _related(spark, docs, pairs, width, percent)
-    first = written(spark, components(spark, _linked(related)), "near-components")
+    pairs = work.table(pairs.join(sides[0], "a").join(sides[1], "b").filter(_apart("sa", "sb") <= LARGEST).select("a", "b"), "near-pairs")
+    related = _related(work, sets, classes, pairs, percent)
+    first = work.table(components(spark, _linked(related)), "near-components")
 
     # Classes that are open but far from the first of their key are compared with it too: unrelated, they would stay unbounded.
-    far = written(spark, _open(keyed, first).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "near-far")
-    related = related.unionByName(_related(spark, docs, far, width, percent))
-    more = _met(spark, keyed, first, classes, related).mapInArrow(lambda x: _near(x, percent), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(spark, more, "near-more")
-    links = _linked(related).unionByName(_linked(_related(spark, docs, more, width, percent)))
-    final = components(spark, links)
-
-    named = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    far = work.table(_open(keyed, first).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "near-far")
+    related = related.unionByName(_related(work, sets, classes, far, percent))
+    more = _met(work, keyed, first, classes, related).mapInArrow(lambda x: _near(x, percent), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = work.table(more, "near-more")
+    twins = classes.groupBy("doc").agg(F.min("node").alias("u"), F.collect_set("node").alias("all")).filter(F.size("all") > 1).select("u", F.explode("all").alias("v"))  # texts of one doc_id
+    links = _linked(related).unionByName(_linked(_related(work, sets, classes, more, percent))).unionByName(twins)
+    final = written(spark, components(spark, links), "near-components")
+    work.discard()
+
+    of = final.join(classes.select("node", "doc"), "node")
+    named = of.join(of.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("node", "component_id")
+    named = classes.join(named, "node", "left").select("set_key", F.coalesce("component_id", "doc").alias("component"))
     out = rows.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

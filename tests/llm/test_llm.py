@@ -202,6 +202,16 @@ def test_near_groups_on_odd_rows(spark, odd):
     assert minhash.near_groups(spark, odd.limit(0)).count() == 0
 
 
+def test_an_id_with_a_text_and_a_null(spark):
+    """A doc_id with a near copy and, in another row, a null text or an unrelated one."""
+    text = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(5, text), (7, text + " x"), (7, None), (8, other), (9, text + " x y"), (9, other + " z")]
+    got = sorted(tuple(r) for r in minhash.near_groups(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), 4).collect())
+    want = [(5, 57, 5, True), (7, 0, 7, True), (7, 58, 5, False), (8, 57, 5, False), (9, 58, 5, False), (9, 59, 5, False)]
+    assert got == want  # 9 has a copy of 5 and one of 8, and links them
+
+
 def test_pigeonhole_keys_meet():
     rng = np.random.default_rng(5)
     for _ in range(200):
