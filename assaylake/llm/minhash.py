@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import Work, written
+from assaylake.llm.common import Work, partitions, written
 from assaylake.llm.components import components
 from assaylake.llm.textvec import blocks, mix, shingle_sets
 
@@ -197,6 +197,8 @@ def near_groups(spark: SparkSession, docs: DataFrame, width: int = 5, percent: i
     work = Work(spark)
     rows = written(spark, docs.mapInArrow(lambda x: _sketch(x, width), "doc_id bigint, n_shingles bigint, set_key binary, signature binary"), "near-sketches")
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).filter("doc IS NOT NULL")
+    # Classes get ids of their own, in the order of their smallest doc_id: the first of a key is its oldest, which copies were made of.
+    classes = classes.repartitionByRange(partitions(spark), "doc", "set_key").sortWithinPartitions("doc", "set_key")
     classes = written(spark, classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     signatures = classes.select("node", "signature")
 

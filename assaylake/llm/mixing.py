@@ -2,13 +2,15 @@
 
 Each source gets a target number of words: a share by its weight, at most `most` times what it has, the excess
 given to the others by weight. A document is first taken as many whole times as target / size of its source
-holds; for what is left of the target, the documents of the source are ranked by random odds divided by
-inclusion odds, and taken in that order up to the target, to the nearest document. The inclusion odds are one number
-for a source, so within it the order is plain random.
-
-Cases: a null text has size 0; a null source is a source of its own, the last; a source without words has target 0
-and its documents are taken 0 times; repeated rows count each by itself and, having the same random number, stand
-together in the order; an empty table gives an empty result; further columns pass through `mix` unchanged.
+holds. Of what is left of the target, a document has the inclusion probability min(1, c times its size), with c
+such that the expected words are what is left; those with probability 1 are taken, the others are ranked by random
+odds divided by inclusion odds, and taken in that order up to what is left, to the nearest document. Long documents
+thus come sooner; the fixed size of the sample is counted in words, which is what targets are given in.
+
+Cases: a null text has size 0 and counts as of size 1 for its probability; a null source is a source of its own, the
+last; a source without words has target 0 and its documents are taken 0 times; repeated rows count each by itself and,
+having the same random number, stand together in the order; an empty table gives an empty result; further columns pass
+through `mixed` unchanged.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from assaylake.llm.common import n_words, ranged, running_sums, text_or_empty, unit_bits, written
+from assaylake.llm.common import n_words, partitions, ranged, running_sums, text_or_empty, unit_bits, written
 
-#: Bits of the random number, and of the part by which the order is cut into bins.
-BITS, BIN_BITS = 52, 12
+#: Bits of the random number, bins into which the order of a source is cut, and sources that are broadcast (60 bytes each) instead of joined.
+BITS, BINS, FEW = 52, 1 << 14, 100_000
 
 
 def targets(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -51,41 +53,74 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
     per = targets(spark, sizes, weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     per = per.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    sizes = sizes.withColumn("bits", unit_bits(F.col("doc_id"), seed)).withColumn("bin", F.shiftright("bits", BITS - BIN_BITS))
+    per = written(spark, per, "mix-sources")
+
+    # Sizes from s on are certain if, with c = 1 / s, the expected words are no more than what is left. A row for each source and size.
+    held = sizes.filter("size > 0").groupBy("source", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words")).withColumn("squares", F.col("words") * F.col("size"))
+    down = W.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(W.unboundedPreceding, 0)
+    up = W.partitionBy("source").orderBy(F.col("size")).rowsBetween(W.unboundedPreceding, -1)
+    held = held.withColumn("from_here", F.sum("words").over(down)).withColumn("below", F.coalesce(F.sum("squares").over(up), F.lit(0)))
+    held = _of_source(spark, held, per.select("source", "rest"))
+    certain = F.col("size") * F.col("from_here") + F.col("below") <= F.col("size") * F.col("rest")
+    shares = held.groupBy("source").agg(
+        F.min(F.when(certain, F.col("size"))).alias("certain_from"), F.sum(F.when(certain, F.col("words")).otherwise(0)).alias("sure"), F.sum(F.when(~certain, F.col("squares")).otherwise(0)).alias("unsure")
+    )
+    per = _of_source(spark, per, shares).withColumn("c", F.when(F.col("unsure") > 0, (F.col("rest") - F.col("sure")) / F.col("unsure")))
+
+    rows = _of_source(spark, sizes, per).withColumn("bits", unit_bits(F.col("doc_id"), seed))
+    u = (F.col("bits") + 0.5) / float(1 << BITS)
+    p = F.col("c") * F.greatest(F.col("size"), F.lit(1))
+    rank = F.when(F.col("size") >= F.col("certain_from"), 0.0).when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p))).when(p >= 1, 0.0)  # null: never
+    rows = rows.withColumn("rank", rank).withColumn("bin", F.when(F.col("rank") > 0, F.floor(F.col("rank") / (1 + F.col("rank")) * BINS)).when(F.col("rank") == 0, -1).cast("long"))
 
-    # The bin in which a source's remaining target is reached: sums for each bin, then at most 2^BIN_BITS rows a source.
-    bins = sizes.groupBy("source", "bin").agg(F.sum("size").alias("held"))
+    # The bin in which what is left is reached: sums for each bin, then the rows of one bin of each source.
+    bins = rows.filter("bin IS NOT NULL").groupBy("source", "bin").agg(F.sum("size").alias("held"), F.first("rest").alias("rest"))
     inside = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    bins = bins.withColumn("upto", F.sum("held").over(inside)).withColumn("before", F.col("upto") - F.col("held"))
-    p, b = per.alias("p"), bins.alias("b")
-    cut = b.join(p, F.col("b.source").eqNullSafe(F.col("p.source"))).filter((F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
-    cut = cut.select(F.col("b.source").alias("cut_source"), F.col("bin").alias("cut_bin"), F.col("before").alias("cut_before"))
-    per = per.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source").withColumnRenamed("source", "of")
-
-    rows = sizes.join(per, sizes["source"].eqNullSafe(per["of"])).drop("of")
-    # Within the cutting bin alone the order itself is needed; a bin holds one row in 2^BIN_BITS of its source.
-    u = (F.col("bits") + 0.5) / float(1 << BITS)
-    included = F.col("rest") / F.col("source_size")
-    rank = (u / (1 - u)) / (included / (1 - included))
-    at = F.col("bin") == F.col("cut_bin")
-    edge = rows.filter(at).withColumn("rank", rank)  # the odds of one source share their divisor, so bins of the random number are bins of the rank
+    bins = bins.withColumn("upto", F.sum("held").over(inside)).withColumn("cut_before", F.col("upto") - F.col("held"))
+    cut = bins.filter((F.col("cut_before") < F.col("rest")) & (F.col("upto") >= F.col("rest")) & (F.col("bin") >= 0)).select("source", F.col("bin").alias("cut_bin"), "cut_before")
+    cut = cut.unionByName(bins.groupBy("source").agg(F.max("upto").alias("upto"), F.first("rest").alias("rest")).filter("upto < rest").select("source", F.lit(BINS).cast("long").alias("cut_bin"), F.lit(0).cast("long").alias("cut_before")))
+    rows = _of_source(spark, rows, cut)
+    at = F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False))
     order = W.partitionBy("source").orderBy("rank", "bits", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     near = F.col("cut_before") + F.sum("size").over(order) - F.col("size") / 2 <= F.col("rest")
-    edge = edge.withColumn("extra", near.cast("long")).drop("rank")
-    others = rows.filter(~at | F.col("cut_bin").isNull()).withColumn("extra", F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False)).cast("long"))
+    edge = rows.filter(at).withColumn("extra", near.cast("long"))
+    others = rows.filter(~at).withColumn("extra", F.coalesce((F.col("rank") == 0) & (F.col("rest") > 0) | (F.col("bin") < F.col("cut_bin")), F.lit(False)).cast("long"))
     out = others.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _of_source(spark: SparkSession, rows: DataFrame, per: DataFrame) -> DataFrame:
+    """rows with the columns of per(source, ...), a row or none for each source, whose null is a source.
+
+    Few sources, by count, are broadcast. Others are joined on source and salt, so that a source's rows are in several tasks.
+    """
+    per = per.withColumnRenamed("source", "_source")
+    if per.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    n = partitions(spark)
+    per = per.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = rows.withColumn("_salt", F.floor(F.rand(1) * n).cast("int"))
+    return rows.join(per, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_part")), "left").drop("_source", "_salt", "_part")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """docs, each row as many times as the mix takes it. Rows that agree in doc_id, source and size are taken alike."""
+    """docs, each row as many times as the mix takes it.
+
+    Rows that agree in doc_id, source and size stand together in the order; if the cut falls among them, the first of them, by a hash
+    of their other columns, are those taken once more.
+    """
     keys = ["doc_id", "source", "size"]
-    copies = mix(spark, docs, weights, most).groupBy(*keys).agg(F.min("copies").alias("copies")).filter("copies > 0")
-    copies = copies.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("copies").alias("_copies"))
+    copies = mix(spark, docs, weights, most).groupBy(*keys).agg(F.min("copies").alias("copies"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n")).filter("all > 0")
+    copies = copies.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("copies").alias("_copies"), (F.col("all") - F.col("n") * F.col("copies")).alias("_more"))
     names = docs.columns
     rows = docs.withColumn("_words", n_words(text_or_empty()))
     met = rows["doc_id"].eqNullSafe(copies["_doc_id"]) & rows["source"].eqNullSafe(copies["_source"]) & (rows["_words"] == copies["_size"])
-    return rows.join(copies, met).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{n}`") for n in names))
+    rows = rows.join(copies, met)
+    cut = rows.filter("_more > 0")  # one document's repeated rows for each source at most
+    nth = F.row_number().over(W.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64(*(F.col(f"`{n}`") for n in names))))
+    cut = cut.withColumn("_copies", F.col("_copies") + (nth <= F.col("_more")).cast("long"))
+    rows = rows.filter("_more = 0").unionByName(cut).filter("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{n}`") for n in names))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +141,15 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::BIGIN
 t AS (SELECT source, source_size, CASE WHEN cap <= weight * m THEN cap::DOUBLE ELSE weight * m END AS target
   FROM (SELECT *, max(lev) OVER () AS m FROM l)),
 r AS (SELECT s.doc_id, s.size, s.bits, t.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS whole
-  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+z AS (SELECT source, size, any_value(target - whole * source_size) AS rest, count(*) * size AS words FROM r WHERE size > 0 GROUP BY source, size),
+y AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY size DESC)::BIGINT AS from_here, coalesce(sum(words * size) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below FROM z),
+x AS (SELECT source, min(size) FILTER (WHERE sure) AS certain_from, CASE WHEN bool_or(NOT sure) THEN (any_value(rest) - coalesce(sum(words) FILTER (WHERE sure), 0)::BIGINT) / (sum(words * size) FILTER (WHERE NOT sure))::BIGINT END AS c
+  FROM (SELECT *, size * from_here + below <= size * rest AS sure FROM y) GROUP BY source),
+o AS (SELECT r.*, target - whole * source_size AS rest, (bits + 0.5) / 4503599627370496.0::DOUBLE AS u, c * greatest(size, 1) AS p, coalesce(size >= certain_from, false) AS sure
+  FROM r LEFT JOIN x ON r.source IS NOT DISTINCT FROM x.source),
+k AS (SELECT *, CASE WHEN sure OR p >= 1 THEN 0.0 WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rk FROM o)
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN target - whole * source_size > 0 AND sum(size) OVER o - size / 2 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r WINDOW o AS (PARTITION BY source ORDER BY bits, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  (size * (whole + CASE WHEN rk IS NOT NULL AND rest > 0 AND sum(size) OVER o - size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM k WINDOW o AS (PARTITION BY source ORDER BY rk NULLS LAST, bits, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """

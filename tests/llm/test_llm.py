@@ -452,6 +452,26 @@ def test_mix_on_odd_rows(spark, odd):
     assert mixing.mix(spark, odd.limit(0)).count() == 0
 
 
+def test_mix_takes_long_documents_sooner_and_meets_targets(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, "abc"[k % 3], "w " * int(rng.integers(1, 200))) for k in range(3000)]
+    got = mixing.mix(spark, spark.createDataFrame(rows, "doc_id bigint, source string, text string")).toPandas()
+    for name, own in got.groupby("source"):
+        target = own.target.iloc[0]
+        assert abs(own.taken.sum() - target) <= 200 and (own.taken <= 3 * own["size"]).all(), name
+        if target < own.source_size.iloc[0]:
+            taken = own.copies > 0
+            assert own["size"][taken].mean() > 1.1 * own["size"].mean()
+            odds = taken.groupby(own["size"] // 50).mean()
+            assert odds.is_monotonic_increasing
+
+
+def test_mixed_repeats_rows_on_both_sides_of_the_cut(spark):
+    docs = spark.createDataFrame([(1, "a", "x y", k) for k in range(7)] + [(k, "b", "x y z", 0) for k in range(10, 14)], "doc_id bigint, source string, text string, more int")
+    want = {r["doc_id"]: r["c"] for r in mixing.mix(spark, docs).groupBy("doc_id").agg(F.sum("copies").alias("c")).filter("c > 0").collect()}
+    assert {r["doc_id"]: r["count"] for r in mixing.mixed(spark, docs).groupBy("doc_id").count().collect()} == want
+
+
 # --- the pipeline
 
 
