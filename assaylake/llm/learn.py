@@ -24,7 +24,7 @@ def held_out(parts: int, which: int) -> Column:
 
 
 #: Code points of a sample that a model is fitted on: of one text, and of all.
-LONGEST, CHARS = 100_000, 12_000_000
+LONGEST, CHARS = 100_000, 6_000_000
 
 
 def sample(docs: DataFrame, rows: DataFrame, columns: list[str], n: int) -> DataFrame:
@@ -80,15 +80,18 @@ def grouped(texts: list[str], chars: int = 400_000) -> Iterator[list[str]]:
 
 
 def novel(texts: list[str], share: float = 0.5) -> np.ndarray:
-    """Which texts of a sample share less than so much of their 4-word shingles with those kept before: copies would count as evidence again and again."""
-    seen: set[int] = set()
-    keep = np.zeros(len(texts), bool)
-    for k, own in enumerate(s for group in grouped(texts) for s in shingle_sets(group, 4)):
-        own = own.tolist()
-        keep[k] = not own or sum(x in seen for x in own) < share * len(own)
-        if keep[k]:
-            seen.update(own)
-    return keep
+    """Which texts of a sample share less than so much of their 4-word shingles with those before: copies would count as evidence again and again."""
+    sets = [s for group in grouped(texts) for s in shingle_sets(group, 4)]
+    if not sets:
+        return np.zeros(0, bool)
+    n = np.array([len(s) for s in sets])
+    doc = np.repeat(np.arange(len(sets), dtype=np.int32), n)
+    every = np.concatenate(sets)
+    del sets
+    order = np.argsort(every, kind="stable")  # of equal shingles, that of the first text comes first
+    known = np.zeros(len(every), bool)
+    known[order[1:]] = every[order[1:]] == every[order[:-1]]
+    return np.bincount(doc[known], minlength=len(n)) < share * np.maximum(n, 1)
 
 
 @cache

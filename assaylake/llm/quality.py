@@ -32,7 +32,7 @@ from assaylake.llm.textvec import blocks, codes, is_space, mix, run_hashes, span
 
 SAMPLE, HIDDEN, STEPS, BATCH, PRIOR = 2500, 24, 1000, 256, 0.5
 #: Code points of the texts it is fitted on, all together, and buckets of hashed words and of trigrams.
-CHARS, BUCKETS = 24_000_000, 256
+CHARS, BUCKETS = 12_000_000, 256
 GOOD = 0.7
 MARKS = np.array([ord(c) for c in ".,;:?'\"-()"], np.uint32)
 

@@ -49,8 +49,8 @@ NO_ID = -(2**63)
 ASCII = frozenset(map(chr, range(128)))
 #: The rolling hash sees WINDOW ids; a chunk has LEAST to MOST ids and ends about every 2^CUT_BITS ids beyond LEAST.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 9, 64, 4096
-#: Words and digests of chunks in each of the two generations that a worker keeps, and the longest word kept: about 150 MB at most.
-WORDS, DIGESTS, LONG = 300_000, 100_000, 64
+#: Words and digests of chunks in each of the two generations that a worker keeps, and the longest word kept: about 100 MB at most.
+WORDS, DIGESTS, LONG = 200_000, 100_000, 64
 #: Code points of documents that are taken together; a longer one is taken alone.
 GROUP = 500_000
 POOL_SCHEMA = "digest binary, n_ids bigint, crc bigint"

@@ -118,6 +118,28 @@ def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(count), np.log(most / (1 - most)) / 4, np.sqrt(count / np.maximum(n, 1))])
 
 
+def _telling(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of one feature of each token: the (document, value) it belongs to, how surely each tells toxic documents, and how many values there are.
+
+    A value may tell by being in a document, or by being there often. What is less than STRONG times likelier there tells nothing.
+    """
+    n0, n1 = (toxic == 0).sum(), (toxic == 1).sum()
+    q = n1 / (n0 + n1)
+    cells, back_to, times = np.unique(doc * size + feature, return_inverse=True, return_counts=True)
+    in_toxic, of = toxic[cells // size] == 1, cells % size
+    evidence, tried = np.full(len(cells), -np.inf), 0
+    for least in OFTEN:
+        enough = times >= least
+        with_ = [np.bincount(of[enough & (in_toxic == k)], minlength=size) for k in (False, True)]
+        odds = ((with_[1] + 0.5) / (n1 + 1)) / ((with_[0] + 0.5) / (n0 + 1))
+        n = np.maximum(with_[0] + with_[1], 1)
+        log_ratio = sum(x * np.log(np.maximum(x, 1) / (share * n)) for x, share in ((with_[1], q), (with_[0], 1 - q)))
+        sure = np.where(odds > STRONG, log_ratio, -np.inf)  # by chance alone, fewer than SURE values of all would keep to toxic documents so
+        evidence = np.where(enough, np.maximum(evidence, sure[of]), evidence)
+        tried = max(tried, int((with_[0] + with_[1] > 0).sum()))
+    return back_to.astype(np.int32), evidence, tried
+
+
 def train(texts: list[str], toxic: np.ndarray, prevalence: float) -> Field:
     parts, counts, opens, n = [], [], [], 0
     for group in grouped(texts):
@@ -132,20 +154,12 @@ def train(texts: list[str], toxic: np.ndarray, prevalence: float) -> Field:
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     size = 1 << BITS
     n0, n1 = (toxic == 0).sum(), (toxic == 1).sum()
-    cells, back_to, times = np.unique(doc[:, None] * (4 * size) + np.arange(4) * size + features, return_inverse=True, return_counts=True)
-    in_toxic, of = toxic[cells // (4 * size)] == 1, cells % (4 * size)
-    sure = np.zeros(len(cells), bool)
-    for least in OFTEN:  # a feature may tell by being there, or by being there often
-        enough = times >= least
-        with_ = [np.bincount(of[enough & (in_toxic == k)], minlength=4 * size) for k in (False, True)]
-        odds = ((with_[1] + 0.5) / (n1 + 1)) / ((with_[0] + 0.5) / (n0 + 1))
-        # By chance alone, fewer than SURE features of all would keep to toxic documents so.
-        q, n = n1 / (n0 + n1), np.maximum(with_[0] + with_[1], 1)
-        log_ratio = sum(x * np.log(np.maximum(x, 1) / (share * n)) for x, share in ((with_[1], q), (with_[0], 1 - q)))
-        telling = (odds > STRONG) & (log_ratio > np.log(max(1, (with_[0] + with_[1] > 0).sum()) / SURE))
-        sure |= enough & in_toxic & telling[of]
-    y = sure[back_to.reshape(features.shape)].any(axis=1)
-    del cells, back_to, times, in_toxic, of, sure
+    y = np.zeros(len(doc), bool)
+    found = [_telling(doc, features[:, k], toxic, size) for k in range(features.shape[1])]
+    tried = sum(n for *_, n in found)
+    for back_to, evidence, _ in found:
+        y |= (evidence > np.log(max(1, tried) / SURE))[back_to] & (toxic[doc] == 1)
+    del found
 
     used, compact = np.unique(features, return_inverse=True)
     compact = compact.reshape(features.shape).astype(np.int32)
