@@ -31,6 +31,12 @@ def sample_id(x: Column) -> Column:
     return F.trim(out)
 
 
+def plain_sample_id(x: object) -> str:
+    """sample_id of one label, for the few labels that are looked at on the driver."""
+    name = str(x).strip().rstrip("/").rsplit("/", 1)[-1]
+    return next((name.removesuffix(s) for s in SUFFIXES if name.endswith(s)), name).strip()
+
+
 def legacy_id(x: Column) -> Column:
     """The same in any case, also without a leading GSM number and trailing marks; in capitals."""
     name = F.regexp_replace(basename(x), r"(?i)\.CEL(\.gz)?$", "")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from assaylake.functions import vectors
+from assaylake.functions import ids, vectors
 
 
 class ContractError(ValueError):
@@ -87,3 +87,66 @@ def assert_contract(found: dict, wanted: dict) -> None:
     """A provenance document must say what is wanted, field by field."""
     if off := {k: (found.get(k), v) for k, v in wanted.items() if found.get(k) != v}:
         raise ContractError(f"the contract differs (found, wanted): {json.dumps(off, default=str)}")
+
+
+def canonical_counts(found: dict[str, int], total: int, wanted: dict[str, int]) -> None:
+    """Counts must be the wanted ones, but only for the cohort that has the canonical total."""
+    if sum(found.values()) == total and found != wanted:
+        raise ContractError(f"the canonical cohort has {found} instead of {wanted}")
+
+
+def role_faults(manifest: DataFrame) -> DataFrame:
+    """Rows of manifest(sample_id, donor, role, split) that contradict one another: a donor other than the id's, a held-out sample in
+    training or validation, a donor in more than one split."""
+    donor = ids.donor_of_biopsy(F.col("sample_id"))
+    own = manifest.withColumn("problem", F.when(F.upper("donor") != donor, "donor").when((F.col("role") != "eligible") & F.col("split").isNotNull(), "role"))
+    parts = crossing(manifest.filter("split IS NOT NULL"), "donor", "split").select("donor")
+    return own.filter("problem IS NOT NULL").unionByName(manifest.join(parts, "donor", "left_semi").select(*manifest.columns).withColumn("problem", F.lit("split")))
+
+
+def not_fitted_on(rows: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
+    """Ids a reference was fitted on that are not the training ids, and training ids it was not fitted on."""
+    return differing(rows.filter("split = 'train'").select(key).distinct(), fitted.select(key).distinct())
+
+
+def saved_split_faults(saved: DataFrame, wanted: DataFrame, key: str = "sample", group: str = "component") -> DataFrame:
+    """What is wrong with saved(key, group, split): ids other than wanted, repeated ids, unknown labels, groups in more than one part."""
+    name = lambda df, problem: df.select(F.col(df.columns[0]).cast("string").alias("id"), F.lit(problem).alias("problem"))
+    faults = name(wanted.select(key).join(saved, key, "left_anti"), "missing")
+    faults = faults.unionByName(name(saved.select(key).join(wanted, key, "left_anti"), "unknown id"))
+    faults = faults.unionByName(name(repeated(saved, [key]), "repeated"))
+    faults = faults.unionByName(name(saved.filter(~F.coalesce(F.col("split").isin("train", "validation", "test"), F.lit(False))).select(key), "label"))
+    return faults.unionByName(name(crossing(saved, group, "split"), "crosses parts"))
+
+
+def not_same_order(a: DataFrame, b: DataFrame, key: str, order: str = "ord") -> DataFrame:
+    """Places at which two ordered lists have different ids, or only one has any."""
+    x, y = a.select(F.col(order).alias("at"), F.col(key).alias("first")), b.select(F.col(order).alias("at"), F.col(key).alias("second"))
+    return x.join(y, "at", "full_outer").filter(~F.col("first").eqNullSafe(F.col("second")))
+
+
+def out_of_range(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """Settings outside their closed ranges, or missing: a row for each."""
+    found = F.array(*(F.struct(F.lit(c).alias("setting"), F.col(c).cast("double").alias("value"), F.lit(float(lo)).alias("low"), F.lit(float(hi)).alias("high")) for c, (lo, hi) in ranges.items()))
+    keys = [c for c in df.columns if c not in ranges]
+    return df.select(*keys, F.explode(found).alias("s")).select(*keys, "s.*").filter("value IS NULL OR value < low OR value > high")
+
+
+def unfit_matrix(rows: DataFrame, train: str, values: str = "values") -> DataFrame:
+    """Features that training cannot use: missing or not finite somewhere, or of one value in all training rows."""
+    cells = rows.select(F.col(train).alias("_train"), F.posexplode(values).alias("pos", "value"))
+    found = cells.groupBy("pos").agg(F.count_if(~vectors.finite(F.col("value"))).alias("n_not_finite"), F.countDistinct(F.when(F.col("_train"), F.col("value"))).alias("n_values"))
+    return found.filter("n_not_finite > 0 OR n_values < 2")
+
+
+def not_identical(a: DataFrame, b: DataFrame, keys: list[str], score: str = "score", relative: float = 1e-9, absolute: float = 1e-12) -> DataFrame:
+    """Checkpoints of two lists that are not the same file: other size, time or score, or in one list alone."""
+    both = a.alias("a").join(b.alias("b"), keys, "full_outer")
+    same = (F.col("a.size") == F.col("b.size")) & (F.col("a.mtime") == F.col("b.mtime")) & (F.abs(F.col(f"a.{score}") - F.col(f"b.{score}")) <= absolute + relative * F.abs(F.col(f"b.{score}")))
+    return both.filter(~F.coalesce(same, F.lit(False))).select(*keys)
+
+
+def expected_counts(df: DataFrame, wanted: dict[str, int]) -> None:
+    """Distinct values of each named column must be as many as wanted."""
+    found = df.agg(*(F.countDistinct(c).alias(c) for c in wanted)).first().asDict()
+    assert_contract(found, wanted)

@@ -37,8 +37,22 @@ def moving_average(history: DataFrame, keep: float = 0.9) -> DataFrame:
     return folded.select("run", F.col("r.epoch").alias("epoch"), F.col("r.ema").alias("ema"))
 
 
+#: What a score must fall by to count as better.
+BETTER = 1e-12
+
+
 def running_best(history: DataFrame) -> DataFrame:
-    return history.withColumn("best", F.min("score").over(W.partitionBy("run").orderBy("epoch").rowsBetween(W.unboundedPreceding, 0)))
+    """The best score so far: one replaces the best only if it is lower by more than BETTER, so that a run is read in order.
+
+    What may replace it is lower than all before; only these few scores of a run are folded.
+    """
+    before = F.min("score").over(W.partitionBy("run").orderBy("epoch").rowsBetween(W.unboundedPreceding, -1))
+    lows = history.withColumn("_low", before).filter(F.col("_low").isNull() | (F.col("score") < F.col("_low")))
+    lows = lows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", "score"))).alias("lows"))
+    kept = lows.select("run", F.explode(F.aggregate(F.slice("lows", 2, F.size("lows")), F.slice("lows", 1, 1), lambda a, x: F.when(x["score"] < F.element_at(a, -1)["score"] - BETTER, F.array_append(a, x)).otherwise(a))).alias("k"))
+    best = kept.select("run", F.col("k.epoch").alias("epoch"), F.col("k.score").alias("_best"))
+    held = F.last("_best", ignorenulls=True).over(W.partitionBy("run").orderBy("epoch").rowsBetween(W.unboundedPreceding, 0))
+    return history.join(best, ["run", "epoch"], "left").withColumn("best", held).drop("_best")
 
 
 def cadence(history: DataFrame, every: int) -> DataFrame:

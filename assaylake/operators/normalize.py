@@ -68,8 +68,11 @@ def delta_report(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def impute_and_scale(rows: DataFrame, fold: list[str], feature: str = "feature", value: str = "value", train: str = "is_train") -> DataFrame:
-    """Missing values by the training median of the fold, then training mean and population deviation; for every row."""
+    """Missing values by the training median of the fold, then training mean and population deviation; for every row.
+
+    A missing value of a feature without any training value is an error."""
     medians = rows.filter(train).groupBy(*fold, feature).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    filled = rows.join(medians, [*fold, feature]).withColumn(value, F.coalesce(value, "median")).drop("median")
+    empty = F.raise_error(F.lit("a feature has no training value in a fold")).cast("double")
+    filled = rows.join(medians, [*fold, feature], "left").withColumn(value, F.coalesce(value, "median", empty)).drop("median")
     stats = filled.filter(train).groupBy(*fold, feature).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
     return filled.join(stats, [*fold, feature]).withColumn(value, (F.col(value) - F.col("m")) / _safe(F.col("s"), FOLD_FLAT)).drop("m", "s")

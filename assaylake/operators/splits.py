@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.functions import ids
+from assaylake.operators.contracts import enforce, repeated, wrong_labels
+from assaylake.operators.selections import in_all
 
 #: Bits of a hash by which ranks are counted.
 RANK_BITS = 12
@@ -199,3 +201,44 @@ def candidate_grid(spark: SparkSession, weights: list[float], temperatures: list
     """One control and every weight with every temperature."""
     rows = [(0, "control", 0.0, 0.0)] + [(k + 1, f"w{ids.number_slug(w)}_t{ids.number_slug(t)}", w, t) for k, (w, t) in enumerate(product(weights, temperatures))]
     return spark.createDataFrame(rows, "candidate_order int, candidate_id string, weight double, temperature double")
+
+
+def all_methods_split(spark: SparkSession, matrices: DataFrame, occurrences: DataFrame, components: DataFrame, supervised: DataFrame, seed: int, train: float, validation: float) -> DataFrame:
+    """One split for matrices(method, sample) of all methods, on the samples that all have, with the supervised rows under it.
+
+    supervised(sample, split) has only train and validation; the columns of the study split are null there.
+    """
+    enforce(wrong_labels(supervised, "split", {"train", "validation"}, False), "supervised rows have other parts")
+    shared = in_all(matrices, "method", "sample")
+    study = occurrences.join(shared, "sample", "left_semi").groupBy("sample").agg(F.min("study").alias("study"))
+    split = component_split(spark, study, components, seed, train, validation).select("sample", "study", "component", "split")
+    return split.withColumn("domain", F.lit("array")).unionByName(supervised.withColumn("domain", F.lit("supervised")), allowMissingColumns=True)
+
+
+def rows_of_split(split: DataFrame, index: DataFrame) -> DataFrame:
+    """split(sample, split) with the matrix row of each sample of index(sample, matrix_row); a sample or a part without rows is an error."""
+    enforce(repeated(split, ["sample"]), "samples repeat in the split")
+    enforce(repeated(index, ["sample"]), "samples repeat in the index")
+    enforce(split.join(index, "sample", "left_anti"), "samples of the split have no matrix row")
+    enforce(wrong_labels(split, "split", {"train", "validation", "test"}, True), "parts are missing or unknown")
+    return split.join(index, "sample")
+
+
+def stratified_folds(strata: dict[str, str], folds: int, repeats: int, seed: int) -> list[tuple[int, str, int]]:
+    """(repeat, donor, fold) for a few hundred donors: strata spread evenly over folds if each has as many donors as folds, else donors at random.
+
+    Donors of a stratum are dealt in random order, each stratum from the fold where the one before stopped, so that folds differ by
+    one donor at most, in all and within each stratum.
+    """
+    if not 2 <= folds <= len(strata):
+        raise ValueError("there must be two folds at least, and no more than donors")
+    donors = sorted(strata)
+    members = {s: [d for d in donors if strata[d] == s] for s in sorted(set(strata.values()))}
+    if min(map(len, members.values())) < folds:
+        members = {"": donors}
+    rng, out = np.random.default_rng(seed), []
+    for repeat in range(1, repeats + 1):
+        dealt = [own[k] for own in members.values() for k in rng.permutation(len(own)).tolist()]
+        names = rng.permutation(folds).tolist()
+        out += [(repeat, d, names[k % folds] + 1) for k, d in enumerate(dealt)]
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +22,14 @@ def resolve_column(df: DataFrame, candidates: Iterable[str], case_sensitive: boo
 
 
 def infer_orientation(rows: list[str], columns: list[str]) -> str:
-    """Which axis holds samples, from the first 30 labels of each: array-file marks count 3, short names with _ count 1."""
-
-    def score(labels: list[str]) -> int:
-        return sum(3 * (".cel" in x.lower() or "primeview" in x.lower()) + ("_" in x and len(x) < 80) for x in labels[:30])
-
-    r, c = score(rows), score(columns)
-    if r == c:
-        return "samples_rows" if len(rows) <= len(columns) else "samples_columns"
-    return "samples_rows" if r > c else "samples_columns"
+    """Which axis holds samples, from the first 30 sample ids of each: array-file marks that are left count 3, short names with _ count 1."""
+    marks = {}
+    for axis, labels in (("samples_rows", rows), ("samples_columns", columns)):
+        names = [ids.plain_sample_id(x) for x in labels[:30]]
+        marks[axis] = sum(3 for x in names if re.search(r"\.cel|primeview", x, re.IGNORECASE)) + sum(1 for x in names if "_" in x and len(x) < 80)
+    if marks["samples_rows"] != marks["samples_columns"]:
+        return max(marks, key=marks.get)
+    return "samples_rows" if len(rows) <= len(columns) else "samples_columns"
 
 
 def vector_table(wide: DataFrame, label: str, orientation: str, order: str) -> DataFrame:

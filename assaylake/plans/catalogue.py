@@ -541,3 +541,6 @@ def lasso_path(spark, d):
 def encoder_embedding(spark, d):
     w = np.linalg.qr(np.random.default_rng(5).normal(size=(64, 8)))[0]
     return models.encode(I.matrix(spark, d), w, np.zeros(64))
+
+
+from assaylake.plans import selections as _more  # noqa: E402, F401  registers its queries
