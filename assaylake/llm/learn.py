@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.textvec import mix, shingle_sets
+from assaylake.llm.textvec import mix, release, shingle_sets
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -58,7 +58,10 @@ def fitted(frame: DataFrame, train: Callable[[pd.DataFrame], object], chars: int
                 break
             held = int(upto[-1]) if len(upto) else held
         rows = pd.concat(kept, ignore_index=True) if kept else pd.DataFrame(columns=frame_columns)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+        model = pickle.dumps(train(rows))
+        del kept, rows
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     frame_columns = frame.columns
     frame = frame.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters that are taken together; a longer text is a block of its own.
-BLOCK = 2_000_000
+BLOCK = 500_000
+
+
+def release() -> None:
+    """Give back what this worker has freed: Spark hands workers on to later stages, and the allocators would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

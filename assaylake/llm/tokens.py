@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.llm.common import discard, partitions, ranged, running_sums, work_path, written
+from assaylake.llm.textvec import release
 
 PACK_MAGIC, RECIPE_MAGIC = b"ALPACK1\n", b"ALRECP1\n"
 PACK_HEAD, RECIPE_HEAD, RECIPE_CHUNK = struct.Struct("<16sI"), struct.Struct("<qqqI32s"), struct.Struct("<16sI")
@@ -216,6 +217,7 @@ def _stage(batches: Iterator[pa.RecordBatch], path: str, end_id: int, folder: st
 
     Rows of a lost or repeated attempt never reach the table, so nothing refers to its file.
     """
+    release()
     enc = encoder(path)
     store, at = fs.FileSystem.from_uri(folder)
     store.create_dir(at, recursive=True)
