@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from assaylake.session import work_folder as work_path
+
 #: White space between words, as the contracts give it.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
-_own_root: str | None = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only in local mode."""
-    global _own_root
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="assaylake-")
-        atexit.register(shutil.rmtree, _own_root, True)
-    return f"file://{_own_root}"
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, and a lost executor only costs a reread."""
     path = work_path(spark, name)
@@ -73,6 +49,11 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """The row as one column, `row`, so that its columns, whatever their names, meet none of an operator's own."""
+    return F.struct(*(F.col("`" + n.replace("`", "``") + "`") for n in df.columns)).alias("row")
+
+
 def words(text: Column) -> Column:
     """The words of a text; an array without empty strings."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
