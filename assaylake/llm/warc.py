@@ -91,6 +91,12 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
+def _length(head: dict[str, str]) -> int:
+    """The length a record's headers give; 0 where a foreign record has none."""
+    value = head.get("content-length", "")
+    return int(value) if value.isascii() and value.isdigit() else 0
+
+
 class _Lazy:
     """A record's plain bytes, inflated no further than asked."""
 
@@ -121,7 +127,9 @@ def _members(source, start: int, end: int) -> Iterator[tuple[_Lazy, int]]:
             text = head
             while (stop := text.find(b"\r\n\r\n")) < 0 and (more := source.read(4096)):
                 text += more
-            length = stop + 4 + int(_headers(text[:stop])["content-length"]) + 4
+            if stop < 0:  # what is left is no record
+                return
+            length = stop + 4 + _length(_headers(text[:stop])) + 4
             text = text[:length] + source.read(max(0, length - len(text)))
             yield _Lazy(None, text), len(text)
             at += length
@@ -158,7 +166,7 @@ def read_records(source, start: int, end: int, keep, payload: bool) -> Iterator[
         if payload and row[1] != "revisit":
             plain = record.all()
             begin = stop + 4
-            stop_at = begin + int(head["content-length"])
+            stop_at = begin + _length(head)
             if "application/http" in head.get("content-type", ""):
                 begin = plain.find(b"\r\n\r\n", begin, stop_at) + 4
             body = plain[begin:stop_at]
@@ -297,7 +305,11 @@ class WarcSource(DataSource):
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """Of pages(page_id, url, html) the records to write: the largest page_id of equal payloads answers, others revisit it."""
+    """Of pages(page_id, url, html) the records to write: the largest page_id of equal payloads answers, others revisit it.
+
+    Rows that repeat the largest page_id all answer. A page without an id revisits the largest id of its payload; where no page of
+    a payload has an id, all its pages answer.
+    """
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select("page_id", "url", body.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long"), "same": F.sha2("payload", 256)})
@@ -305,7 +317,7 @@ def revisits(pages: DataFrame) -> DataFrame:
     # Partial aggregation leaves a row for each payload and task, however many copies there are.
     firsts = rows.filter(long).groupBy("same").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     rows = rows.join(firsts, "same", "left")
-    again = long & F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
+    again = long & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))
     return rows.select(
         F.coalesce(name("page_id"), F.lit("urn:page:")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"),
@@ -331,6 +343,6 @@ ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 f AS (SELECT h, max(page_id) AS first FROM p WHERE strlen(h) >= 1000 GROUP BY h)
 SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
-  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+  CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.h = f.h
 """
