@@ -138,7 +138,7 @@ def fingerprints_of_edit(rows: DataFrame, text: str, kept: Column, edited: str,
     rows = rows.withColumns({f"_t{k}": F.concat(last, part(c, F.col("_stem") + 1, F.length(c))) for k, c in enumerate((text, edited))})
     rows = with_least(with_shingles(rows, "_s", "_h", width, F.lit(False)), "_shared", F.col("_s"))
     for k, name in enumerate(("fingerprint", "edited_fingerprint")):
-        rows = with_shingles(rows, f"_s{k}", f"_t{k}", width, F.size("_h") < width - 1)
+        rows = with_shingles(rows, f"_s{k}", f"_t{k}", width, F.size("_h") < width)
         rows = with_least(rows, f"_slots{k}", F.concat("_shared", f"_s{k}"))
         rows = rows.withColumn(name, packed(densified(F.col(f"_slots{k}"))))
     return rows.drop("_stem", "_h", "_t0", "_t1", "_s", "_s0", "_s1", "_shared", "_slots0", "_slots1")
