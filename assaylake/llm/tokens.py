@@ -31,7 +31,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -55,7 +55,7 @@ WORDS, DIGESTS, LONG = 200_000, 100_000, 64
 #: Code points of documents that are taken together; a longer one is taken alone.
 GROUP = 500_000
 POOL_SCHEMA = "digest binary, n_ids bigint, crc bigint"
-RECIPE_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, digests array<binary>, lengths array<bigint>"
+RECIPE_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, digests array<binary>, lengths array<bigint>, ends array<bigint>"
 
 
 @cache
@@ -93,13 +93,27 @@ class Encoder:
     The normalizer and the splitter of the word vocabulary never join what blanks and line ends part, so the ids of a text
     are those of its words. Words of ASCII and Latin-1 letters are taken apart here as the splitter does, and the parts of many
     new words go through the library's model as one text: a part's last id, and no other, is one of those that end a part. All
-    other words go through the whole library, and so do those of a vocabulary without such ids.
+    other words go through the whole library, and so do those of a vocabulary without such ids. A vocabulary whose file names
+    another normalizer or splitter gets its texts whole.
     """
 
     PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
 
-    RUNS = re.compile("[^\\sa-z0-9\xdf-\xf6\xf8-\xff][.,][ \n]")
+    #: Only the blanks that texts are split at are named: some of Python's white space is none to the vocabulary.
+    RUNS = re.compile("[^ \t\n\ra-z0-9\xdf-\xf6\xf8-\xff][.,][ \n]")
+    #: The normalizer and the splitter that all this holds for, as the file has them.
+    KNOWN = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "post_processor": None,
+    }
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
@@ -120,6 +134,11 @@ class Encoder:
         byte = {b: chr(0x100 + k) for k, b in enumerate([*range(33), *range(0x7F, 0xA1), 0xAD])}
         self.written = {chr(c): "".join(byte.get(b, chr(b)) for b in chr(c).encode()) for c in range(0x80, 0x100)}
         self.words = Recent(WORDS)
+        with open(path, encoding="utf-8") as x:
+            file = json.load(x)
+        marked = all(t["content"].startswith("<|") and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in file["added_tokens"])
+        self.known = marked and all(file.get(k) == v for k, v in self.KNOWN.items()) and not file.get("truncation") and not file.get("padding")
+        del file
 
     def packed(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -146,6 +165,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text; texts are taken together to look up their new words at once."""
+        if not self.known:
+            return [self.packed(x.ids) for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         split = []
         for text in texts:
             # Case folding is the normalizer's own; done before, it spares entries. Special tokens keep their case.
@@ -390,14 +411,14 @@ class StoreReader:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def _recipes(self, take, width: int) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
         rows: list[tuple] = []
         while head := take(RECIPE_HEAD.size):
             doc_id, start, n_tokens, n, root = RECIPE_HEAD.unpack(head)
             own = list(RECIPE_CHUNK.iter_unpack(take(n * RECIPE_CHUNK.size)))
             if _root([d for d, _ in own]) != root:
                 raise ValueError(f"the recipe of document {doc_id} is not what its root says")
-            rows.append((None if doc_id == NO_ID else doc_id, start, n_tokens, [d for d, _ in own], [k for _, k in own]))
+            rows.append((None if doc_id == NO_ID else doc_id, start, n_tokens, [d for d, _ in own], [k for _, k in own], list(accumulate(k for _, k in own))))
             if len(rows) == 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows = []
@@ -484,8 +505,8 @@ def _load(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """From the files alone, for each document: doc_id, start, n_tokens, ids_crc32."""
     pool, recipes = _load(spark, path, "packs", POOL_SCHEMA), _load(spark, path, "recipes", RECIPE_SCHEMA)
-    pieces = recipes.select("doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("digests", "lengths")).alias("at", "c"), "lengths")
-    after = F.aggregate(F.slice("lengths", F.col("at") + 2, F.size("lengths")), F.lit(0).cast("long"), lambda a, x: a + x) * 4
+    pieces = recipes.select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip("digests", "lengths", "ends")).alias("c"))
+    after = F.greatest(F.col("n_tokens") - F.col("c.ends"), F.lit(0)) * 4  # bytes behind the chunk
     pieces = pieces.select("doc_id", "start", "n_tokens", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"), after.alias("after"))
     pieces = pieces.join(pool, "digest", "left")
     pieces = pieces.withColumn("crc", F.when(F.col("n_ids") == F.col("length"), F.col("crc")).otherwise(F.raise_error(F.lit("a recipe names a chunk that the packs do not have")).cast("long")))
