@@ -54,21 +54,23 @@ FEW_UNSEEN = 100_000
 FOUND = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
 
+def _running(steps: Column, n: Column) -> Column:
+    """Running sums of an array of n > 0 numbers: each round adds what stands 1, 2, 4, ... places before."""
+    rounds = F.ceil(F.log2(n)).cast("int")
+    # The filter leaves nothing of a sequence that would run down to -1.
+    return F.aggregate(F.filter(F.sequence(F.lit(0), rounds), lambda k: k < rounds), steps, lambda acc, k: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2.0), k).cast("int")), F.lit(0))))
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's spans of a text, as FOUND. Offsets are running lengths of what lies between matches and of matches."""
+    """The rule's spans of a text, as FOUND. A match ends at the running length of what lies between matches and of matches."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
     none = F.array().cast(FOUND)
 
     def located(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["between"], i))
-            stop = start + F.length(F.get(x["hits"], i))
-            one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
-            more = F.when(F.length(F.get(x["values"], i)) >= rule.least, F.array_append(acc["found"], one)).otherwise(acc["found"])
-            return F.struct(stop.alias("at"), more.alias("found"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+        steps = F.transform(x["hits"], lambda h, i: F.length(F.get(x["between"], i)) + F.length(h))
+        found = F.transform(_running(steps, F.size(x["hits"])), lambda stop, i: F.when(F.length(F.get(x["values"], i)) >= rule.least, F.struct((stop - F.length(F.get(x["hits"], i))).alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))))
+        return F.filter(found, lambda s: s.isNotNull())
 
     # Arrays of one element bind a value to a name, so that each pattern runs once over a text.
     matched = F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, F.struct(h.alias("hits"), (values if rule.group else h).alias("values"), F.split(text, rule.pattern, -1).alias("between"))))
@@ -100,7 +102,8 @@ def scan(spark: SparkSession, versions: DataFrame, ledger: str, key: str = "doc_
     # Spans count only where they come from the rule's present version.
     fresh = F.transform(F.filter("rule_versions", lambda v: F.array_contains(current, v)), lambda v: F.split_part(v, F.lit("@"), F.lit(1)))
     scans = scans.withColumn("fresh", fresh).select("blob", F.filter("found", lambda s: F.array_contains("fresh", s["kind"]) & F.array_contains(kinds, s["kind"])).alias("found"))
-    scans = scans.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    scans = scans.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("all"))  # a list as long as the rules scanned
+    scans = scans.select("blob", F.filter("all", lambda s, i: (i == 0) | (s != F.get("all", i - 1))).alias("found"))
     return rows.select("key", "blob").join(scans, "blob").select(F.col("key").alias(key), "blob", "found")
 
 
