@@ -26,7 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from assaylake.llm.common import whole_row
 from assaylake.llm.learn import char_hash, letters, lower
 from assaylake.llm.textvec import blocks, codes, mix, run_hashes, spans
 
@@ -251,27 +253,35 @@ def find(p: Patterns, texts: list[str]) -> list[list[dict]]:
 
 def regions(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with a column `regions`: item_id, start and stop in code points, edits. A column of that name is replaced."""
+    return _found(spark, docs.drop("regions"), benchmark).select("row.*", "regions")
+
+
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without a region, as they are, whatever their columns are called."""
+    return _found(spark, docs, benchmark).filter(F.size("regions") == 0).select("row.*")
+
+
+def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """row (a row of docs as one column), text, regions."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-chars // BLOCK_CHARS))
-    docs = docs.drop("regions")
-    names = docs.columns
-    out = docs.withColumn("regions", F.array().cast(KIND))
+    out = docs.select(whole_row(docs), "text", F.array().cast(KIND).alias("regions"))
     for k in range(passes):  # more than one only for a benchmark of millions of characters
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
         p = patterns(pd.DataFrame({"item_id": pd.Series([r["item_id"] for r in own], dtype=object), "text": pd.Series([r["text"] for r in own], dtype=object)}))
         if p is None:
             continue
         shared = spark.sparkContext.broadcast(p)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        found = out.withColumnRenamed("regions", "_before").mapInArrow(lambda x, shared=shared: _with_regions(x, shared.value, names), f"{schema}, _before {KIND}, regions {KIND}")
-        out = found.withColumn("regions", F.concat("_before", "regions")).drop("_before")
+        schema = StructType([*out.schema.fields[:2], StructField("before", out.schema["regions"].dataType), StructField("regions", out.schema["regions"].dataType)])
+        found = out.withColumnRenamed("regions", "before").mapInArrow(lambda x, shared=shared: _with_regions(x, shared.value), schema)
+        out = found.select("row", "text", F.concat("before", "regions").alias("regions"))
     return out
 
 
-def _with_regions(batches: Iterator[pa.RecordBatch], p: Patterns, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _with_regions(batches: Iterator[pa.RecordBatch], p: Patterns) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
-    for part, texts in blocks(batches, names.index("text")):
+    for part, texts in blocks(batches, 1):
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(find(p, texts), kind)], names=[*part.schema.names, "regions"])
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import Work, partitions, written
+from assaylake.llm.common import Work, partitions, whole_row, written
 from assaylake.llm.components import components
 from assaylake.llm.textvec import blocks, mix, shingle_sets
 
@@ -238,20 +238,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: i
 
     Of rows that repeat a doc_id and a text one stays; where texts of a doc_id differ, each is a document of its own.
     """
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    names = docs.columns
-    named = docs.filter("doc_id IS NOT NULL").withColumn("_node", F.col("doc_id").cast("long"))
-    several = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("h"))
-    several = written(spark, several.groupBy("_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("_id"), "near-several")
+    row = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.col("doc_id").cast("long").alias("node"), "text")
+    named = row.filter("id IS NOT NULL")
+    several = named.groupBy("id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).filter("lo < hi").select("id")
+    several = written(spark, several, "near-several")
     if not several.isEmpty():
-        top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
-        texts = named.join(several, named["_node"] == several["_id"], "left_semi").select(F.col("_node").alias("_id"), key.alias("_text")).distinct()
-        own = written(spark, texts.withColumn("_own", F.lit(top + 1) + F.monotonically_increasing_id()), "near-own")
-        named = named.withColumn("_key", key)
-        named = named.join(own, (named["_node"] == own["_id"]) & (named["_key"] == own["_text"]), "left").withColumn("_node", F.coalesce("_own", "_node"))
-    stay = near_groups(spark, named.select(F.col("_node").alias("doc_id"), "text"), width, percent).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    named = named.join(stay, named["_node"] == stay["_stay"], "left_semi").dropDuplicates(["_node"])
-    return named.select(*(F.col(f"`{n}`") for n in names)).unionByName(docs.filter("doc_id IS NULL"))
+        key = F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")
+        top = named.agg(F.max("id")).first()[0]
+        own = named.join(several, "id", "left_semi").select("id", key).distinct()
+        own = written(spark, own.withColumn("own", F.lit(top + 1) + F.monotonically_increasing_id()), "near-own")
+        named = named.withColumn("key", key).join(own, ["id", "key"], "left").select("row", "id", F.coalesce("own", "node").alias("node"), "text")
+    stay = near_groups(spark, named.select(F.col("node").alias("doc_id"), "text"), width, percent).filter("kept").select(F.col("doc_id").alias("node")).distinct()
+    named = named.join(stay, "node", "left_semi").dropDuplicates(["node"])
+    return named.select("row.*").unionByName(row.filter("id IS NULL").select("row.*"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

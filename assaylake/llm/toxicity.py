@@ -209,7 +209,7 @@ def _score(batches: Iterator[pa.RecordBatch], field: Field, with_spans: bool) ->
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Field:
     """Learn from labels(doc_id, toxic); the caller leaves out what must not be learned from."""
-    labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic")
+    labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))  # each document once
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     rows = [sample(docs, labels.filter(F.col("toxic") == k), ["toxic"], n) for k in (0, 1)]
