@@ -4,12 +4,15 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 stages the rows are written to the shared folder, so that a lost executor costs a reread and no stage runs twice.
 
 SQL cannot express the first stage, a model fitted here, so there is no oracle; tests hold the stages to brute force.
+
+Cases: stages keep a row's columns as they are, whatever their names; a null or empty text is not toxic, is no near copy and has no
+benchmark passage, so it stays, has size 0 in the mix and the end id alone as tokens; rows that repeat a doc_id and a text count
+as one from the second stage on; rows without a doc_id all stay there; without rows every stage gives none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from assaylake.llm import decontam, minhash, mixing, tokens, toxicity
 from assaylake.llm.common import written
@@ -29,8 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = decontam.regions(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(F.size("regions") == 0).select(*docs.columns)
+    return decontam.clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
