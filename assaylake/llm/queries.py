@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assaylake.llm import decontam, fingerprint, langid, minhash, mixing, quality, secrets, tokens, toxicity, warc
+from assaylake.llm import alignment, bytebpe, decontam, fingerprint, hardneg, langid, minhash, mixing, quality, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
+    "op11_bytebpe": bytebpe.op11_bytebpe,
+    "op12_hardneg": hardneg.op12_hardneg,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,5 @@ ORACLE_SQL = {
     "op3_minhash": minhash.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op12_hardneg": hardneg.ORACLE,
 }
