@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.functions import ids, vectors
+from assaylake.operators import sums
 
 
 class ContractError(ValueError):
@@ -134,9 +135,10 @@ def out_of_range(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataF
 
 def unfit_matrix(rows: DataFrame, train: str, values: str = "values") -> DataFrame:
     """Features that training cannot use: missing or not finite somewhere, or of one value in all training rows."""
-    cells = rows.select(F.col(train).alias("_train"), F.posexplode(values).alias("pos", "value"))
-    found = cells.groupBy("pos").agg(F.count_if(~vectors.finite(F.col("value"))).alias("n_not_finite"), F.countDistinct(F.when(F.col("_train"), F.col("value"))).alias("n_values"))
-    return found.filter("n_not_finite > 0 OR n_values < 2")
+    found = sums.moments(rows.select(F.coalesce(train, F.lit(False)).alias("_train"), values), ["_train"], values)
+    each = found.select("_train", F.posexplode(F.arrays_zip("low", "high", "n_not_finite")).alias("pos", "s"))
+    each = each.groupBy("pos").agg(F.sum("s.n_not_finite").alias("n_not_finite"), F.coalesce(F.max(F.when(F.col("_train"), F.col("s.low") != F.col("s.high"))), F.lit(False)).alias("varies"))
+    return each.filter("n_not_finite > 0 OR NOT varies")
 
 
 def not_identical(a: DataFrame, b: DataFrame, keys: list[str], score: str = "score", relative: float = 1e-9, absolute: float = 1e-12) -> DataFrame:

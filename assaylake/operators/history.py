@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,16 +26,18 @@ def convergence(history: DataFrame, window: int, tolerance: float) -> DataFrame:
 
 
 def moving_average(history: DataFrame, keep: float = 0.9) -> DataFrame:
-    """Exponential moving average that starts at the first value; a run's epochs are folded in order."""
-    runs = history.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", "score"))).alias("h"))
-    start = F.struct(F.get("h", F.lit(0))["score"].alias("e"), F.array().cast("array<struct<epoch:bigint,ema:double>>").alias("out"))
-
-    def step(acc, x):
-        e = F.when(F.size(acc["out"]) == 0, x["score"]).otherwise(keep * acc["e"] + (1 - keep) * x["score"])
-        return F.struct(e.alias("e"), F.array_append(acc["out"], F.struct(x["epoch"].cast("bigint").alias("epoch"), e.alias("ema"))).alias("out"))
-
-    folded = runs.select("run", F.explode(F.aggregate("h", start, step, lambda acc: acc["out"])).alias("r"))
-    return folded.select("run", F.col("r.epoch").alias("epoch"), F.col("r.ema").alias("ema"))
+    """Exponential moving average that starts at the first value; a run's epochs, one group, are folded in order."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("epoch")
+        out, held = [], None
+        for score in pdf["score"]:
+            held = score if held is None else keep * held + (1 - keep) * score
+            out.append(held)
+        return pd.DataFrame({"run": pdf["run"], "epoch": pdf["epoch"], "ema": out})
+
+    kind = history.schema["run"].dataType.simpleString()
+    return history.select("run", F.col("epoch").cast("bigint").alias("epoch"), F.col("score").cast("double").alias("score")).groupBy("run").applyInPandas(fold, f"run {kind}, epoch bigint, ema double")
 
 
 #: What a score must fall by to count as better.

@@ -6,9 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from assaylake.functions import ids, vectors
+from assaylake.operators import order as places
+
+
+#: Rows of a training fold that a bandwidth is found for: pairs grow with their square.
+MOST = 5000
 
 
 def wide_to_long(wide: DataFrame, times: dict[str, str] = ids.TIMES) -> DataFrame:
@@ -42,7 +46,9 @@ def match_summary(samples: DataFrame, clinical: DataFrame, outcomes: DataFrame,
 
 
 def trajectory(long: DataFrame) -> DataFrame:
-    return long.groupBy("time", "time_ord").agg(F.percentile("egfr", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"))
+    by = ["time", "time_ord"]
+    medians = places.quantiles(long, by, "egfr", (0.5,)).select(*by, F.get("q", F.lit(0)).alias("median"))
+    return long.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(medians, by).select(*by, "median", "n")
 
 
 def fold_design(assignments: DataFrame, long: DataFrame, features: DataFrame) -> DataFrame:
@@ -77,11 +83,14 @@ def group_counts(df: DataFrame, column: str, names: list[str]) -> DataFrame:
 def clinical_geometry(train: DataFrame, columns: list[str]) -> DataFrame:
     """For each variable: training median, mean and population deviation."""
     long = train.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "variable", "value")
-    return long.groupBy("variable").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    medians = places.quantiles(long, ["variable"], "value", (0.5,)).select("variable", F.get("q", F.lit(0)).alias("median"))
+    return medians.join(long.groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")), "variable")
 
 
 def bandwidth(train: DataFrame, key: str, values: str) -> DataFrame:
-    """Median of the positive distances between a cohort's rows, 1 if there is none. All pairs: for a training fold of at most a few hundred rows."""
+    """Median of the positive distances between a cohort's rows, 1 if there is none. All pairs: a training fold of more than MOST rows is refused."""
+    if train.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"a bandwidth is of at most {MOST} rows")
     a, b = train.select(F.col(key).alias("i"), F.col(values).alias("a")), train.select(F.col(key).alias("j"), F.col(values).alias("b"))
     d = a.join(b, F.col("i") < F.col("j")).select(F.sqrt(vectors.squared_error("a", "b")).alias("d")).filter("d > 0")
     return d.agg(F.coalesce(F.percentile("d", F.lit(0.5)), F.lit(1.0)).alias("bandwidth"))
@@ -92,5 +101,5 @@ def tissue_pattern(biopsies: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """A gapless 1-based index in a total order, for manifests of at most some thousand rows."""
-    return df.withColumn("array_index", F.row_number().over(W.orderBy(order)))
+    """A gapless 1-based index in a total order."""
+    return places.numbered(df, [F.col(order)], "array_index", 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.functions import vectors
+from assaylake.operators import order, sums
 
 
 def scan_rows(df: DataFrame, key: str, values: str = "values") -> DataFrame:
@@ -19,29 +20,28 @@ def scan_rows(df: DataFrame, key: str, values: str = "values") -> DataFrame:
         key, n(F.isnan).alias("n_nan"), n(lambda x: F.abs(x) == float("inf")).alias("n_inf"), n(lambda x: x == 0).alias("n_zero"), n(lambda x: x <= 0).alias("n_nonpositive"),
         F.size(ok).alias("n_finite"), F.array_min(ok).alias("low"), F.array_max(ok).alias("high"), mean.alias("mean"),
         F.sqrt(F.greatest(F.lit(0.0), vectors.total(ok, lambda x: x * x) / F.size(ok) - mean * mean)).alias("sd"),
-        (F.array_min(ok) == F.array_max(ok)).alias("constant"),
+        (F.array_min(ok) == F.array_max(ok)).alias("constant"), ((F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(x == 0, F.lit(False)))).alias("all_zero"), vectors.total(ok).alias("total"),
     )
 
 
-def scan_features(rows: DataFrame) -> DataFrame:
-    """For each position of a long table(pos, value): extremes and whether constant, all zero or not finite."""
-    ok = F.when(vectors.finite(F.col("value")), F.col("value"))
-    return rows.groupBy("pos").agg(
-        F.min(ok).alias("low"), F.max(ok).alias("high"), F.avg(ok).alias("mean"), (F.min(ok) == F.max(ok)).alias("constant"),
-        F.coalesce((F.min(ok) == 0) & (F.max(ok) == 0), F.lit(False)).alias("all_zero"), F.count_if(~vectors.finite(F.col("value"))).alias("n_not_finite"),
-    )
+def scan_features(df: DataFrame, values: str = "values") -> DataFrame:
+    """For each position of the vectors: extremes, mean, and whether constant, all zero or not finite."""
+    found = sums.moments(df, [], values)
+    rows = found.select(F.posexplode(F.arrays_zip("low", "high", "mean", "n_not_finite")).alias("pos", "s")).select("pos", "s.*")
+    low, high = F.col("low"), F.col("high")
+    return rows.select("pos", "low", "high", "mean", (low == high).alias("constant"), F.coalesce((low == 0) & (high == 0), F.lit(False)).alias("all_zero"), "n_not_finite")
 
 
 def scope_summary(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Quantiles 1, 25, 50, 75 and 99 %, mean and population deviation."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.01, 0.25, 0.5, 0.75, 0.99))))
-    out = rows.groupBy(*by).agg(q.alias("q"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count(F.lit(1)).alias("n"))
+    out = out.join(order.quantiles(rows, by, value, (0.01, 0.25, 0.5, 0.75, 0.99)), by)
     return out.select(*by, *(F.get("q", F.lit(k)).alias(name) for k, name in enumerate(("q01", "q25", "q50", "q75", "q99"))), "mean", "sd", "n")
 
 
 def histogram(rows: DataFrame, by: list[str], low: float, high: float, n_bins: int, value: str = "value") -> DataFrame:
     """Counts and densities over the values within two quantiles of their group; the last bin holds its upper edge."""
-    edges = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("e")).select(*by, F.get("e", F.lit(0)).alias("lo"), F.get("e", F.lit(1)).alias("hi"))
+    edges = order.quantiles(rows, by, value, (low, high)).select(*by, F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
     inside = rows.join(edges, by).filter(F.col(value).between(F.col("lo"), F.col("hi"))).filter("hi > lo")
     width = (F.col("hi") - F.col("lo")) / n_bins
     bin_ = F.least(F.lit(n_bins - 1), F.floor((F.col(value) - F.col("lo")) / width)).cast("int")
@@ -51,7 +51,7 @@ def histogram(rows: DataFrame, by: list[str], low: float, high: float, n_bins: i
 
 
 def box(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Quartiles, and the outermost values within 1.5 times their distance."""
+    """Quartiles, and the outermost values within 1.5 times their distance. A group is a sample, as long as a vector."""
     q = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     q = q.select(*by, *(F.get("q", F.lit(k)).alias(f"q{k + 1}") for k in range(3)))
     near = rows.join(q, by).filter(F.col(value).between(F.expr("q1 - 1.5 * (q3 - q1)"), F.expr("q3 + 1.5 * (q3 - q1)")))
@@ -75,14 +75,14 @@ def categories(df: DataFrame, column: str, most: int = 25) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("Missing")).alias("category")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(most)
 
 
-def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("_at", F.row_number().over(W.partitionBy(key).orderBy(order))).filter("_at = 1").drop("_at")
+def first_of_each(df: DataFrame, key: str, by: str) -> DataFrame:
+    return df.withColumn("_at", F.row_number().over(W.partitionBy(key).orderBy(by))).filter("_at = 1").drop("_at")
 
 
 def shared_bins(a: DataFrame, b: DataFrame, n_bins: int = 70, value: str = "value") -> DataFrame:
     """Densities of two value sets on bins that span the middle 99 % of both: side, bin, n, density."""
     both = a.select(F.lit("sample").alias("side"), value).unionByName(b.select(F.lit("reference").alias("side"), value))
-    span = both.groupBy("side").agg(F.percentile(value, F.array(F.lit(0.005), F.lit(0.995))).alias("e")).agg(F.min(F.get("e", F.lit(0))).alias("lo"), F.max(F.get("e", F.lit(1))).alias("hi"))
+    span = order.quantiles(both, ["side"], value, (0.005, 0.995)).agg(F.min(F.get("q", F.lit(0))).alias("lo"), F.max(F.get("q", F.lit(1))).alias("hi"))
     rows = both.crossJoin(F.broadcast(span)).filter(F.col(value).between(F.col("lo"), F.col("hi")) & (F.col("hi") > F.col("lo")))  # one row
     width = (F.col("hi") - F.col("lo")) / n_bins
     counts = rows.groupBy("side", "lo", "hi", F.least(F.lit(n_bins - 1), F.floor((F.col(value) - F.col("lo")) / width)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

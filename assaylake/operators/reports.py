@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from assaylake.operators import order
+
 
 def delta_to(metrics: DataFrame, baseline: str, keys: list[str]) -> DataFrame:
     """base - rmse of each model on the same fold; a fold without the baseline is an error."""
@@ -78,7 +80,7 @@ def unmatched(tables: dict[str, DataFrame], key: str) -> DataFrame:
 
     def alone(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
         rest = x.select(key).distinct().join(y.select(key).distinct(), key, "left_anti")
-        return rest.select(F.col(key).cast("string").alias(name), F.row_number().over(W.orderBy(key)).alias("row"))  # a report: the ids are listed
+        return order.numbered(rest, [F.col(key)], "row", 1).select(F.col(key).cast("string").alias(name), F.col("row").cast("int").alias("row"))
 
     return alone(left, right, a).join(alone(right, left, b), "row", "full_outer").select("row", F.coalesce(a, F.lit("")).alias(a), F.coalesce(b, F.lit("")).alias(b))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.functions import ids, vectors
+from assaylake.operators import order
 from assaylake.operators.contracts import ContractError, enforce, repeated
 from assaylake.operators.qc import positions
 
@@ -77,23 +78,20 @@ def earlier_and_final(final: DataFrame, earlier: DataFrame, key: str, mark: str)
     return final.join(old, key, "left").withColumn("checkpoint_match", F.when(F.col(mark) == F.col(f"earlier_{mark}"), "yes").otherwise("no-or-unknown"))
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Rows with their place, from 0, in an order that must end in a key; for tables of a report's size."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("bigint") - 1)
-
-
-def spread(df: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
-    """At most so many rows, evenly spread over the order of the first row of each key."""
-    first = df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+def spread(df: DataFrame, keys: list[str], by: list[str], most: int) -> DataFrame:
+    """At most so many rows, evenly spread over the order of the first row of each key, with their `position` in it. Keys alone are put in order."""
+    first = df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).filter("_n = 1").drop("_n")
     at = first.agg(positions(F.count(F.lit(1)), most).alias("at")).select(F.explode("at").alias("position"))
-    return numbered(first, order).join(F.broadcast(at), "position", "left_semi")  # as many rows as asked for
+    places = order.numbered(first.select(*dict.fromkeys([*keys, *by])), [F.col(c) for c in by])
+    places = places.join(F.broadcast(at), "position", "left_semi").select(*keys, "position")  # as many rows as asked for
+    return first.join(F.broadcast(places), keys)
 
 
-def pooled_values(rows: DataFrame, order: str, most_rows: int = 24, most_values: int = 600_000) -> DataFrame:
+def pooled_values(rows: DataFrame, by: str, most_rows: int = 24, most_values: int = 600_000) -> DataFrame:
     """position, value: finite values of evenly spread rows, then evenly spread ones of these."""
-    picked = spread(rows.withColumn("_key", F.col(order)), "_key", [F.col(order)], most_rows).drop("_key", "position")
-    values = picked.select(order, F.posexplode("values").alias("pos", "value")).filter(vectors.finite(F.col("value")))
-    return spread(values.withColumn("_key", F.struct(order, "pos")), "_key", [F.col(order), F.col("pos")], most_values).select("position", "value")
+    picked = spread(rows, [by], [by], most_rows).drop("position")
+    values = picked.select(by, F.posexplode("values").alias("pos", "value")).filter(vectors.finite(F.col("value")))
+    return spread(values, [by, "pos"], [by, "pos"], most_values).select("position", "value")
 
 
 def in_all(sets: DataFrame, group: str, key: str, least: int = 3) -> DataFrame:

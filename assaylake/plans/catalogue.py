@@ -61,7 +61,8 @@ def quantile_reference_fit(spark, d):
 @query(sql(f", k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY value, pos) - 1 AS rank FROM raw), t AS (SELECT rank, avg(value) AS target FROM k WHERE split = 'train' GROUP BY rank) SELECT sample_id, pos::INT AS pos, {r('log2(avg(target) OVER (PARTITION BY sample_id, value))')} AS mapped FROM k JOIN t USING (rank)", "raw"))
 def quantile_reference_apply(spark, d):
     rows = I.raw_matrix(spark, d)
-    return rounded(normalize.apply_reference(rows, normalize.quantile_reference(rows.filter("split = 'train'")), "sample_id"))
+    mapped = normalize.apply_reference(rows, normalize.quantile_reference(rows.filter("split = 'train'")), "sample_id")
+    return rounded(mapped.select("sample_id", F.posexplode("values").alias("pos", "mapped")))
 
 
 @query(sql(f" SELECT sample_id, pos // 8 AS probe_set, {r('quantile_cont(value, 0.5)')} AS median FROM raw GROUP BY ALL", "raw"))
@@ -99,14 +100,14 @@ def fold_impute_standardize(spark, d):
 # --- quality control
 
 
-@query(sql(f" SELECT sample_id, count(*) FILTER (isnan(value)) ::INT AS n_nan, count(*) FILTER (isinf(value))::INT AS n_inf, count(*) FILTER (value = 0)::INT AS n_zero, count(*) FILTER (value <= 0)::INT AS n_nonpositive, count(*)::INT AS n_finite, {r('min(value)')} AS low, {r('max(value)')} AS high, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS sd, min(value) = max(value) AS constant FROM cells GROUP BY sample_id", "cells"))
+@query(sql(f" SELECT sample_id, count(*) FILTER (isnan(value)) ::INT AS n_nan, count(*) FILTER (isinf(value))::INT AS n_inf, count(*) FILTER (value = 0)::INT AS n_zero, count(*) FILTER (value <= 0)::INT AS n_nonpositive, count(*)::INT AS n_finite, {r('min(value)')} AS low, {r('max(value)')} AS high, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS sd, min(value) = max(value) AS constant, min(value) = 0 AND max(value) = 0 AS all_zero, {r('sum(value)')} AS total FROM cells GROUP BY sample_id", "cells"))
 def matrix_scan_rows(spark, d):
     return rounded(qc.scan_rows(I.matrix(spark, d), "sample_id"))
 
 
 @query(sql(f" SELECT pos::INT AS pos, {r('min(value)')} AS low, {r('max(value)')} AS high, {r('avg(value)')} AS mean, min(value) = max(value) AS constant, min(value) = 0 AND max(value) = 0 AS all_zero, 0::BIGINT AS n_not_finite FROM cells GROUP BY pos", "cells"))
 def matrix_scan_features(spark, d):
-    return rounded(qc.scan_features(normalize.long_form(I.matrix(spark, d), "sample_id")))
+    return rounded(qc.scan_features(I.matrix(spark, d)))
 
 
 @query(sql(f", s AS (SELECT split, sample_id, avg(value) AS mean, stddev_pop(value) AS sd FROM cells GROUP BY ALL) SELECT split, count(*) AS n, {r('avg(mean)')} AS mean, {r('min(mean)')} AS low, {r('max(mean)')} AS high, {r('avg(sd)')} AS sd FROM s GROUP BY split", "cells"))
@@ -537,10 +538,15 @@ def lasso_path(spark, d):
     return models.lasso_criteria(_design(spark, d).filter("is_train").drop("is_train"))
 
 
-@query()
+_ENCODED = ", w AS (SELECT unnest(range(0, 8)) AS k), z AS (SELECT sample_id, k, sum((value - 0.1) * sqrt(2.0 / 64) * cos(pi() * (pos + 0.5) * (k + 1) / 64)) AS z FROM cells, w GROUP BY ALL), b AS (SELECT sample_id, pos, sum(z * sqrt(2.0 / 64) * cos(pi() * (pos + 0.5) * (k + 1) / 64)) AS back FROM z, (SELECT unnest(range(0, 64)) AS pos) GROUP BY ALL), e AS (SELECT sample_id, avg(pow(value - 0.1 - back, 2)) AS mse FROM cells JOIN b USING (sample_id, pos) GROUP BY sample_id)"
+
+
+@query(sql(f"{_ENCODED} SELECT sample_id, k::INT AS k, {r('z')} AS z, {r('mse')} AS mse FROM z JOIN e USING (sample_id)", "cells"))
 def encoder_embedding(spark, d):
-    w = np.linalg.qr(np.random.default_rng(5).normal(size=(64, 8)))[0]
-    return models.encode(I.matrix(spark, d), w, np.zeros(64))
+    """A frozen linear encoder, the first cosines of a transform, and what it cannot restore."""
+    found = models.encode(I.matrix(spark, d), _designs.cosines(64, 8), np.full(64, 0.1))
+    return rounded(found.select("sample_id", F.posexplode("z").alias("k", "z"), "mse"))
 
 
+from assaylake.plans import evaluation as _designs  # noqa: E402, F401  registers its queries
 from assaylake.plans import selections as _more  # noqa: E402, F401  registers its queries

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -50,8 +50,9 @@ def patients(spark: SparkSession, d: str) -> DataFrame:
 
 
 def outcomes_long(spark: SparkSession, d: str) -> DataFrame:
-    order = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("o_orderpriority")) - 1
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("patient"), order.cast("int").alias("time_ord"), "o_totalprice").filter("time_ord >= 0")
+    """Averages of each customer's orders; a priority is a time, and any behind the third is the last."""
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("o_orderpriority")), F.lit(0).cast("bigint")) - 1, F.lit(len(PRIORITIES)))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("patient"), order.cast("int").alias("time_ord"), "o_totalprice")
     return rows.groupBy("patient", "time_ord").agg(F.avg("o_totalprice").alias("egfr"))
 
 
@@ -69,7 +70,7 @@ SQL = {
     "met": "SELECT model_id, repeat, fold, sqrt(avg((y - p) * (y - p))) AS rmse FROM pred GROUP BY ALL",
     "hist": "SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value AS score, event_type AS method FROM events",
     "pat": "SELECT c_custkey AS patient, c_custkey // 2 AS donor, c_acctbal AS kdri, c_mktsegment AS stratum, c_name FROM customer",
-    "long": "SELECT o_custkey AS patient, (list_position(['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED'], o_orderpriority) - 1)::INT AS time_ord, avg(o_totalprice) AS egfr FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY ALL",
+    "long": "SELECT o_custkey AS patient, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END::INT AS time_ord, avg(o_totalprice) AS egfr FROM orders GROUP BY ALL",
     "wide": "SELECT p.patient, p.donor, max(egfr) FILTER (time_ord = 0) AS egfr_7d, max(egfr) FILTER (time_ord = 1) AS egfr_3m, max(egfr) FILTER (time_ord = 2) AS egfr_6m, max(egfr) FILTER (time_ord = 3) AS egfr_12m FROM pat p LEFT JOIN long l ON l.patient = p.patient GROUP BY p.patient, p.donor",
 }
 NEEDS = {"raw": ["cells"], "met": ["pred"], "wide": ["pat", "long"]}

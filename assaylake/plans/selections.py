@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions import ids, training
-from assaylake.operators import contracts, selections
+from assaylake.operators import contracts, order, selections
 from assaylake.plans import inputs as I
 from assaylake.plans.catalogue import query, r, rounded
 from assaylake.plans.inputs import sql, table
@@ -107,12 +107,12 @@ def raw_and_normalized_densities(spark, d):
 
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) - 1 AS position FROM supplier")
 def stable_sort(spark, d):
-    return selections.numbered(table(spark, d, "supplier"), [F.col("s_nationkey"), F.col("s_acctbal").desc(), F.col("s_suppkey")]).select("s_suppkey", "position")
+    return order.numbered(table(spark, d, "supplier"), [F.col("s_nationkey"), F.col("s_acctbal").desc(), F.col("s_suppkey")]).select("s_suppkey", "position")
 
 
 @query(sql(", p AS (SELECT *, row_number() OVER (ORDER BY patient) - 1 AS k, count(*) OVER () AS n FROM pat), places AS (SELECT DISTINCT CASE WHEN i = 34 THEN n - 1 ELSE floor(i * ((n - 1)::DOUBLE / 34.0))::BIGINT END AS k FROM (SELECT DISTINCT n FROM p), (SELECT unnest(range(0, 35)) AS i)) SELECT p.patient, p.k AS position FROM p JOIN places USING (k)", "pat"))
 def spread_patients(spark, d):
-    return selections.spread(I.patients(spark, d), "patient", [F.col("patient")], 35).select("patient", "position")
+    return selections.spread(I.patients(spark, d), ["patient"], ["patient"], 35).select("patient", "position")
 
 
 @query(sql(", p AS (SELECT *, dense_rank() OVER (ORDER BY sample_id) - 1 AS k, (SELECT count(DISTINCT sample_id) FROM cells) AS n FROM cells), places AS (SELECT DISTINCT CASE WHEN i = 23 THEN n - 1 ELSE floor(i * ((n - 1)::DOUBLE / 23.0))::BIGINT END AS k FROM (SELECT DISTINCT n FROM p), (SELECT unnest(range(0, 24)) AS i)) SELECT row_number() OVER (ORDER BY sample_id, pos) - 1 AS position, round(value, 6) + 0.0 AS value FROM p JOIN places USING (k)", "cells"))
@@ -123,7 +123,7 @@ def pooled_sample(spark, d):
 @query("SELECT sample, row_number() OVER (ORDER BY first_at, sample) - 1 AS position FROM (SELECT l_partkey AS sample, min(l_orderkey) AS first_at FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY l_partkey)")
 def ordered_samples(spark, d):
     rows = table(spark, d, "lineitem").filter("l_suppkey % 7 = 0").groupBy(F.col("l_partkey").alias("sample")).agg(F.min("l_orderkey").alias("at"))
-    return selections.numbered(rows, [F.col("at"), F.col("sample")]).select("sample", "position")
+    return order.numbered(rows, [F.col("at"), F.col("sample")]).select("sample", "position")
 
 
 @query("SELECT l_suppkey FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_linenumber) = (SELECT count(DISTINCT l_linenumber) FROM lineitem)")
@@ -218,7 +218,7 @@ def settings_out_of_range(spark, d):
     return contracts.out_of_range(s, {"balance": (0, 5000), "nation": (3, 24)})
 
 
-@query("SELECT 0::INT AS pos, 0::BIGINT AS n_not_finite, 1::BIGINT AS n_values UNION ALL SELECT 1, (SELECT count(*) FROM embeddings WHERE vec_id % 5 = 0), (SELECT count(DISTINCT CASE WHEN vec_id % 5 <> 0 THEN vec_id END) + CASE WHEN count(*) FILTER (vec_id % 5 = 0 AND label % 10 < 8) > 0 THEN 1 ELSE 0 END FROM embeddings WHERE label % 10 < 8)")
+@query("SELECT 0::INT AS pos, 0::BIGINT AS n_not_finite, false AS varies UNION ALL SELECT 1, (SELECT count(*) FROM embeddings WHERE vec_id % 5 = 0), (SELECT count(DISTINCT vec_id) > 1 FROM embeddings WHERE label % 10 < 8 AND vec_id % 5 <> 0)")
 def unfit_features(spark, d):
     rows = I.matrix(spark, d)
     odd = F.when(F.col("sample_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("sample_id").cast("double"))
