@@ -137,12 +137,24 @@ def nested_manifest(donors: list[str], outer: int, repeats: int, inner: int, see
     return out
 
 
-def _ranked(df: DataFrame, by: list[str], seed: Column) -> DataFrame:
+def hashed_order(seed: Column, donor: str = "donor") -> Column:
+    """A hash of the seed and the donor, a long of 63 bits that other engines find too: 52 bits of an MD5, followed by zeros."""
+    digits = F.substring(F.md5(F.concat_ws(":", seed.cast("string"), F.col(donor).cast("string")).cast("binary")), 1, 13)
+    return F.shiftleft(F.conv(digits, 16, 10).cast("bigint"), 11)
+
+
+def part_of(rank: Column, n: Column, parts: int) -> Column:
+    """The part, from 0, of the row with a rank, if n rows are cut into parts of which the first have one more."""
+    size, more = F.floor(n / parts), F.pmod(n, F.lit(parts))
+    return F.when(rank < more * (size + 1), F.floor(rank / (size + 1))).otherwise(more + F.floor((rank - more * (size + 1)) / F.greatest(size, F.lit(1)))).cast("int")
+
+
+def _ranked(df: DataFrame, by: list[str], seed: Column, hash_: Column | None = None) -> DataFrame:
     """df with rank, from 0 in each group, in the order of a hash of the seed and the donor.
 
     Ranks are counted in bins of the hash: a group's window has a row for each of 2^RANK_BITS bins, a bin's its share of the donors.
     """
-    hashed = df.withColumn("hash", F.xxhash64(seed.cast("bigint"), "donor"))
+    hashed = df.withColumn("hash", F.xxhash64(seed.cast("bigint"), "donor") if hash_ is None else hash_)
     hashed = hashed.withColumn("bin", F.shiftrightunsigned("hash", 64 - RANK_BITS))
     bins = hashed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
