@@ -6,7 +6,8 @@ finds for the words of a text the best sequence of languages, where each change
 the spans. The text's language is that of most letters, and the score its share of the letters.
 
 Trigram counts come, in one task of an executor, from at most SAMPLE texts of each language, those with the smallest hashes of
-their doc_id and at most LONGEST code points, CHARS in all; near copies are left out. The languages are the distinct labels,
+their doc_id and at most LONGEST code points, ROWS texts and CHARS code points in all, of which each language has its share;
+near copies are left out. The languages are the distinct labels,
 however many: the table has at most 2^TABLE_BITS entries, so that with very many languages trigrams share buckets.
 
 Cases: a null text, or one without a letter, is `und` with score 0; words of a script that no language uses score nothing and
@@ -27,10 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from assaylake.llm.learn import char_hash, fitted, held_out, letters, lower, novel, texts_of
+from assaylake.llm import learn
+from assaylake.llm.learn import LONGEST, char_hash, fitted, held_out, letters, lower, novel, texts_of
 from assaylake.llm.textvec import blocks, codes, mix, spans
 
 SAMPLE, BITS, LEAST_BITS, TABLE_BITS, SWITCH = 400, 16, 10, 24, 12.0
+#: Rows of the sample for all languages together.
+ROWS = 20_000
 #: Word scores (words x languages) that are decoded together.
 TOGETHER = 16_000_000
 #: First code points of ranges of scripts; the rest up to the first is Latin, as is what no range names.
@@ -159,10 +163,17 @@ def _label(batches: Iterator[pa.RecordBatch], model: Model, with_spans: bool) ->
 def fit(docs: DataFrame, n: int = SAMPLE) -> Model:
     """Learn from docs(doc_id, text, lang); the caller leaves out what must not be learned from."""
     rows = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    ids = rows.select("doc_id", "lang").distinct().withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= n).select("doc_id", "lang")
-    languages = rows.select(F.lit(None).cast("long").alias("doc_id"), "lang", F.lit("").alias("text")).distinct()  # those whose texts are all too long count, too
-    return fitted(texts_of(rows.drop("lang"), ids, ["lang"]).unionByName(languages), _fit)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("held"))  # a row for each language, as the model has
+    several = max(1, counts.count())
+    n, most = max(1, min(n, ROWS // several)), min(LONGEST, learn.CHARS // several)  # each language has its share of rows and of code points
+    short = rows.filter(F.length("text") <= most)
+    # Of a language with very many documents those with small hashes alone are put in order, twice as many as are wanted.
+    hashed = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 52))
+    few = short.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(hashed < F.lit(float(1 << 52)) * (2 * n + 20) / F.col("held")).select("doc_id", "lang").distinct()
+    ids = few.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(hashed, "doc_id"))).filter(F.col("nth") <= n).select("doc_id", "lang")
+    texts = texts_of(short.drop("lang"), ids, ["lang"]).withColumn("upto", F.sum(F.length("text")).over(W.partitionBy("lang").orderBy(hashed, "doc_id", "text").rowsBetween(W.unboundedPreceding, 0)))
+    languages = counts.select(F.lit(None).cast("long").alias("doc_id"), "lang", F.lit("").alias("text"))  # those whose texts are all too long count, too
+    return fitted(texts.filter(F.col("upto") <= learn.CHARS // several).drop("upto").unionByName(languages), _fit)
 
 
 def _fit(found: pd.DataFrame) -> Model:

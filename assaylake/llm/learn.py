@@ -46,7 +46,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
 def fitted(frame: DataFrame, train: Callable[[pd.DataFrame], object], chars: int = CHARS) -> object:
     """train(rows of the bounded sample) in one task of an executor; only the model comes to the driver.
 
-    Rows come in order of the hash of their doc_id, up to `chars` code points in all. A lost executor costs a retry.
+    Rows come in order of the hash of their doc_id, those without one first, up to `chars` code points in all. A lost executor costs a retry.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def fitted(frame: DataFrame, train: Callable[[pd.DataFrame], object], chars: int
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     frame_columns = frame.columns
-    frame = frame.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
+    frame = frame.repartition(1).sortWithinPartitions(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
     found = frame.mapInArrow(run, "model binary").first()
     return pickle.loads(found["model"]) if found else train(pd.DataFrame(columns=frame.columns))
 
