@@ -9,7 +9,7 @@ A key may hold very many classes, so not all its pairs are made:
 1. Each class is compared with the smallest of its key; the pairs whose signatures are near enough are confirmed on the full
    sets, and the confirmed links give first components.
 2. In keys that still hold more than one component, the classes are dealt into blocks of about BLOCK, and blocks are compared
-   in pairs. Each class is known by the shingles of the key's smallest that it has, as bits, and by slots of those it has beyond:
+   in pairs where their sizes allow a link. Each class is known by the shingles of the key's smallest that it has, as bits, and by slots of those it has beyond:
    that bounds every overlap, and closely. Pairs of different components with near signatures that the bound allows are confirmed too; pairs
    within a component add nothing.
 
@@ -22,6 +22,7 @@ an empty result. Work tables are deleted after their last reader; the sketches a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,16 +180,26 @@ def _open(keyed: DataFrame, components: DataFrame) -> DataFrame:
     return keyed.join(open_.select("key", "n"), "key")
 
 
-def _met(work: Work, keyed: DataFrame, components: DataFrame, classes: DataFrame, related: DataFrame) -> DataFrame:
-    """Pairs of blocks (l, r) of the classes in keys that hold more than one component."""
+def _met(work: Work, keyed: DataFrame, components: DataFrame, classes: DataFrame, related: DataFrame, percent: int) -> DataFrame:
+    """Pairs of blocks (l, r) of the classes in keys that hold more than one component.
+
+    Classes of a key are dealt into bands by the logarithm of their size, so that sets that may be linked are in one band or in two
+    neighbours; only blocks of these are paired, and none of a band that holds one component with each other.
+    """
     known = classes.select("node", "n_shingles", "signature").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    dealt = _open(keyed, components).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(known, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # The base is a little more than what the sizes of linked sets may differ by, so that rounding parts none by two bands.
+    band = F.floor(F.log("n_shingles") / math.log(1.0001 * 100 / percent)).cast("int")
+    dealt = _open(keyed, components).drop("n").join(known, "node").withColumn("band", band)
+    counts = dealt.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), (F.min("component") < F.max("component")).alias("several"))
+    dealt = dealt.join(counts, ["key", "band"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.join(related.select(F.col("a").alias("first"), F.col("b").alias("node"), "beyond", "held", "rest"), ["first", "node"], "left")
     dealt = dealt.withColumn("beyond", F.when(F.col("node") == F.col("first"), 0).otherwise(F.coalesce("beyond", "n_shingles")).cast("int"))
-    dealt = dealt.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n_shingles", "beyond", "held", "rest", "signature")).alias("members"))  # about BLOCK at most
+    dealt = dealt.groupBy("key", "band", "block", "blocks", "several").agg(F.collect_list(F.struct("node", "component", "n_shingles", "beyond", "held", "rest", "signature")).alias("members"))  # about BLOCK at most
     dealt = work.table(dealt, "near-blocks")
-    left = dealt.select("key", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("members").alias("l"))
-    return left.join(dealt.select("key", "block", F.col("members").alias("r")), ["key", "block"]).select("l", "r")
+    left = dealt.filter("several").select("key", "band", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("members").alias("l"))
+    inside = left.join(dealt.select("key", "band", "block", F.col("members").alias("r")), ["key", "band", "block"]).select("l", "r")
+    above = dealt.select("key", (F.col("band") + 1).alias("band"), F.col("members").alias("l")).join(dealt.select("key", "band", F.col("members").alias("r")), ["key", "band"])
+    return inside.unionByName(above.select("l", "r"))
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +230,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, width: int = 5, percent: i
     # Classes that are open but far from the first of their key are compared with it too: unrelated, they would stay unbounded.
     far = work.table(_open(keyed, first).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "near-far")
     related = related.unionByName(_related(work, sets, classes, far, percent))
-    more = _met(work, keyed, first, classes, related).mapInArrow(lambda x: _near(x, percent), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _met(work, keyed, first, classes, related, percent).mapInArrow(lambda x: _near(x, percent), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
     more = work.table(more, "near-more")
     twins = classes.groupBy("doc").agg(F.min("node").alias("u"), F.collect_set("node").alias("all")).filter(F.size("all") > 1).select("u", F.explode("all").alias("v"))  # texts of one doc_id
     links = _linked(related).unionByName(_linked(_related(work, sets, classes, more, percent))).unionByName(twins)
