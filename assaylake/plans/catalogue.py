@@ -550,3 +550,4 @@ def encoder_embedding(spark, d):
 
 from assaylake.plans import evaluation as _designs  # noqa: E402, F401  registers its queries
 from assaylake.plans import selections as _more  # noqa: E402, F401  registers its queries
+from assaylake.plans import sources as _sources  # noqa: E402, F401  registers its queries

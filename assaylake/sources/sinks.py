@@ -121,37 +121,3 @@ def keep_manifest(path: str | Path, columns: list[str], rows: list[tuple]) -> st
     else:
         write_csv(path, columns, sorted(rows, key=lambda r: tuple(map(str, r))))
     return wanted
-
-
-class Units:
-    """Work units that survive a restart: a unit's result is committed under the hash of its contract and not computed again."""
-
-    def __init__(self, folder: str | Path, contract: dict):
-        self.folder = Path(folder)
-        stated = self.folder / "contract.json"
-        if stated.exists() and json.loads(stated.read_text()) != json.loads(canonical(contract)):
-            raise ContractError(f"{folder} was made under another contract")
-        if not stated.exists():
-            write_json(stated, contract)
-
-    def get(self, unit: str, compute) -> object:
-        path = self.folder / f"{hashlib.sha256(unit.encode()).hexdigest()[:16]}.json"
-        if not path.exists():
-            write_json(path, {"unit": unit, "value": compute()})
-        return json.loads(path.read_text())["value"]
-
-
-class Totals:
-    """Sums and counts over units, committed together with the set of units they hold: a repeated unit counts once."""
-
-    def __init__(self, path: str | Path):
-        self.path = Path(path)
-        self.state = json.loads(self.path.read_text()) if self.path.exists() else {"n": 0, "sum": 0.0, "done": []}
-
-    def add(self, unit: str, values: Iterable[float]) -> None:
-        if unit in self.state["done"]:
-            return
-        values = list(values)
-        after = {"n": self.state["n"] + len(values), "sum": self.state["sum"] + float(sum(values)), "done": sorted([*self.state["done"], unit])}
-        write_json(self.path, after)
-        self.state = after

@@ -74,21 +74,6 @@ def test_hashes_depend_on_content_alone(tmp_path):
     assert sinks.file_hash(tmp_path / "f", 2) == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
 
 
-def test_units_and_totals_survive_a_restart(tmp_path):
-    made = []
-    work = lambda u: made.append(u) or u * 2
-    assert sinks.Units(tmp_path / "u", {"seed": 1}).get("a", lambda: work("a")) == "aa"
-    assert sinks.Units(tmp_path / "u", {"seed": 1}).get("a", lambda: work("a")) == "aa" and made == ["a"]
-    with pytest.raises(ContractError, match="another contract"):
-        sinks.Units(tmp_path / "u", {"seed": 2})
-    totals = sinks.Totals(tmp_path / "t.json")
-    totals.add("x", [1, 2])
-    again = sinks.Totals(tmp_path / "t.json")
-    again.add("x", [1, 2])
-    again.add("y", [4])
-    assert sinks.Totals(tmp_path / "t.json").state == {"n": 3, "sum": 7.0, "done": ["x", "y"]}
-
-
 def test_latent_divergence_and_penalty():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(40, 3)), rng.normal(size=(40, 3))
