@@ -152,6 +152,7 @@ def test_union_find_against_brute_force():
 @pytest.mark.parametrize("few", [alignment.FEW, 0, 40])
 def test_alignment_of_fuzzed_texts(spark, few, monkeypatch):
     monkeypatch.setattr(alignment, "MANY", 3)
+    assert alignment.tokenizers(A, B).by_words
     rows = [(k, t) for k, t in enumerate(fuzzed(600, 3))] + [(None, "no id"), (7, "again"), (7, "again"), (8, None), (9, "▁"), (10, "a" * 2000), (11, " " * 500)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row", F.lit(0)).withColumn("pairs", F.lit(1)).repartition(3)
     got = [tuple(r) for r in alignment.align(spark, df, A, B, few).collect()]
