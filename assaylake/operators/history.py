@@ -8,21 +8,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def best_epoch(history: DataFrame) -> DataFrame:
-    """The epoch of the smallest finite score of each run, the earliest of equals."""
+def best_epoch(history: DataFrame, loss: str | None = None) -> DataFrame:
+    """The epoch of the smallest finite score of each run, the earliest of equals.
+
+    A run that has no score for some epoch with a loss is judged by its loss instead, if that is given.
+    """
+    if loss is not None:
+        whole = history.groupBy("run").agg((F.count_if(F.col(loss).isNotNull() & F.col("score").isNull()) == 0).alias("_whole"))
+        validated = history.filter(F.col(loss).isNotNull()).join(whole, "run")
+        history = validated.withColumn("score", F.when(F.col("_whole"), F.col("score")).otherwise(F.col(loss)))
     ok = history.filter(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf")))
     best = F.min(F.struct("score", "epoch"))
     return ok.groupBy("run").agg(best.alias("b")).select("run", F.col("b.epoch").alias("epoch"), F.col("b.score").alias("score"))
 
 
-def convergence(history: DataFrame, window: int, tolerance: float) -> DataFrame:
-    """Relative change to the epoch before, and whether the last `window` changes are all within the tolerance."""
+def convergence(history: DataFrame, window: int, tolerance: float, rate: str | None = None, floor: float = 0.0) -> DataFrame:
+    """Relative change to the epoch before, and whether the last `window` changes are all within the tolerance.
+
+    With a column of learning rates a run has converged only once its rate is down at the floor.
+    """
     order = W.partitionBy("run").orderBy("epoch")
     before = F.lag("score").over(order)
     change = F.abs(F.col("score") - before) / F.greatest(F.abs(before), F.lit(1e-12))
     last = order.rowsBetween(1 - window, 0)
     rows = history.withColumn("change", change)
-    return rows.withColumn("converged", (F.count("change").over(last) == window) & (F.max("change").over(last) <= tolerance))
+    stable = (F.count("change").over(last) == window) & (F.max("change").over(last) <= tolerance)
+    if rate is not None:
+        stable = stable & (F.col(rate) <= floor * (1 + 1e-6) + 1e-15)
+    return rows.withColumn("converged", stable)
 
 
 def moving_average(history: DataFrame, keep: float = 0.9) -> DataFrame:

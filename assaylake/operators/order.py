@@ -62,6 +62,6 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: tuple[float, .
         same = same & F.col(c).eqNullSafe(F.col(n))
     found = counts.join(parts, same).withColumn("_first", F.col("_before") + F.sum("_n").over(W.partitionBy(*by, "pid").orderBy("_value")) - F.col("_n"))
     ends = [F.max(F.when(here(rank, F.col("_first"), F.col("_n")), F.col("_value"))).alias(f"_r{k}") for k, rank in enumerate(ranks)]
-    out = found.groupBy(*by).agg(F.max("_all").alias("_all"), *ends)
+    out = found.groupBy(*by).agg(F.max("_all").alias("_all"), *ends).filter("_all IS NOT NULL")
     q = [F.col(f"_r{2 * k}") + (F.col(f"_r{2 * k + 1}") - F.col(f"_r{2 * k}")) * (a - F.floor(a)) for k, a in enumerate(at)]
     return out.select(*by, F.array(*q).alias("q"))

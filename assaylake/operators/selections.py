@@ -130,18 +130,29 @@ def expected_and_observed(expected: DataFrame, observed: DataFrame, keys: list[s
     return sides[0].join(sides[1], keys, "full_outer").fillna(False, ["expected", "observed"])
 
 
-def store_status(occurrences: DataFrame, sample: str, study: str) -> DataFrame:
-    """One row: memberships, samples, memberships beyond one a sample, samples of several studies, studies."""
+def store_status(occurrences: DataFrame, sample: str, study: str, archives: DataFrame | None = None, validation: DataFrame | None = None) -> DataFrame:
+    """One row: memberships, samples, memberships beyond one a sample, samples of several studies, studies.
+
+    With archives(ok) also how many there are and are sound, and with validation(max_abs, rmse) the greatest difference and error found.
+    """
     per = occurrences.groupBy(sample).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(study).alias("studies"))
     one = per.agg(F.sum("n").alias("memberships"), F.count(F.lit(1)).alias("samples"), F.count_if(F.col("studies") > 1).alias("multi_study"))
-    return one.withColumn("extra_memberships", F.col("memberships") - F.col("samples")).crossJoin(occurrences.agg(F.countDistinct(study).alias("studies")))
+    one = one.withColumn("extra_memberships", F.col("memberships") - F.col("samples")).crossJoin(occurrences.agg(F.countDistinct(study).alias("studies")))
+    if archives is not None:
+        sound = F.lower(F.trim(F.col("ok").cast("string"))).isin("true", "1", "yes")
+        one = one.crossJoin(archives.agg(F.count(F.lit(1)).alias("archives"), F.count_if(F.coalesce(sound, F.lit(False))).alias("sound_archives")))  # one row
+    if validation is not None:
+        one = one.crossJoin(validation.agg(F.max("max_abs").alias("max_abs"), F.max("rmse").alias("rmse")))  # one row
+    return one
 
 
 def reconstruction_totals(rows: DataFrame, by: list[str], target: str, prediction: str) -> DataFrame:
-    """Sums of squared errors and elements of rows with vectors, and their mean: of all elements, not of rows."""
+    """Sums of squared errors, elements, values and their squares of rows with vectors; the mean error and R2, of all elements, not of rows."""
     off = F.aggregate(F.zip_with(target, prediction, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    out = rows.groupBy(*by).agg(F.sum(off).alias("sse"), F.sum(F.size(target)).alias("n"))
-    return out.withColumn("mse", F.col("sse") / F.col("n"))
+    y, y2 = F.aggregate(target, F.lit(0.0), lambda s, x: s + x), F.aggregate(target, F.lit(0.0), lambda s, x: s + x * x)
+    out = rows.groupBy(*by).agg(F.sum(off).alias("sse"), F.sum(F.size(target)).alias("n"), F.sum(y).alias("sum_y"), F.sum(y2).alias("sum_y2"))
+    spread_ = F.col("sum_y2") - F.col("sum_y") * F.col("sum_y") / F.greatest(F.col("n"), F.lit(1))
+    return out.withColumns({"mse": F.col("sse") / F.col("n"), "r2": F.when(spread_ > 0, 1 - F.col("sse") / spread_)})
 
 
 def densities(values: DataFrame, kind: str, n_bins: int = 70, value: str = "value") -> DataFrame:

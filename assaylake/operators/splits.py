@@ -12,10 +12,12 @@ from pyspark.sql import Window as W
 
 from assaylake.functions import ids
 from assaylake.operators.contracts import enforce, repeated, wrong_labels
+from assaylake.operators.order import ranged, running_sums
 from assaylake.operators.selections import in_all
+from assaylake.session import written
 
-#: Bits of a hash by which ranks are counted.
-RANK_BITS = 12
+#: Bits of a hash by which ranks are counted, and components that are dealt to parts by search.
+RANK_BITS, LARGEST = 12, 2000
 
 
 def study_components(spark: SparkSession, occurrences: DataFrame, folder: str) -> DataFrame:
@@ -85,12 +87,32 @@ def balanced_assignment(sizes: dict[str, int], seed: int, train: float, validati
 
 
 def component_split(spark: SparkSession, samples: DataFrame, components: DataFrame, seed: int, train: float, validation: float) -> DataFrame:
-    """samples(sample, study) with component and split; sizes are counted in Spark, and all components meet on the driver."""
+    """samples(sample, study) with component and split.
+
+    The LARGEST components are dealt by search. All others, each small beside a part, fill what the parts then lack of their shares, in a
+    pseudo-random order and by running sums, so that only the largest ever meet on the driver.
+    """
     joined = samples.join(components, "study", "left").withColumn("component", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("UNGROUPED::"), F.col("sample").cast("string"))))
-    sizes = {r["component"]: r["n"] for r in joined.groupBy("component").agg(F.countDistinct("sample").alias("n")).orderBy("component").collect()}
-    part = balanced_assignment(sizes, seed, train, validation)
+    sizes = written(spark, joined.groupBy("component").agg(F.countDistinct("sample").alias("n")), "component-sizes")
+    largest = {r["component"]: r["n"] for r in sizes.orderBy(F.col("n").desc(), "component").limit(LARGEST).collect()}
+    part = balanced_assignment(dict(sorted(largest.items())), seed, train, validation)
     table = spark.createDataFrame(sorted(part.items()), "component string, split string")
-    return joined.join(table, "component")
+    rest = sizes.join(F.broadcast(table), "component", "left_anti")  # LARGEST rows
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"]
+    held = {name: sum(n for c, n in largest.items() if part[c] == name) for name in ("validation", "test")}
+    first = max(0.0, validation * total - held["validation"])
+    second = first + max(0.0, (1.0 - train - validation) * total - held["test"])
+    by = [F.xxhash64(F.lit(seed), "component"), F.col("component")]
+    upto = running_sums(ranged(spark, rest, by, "component-rest"), by, {"upto": F.col("n")}, before=False)
+    filled = upto.select("component", F.when(F.col("upto") <= first, "validation").when(F.col("upto") <= second, "test").otherwise("train").alias("split"))
+    return joined.join(table.unionByName(filled), "component")
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """For each part of rows(sample, group, split, supervised): samples, their percentage, groups, and supervised samples."""
+    total = rows.agg(F.countDistinct("sample").alias("_all"))  # one row
+    out = rows.groupBy("split").agg(F.countDistinct("sample").alias("samples"), F.countDistinct("group").alias("groups"), F.countDistinct(F.when(F.col("supervised"), F.col("sample"))).alias("supervised"))
+    return out.crossJoin(F.broadcast(total)).select("split", "samples", (F.col("samples") * 100.0 / F.col("_all")).alias("percent"), "groups", "supervised")
 
 
 def roles(samples: DataFrame) -> DataFrame:
@@ -215,18 +237,33 @@ def candidate_grid(spark: SparkSession, weights: list[float], temperatures: list
     return spark.createDataFrame(rows, "candidate_order int, candidate_id string, weight double, temperature double")
 
 
-def all_methods_split(spark: SparkSession, matrices: DataFrame, occurrences: DataFrame, components: DataFrame, supervised: DataFrame, seed: int, train: float, validation: float) -> DataFrame:
+def all_methods_split(spark: SparkSession, matrices: DataFrame, occurrences: DataFrame, components: DataFrame, supervised: DataFrame, seed: int, train: float, validation: float, metadata: DataFrame | None = None) -> DataFrame:
     """One split for matrices(method, sample) of all methods, on the samples that all have, with the supervised rows under it.
 
-    supervised(sample, split) has only train and validation; the columns of the study split are null there.
+    supervised(sample, split, ...) has only train and validation. The columns of the study split and of metadata(sample, ...), a row a
+    sample, are null on supervised rows, and those of supervised alone on the others.
     """
     enforce(wrong_labels(supervised, "split", {"train", "validation"}, False), "supervised rows have other parts")
     shared = in_all(matrices, "method", "sample")
     study = occurrences.join(shared, "sample", "left_semi").groupBy("sample").agg(F.min("study").alias("study"))
     split = component_split(spark, study, components, seed, train, validation).select("sample", "study", "component", "split")
+    if metadata is not None:
+        enforce(repeated(metadata, ["sample"]), "samples repeat in the metadata")
+        split = split.join(metadata, "sample", "left")
+    split = split.withColumn("seed", F.lit(seed))
     return split.withColumn("domain", F.lit("array")).unionByName(supervised.withColumn("domain", F.lit("supervised")), allowMissingColumns=True)
 
 
+def combined_split_faults(saved: DataFrame, made: DataFrame) -> DataFrame:
+    """How a saved split of all methods differs from the one made anew: sample, problem (identity, or the columns that differ)."""
+    named = lambda df, side: df.select("sample", F.struct(*(F.col(c) for c in ("domain", "split", "component") if c in df.columns)).alias(side))
+    faults = repeated(saved, ["sample"]).select("sample", F.lit("repeated").alias("problem"))
+    both = named(saved.dropDuplicates(["sample"]), "a").join(named(made, "b"), "sample", "full_outer")
+    identity = F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "unknown")
+    other = F.concat_ws(",", *(F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in ("domain", "split", "component") if c in saved.columns and c in made.columns))
+    return faults.unionByName(both.select("sample", F.coalesce(identity, other).alias("problem")).filter("problem <> ''"))
+
+
 def rows_of_split(split: DataFrame, index: DataFrame) -> DataFrame:
     """split(sample, split) with the matrix row of each sample of index(sample, matrix_row); a sample or a part without rows is an error."""
     enforce(repeated(split, ["sample"]), "samples repeat in the split")
@@ -236,6 +273,32 @@ def rows_of_split(split: DataFrame, index: DataFrame) -> DataFrame:
     return split.join(index, "sample")
 
 
+def stratified_folds_of(donors: DataFrame, folds: int, repeats: int, seed: int) -> DataFrame:
+    """repeat, donor, fold (both from 1) for any number of donors(donor, stratum).
+
+    As stratified_folds, with a hash's order: donors of a stratum are dealt one after another, each stratum from the fold where the one before
+    stopped; if a stratum has fewer donors than folds, all count as one.
+    """
+    twice = repeated(donors.select("donor", "stratum").distinct(), ["donor"])
+    enforce(twice, "donors in more than one stratum")
+    donors = donors.select("donor", F.coalesce(F.col("stratum").cast("string"), F.lit("")).alias("stratum")).distinct()
+    counts = donors.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.agg(F.min("n").alias("least"), F.sum("n").alias("n")).first()
+    if not 2 <= folds <= (found["n"] or 0):
+        raise ValueError("there must be two folds at least, and no more than donors")
+    if found["least"] < folds:
+        donors = donors.withColumn("stratum", F.lit(""))
+        counts = donors.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    name = [F.col("stratum")]
+    before = running_sums(ranged(donors.sparkSession, counts, name, "strata"), name, {"before": F.col("n")}, before=True).select("stratum", "before")
+    rows = donors.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    own = F.lit(seed) + F.col("repeat")
+    rows = _ranked(rows, ["repeat", "stratum"], own, hashed_order(own)).join(before, "stratum")
+    # A repeat's folds are turned by a number of its own.
+    turn = F.pmod(F.shiftrightunsigned(hashed_order(own, "repeat"), 11), F.lit(folds))
+    return rows.select("repeat", "donor", (F.pmod(F.col("before") + F.col("rank") + turn, F.lit(folds)) + 1).cast("int").alias("fold"))
+
+
 def stratified_folds(strata: dict[str, str], folds: int, repeats: int, seed: int) -> list[tuple[int, str, int]]:
     """(repeat, donor, fold) for a few hundred donors: strata spread evenly over folds if each has as many donors as folds, else donors at random.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from assaylake.functions import ids, vectors
+from assaylake.operators import order
 
 
 def resolve_column(df: DataFrame, candidates: Iterable[str], case_sensitive: bool = True) -> str:
@@ -51,10 +52,13 @@ def vector_table(wide: DataFrame, label: str, orientation: str, order: str) -> D
 
 
 def catalog(occurrences: DataFrame) -> DataFrame:
-    """For each study: memberships, distinct samples, memberships of samples that other studies have too."""
+    """For each study: memberships, distinct samples, memberships of samples that other studies have too, canonical studies of its
+    samples, if there is such a column, and its place in the natural order of accessions."""
     shared = occurrences.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))  # partial sums first, so one very common sample is no matter
     rows = occurrences.join(shared, "sample")
-    return rows.groupBy("study").agg(F.count(F.lit(1)).alias("memberships"), F.countDistinct("sample").alias("samples"), F.sum((F.col("n") > 1).cast("bigint")).alias("shared"))
+    canonical = [F.countDistinct("canonical").alias("canonical_studies")] if "canonical" in occurrences.columns else []
+    out = rows.groupBy("study").agg(F.count(F.lit(1)).alias("memberships"), F.countDistinct("sample").alias("samples"), F.sum((F.col("n") > 1).cast("bigint")).alias("shared"), *canonical)
+    return order.numbered(out, [ids.accession_number(F.col("study").cast("string")), F.col("study")])
 
 
 def row_ranges(df: DataFrame, by: str, order: str) -> DataFrame:
@@ -112,6 +116,19 @@ class ExpressionStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    @classmethod
+    def opened(cls, spark: SparkSession, root: str, required: Iterable[str] = TABLES) -> ExpressionStore:
+        """The store of a folder, refused if a table that is needed is not there, or has ids that are not text."""
+        out = cls(spark, root)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = path(out.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if missing := [t for t in required if not files.exists(path(f"{out.root}/{t}"))]:
+            raise FileNotFoundError(f"{out.root} lacks {missing}")
+        for name in required:
+            if odd := [c for c, t in out.table(name).dtypes if c in ("sample", "sample_id", "study", "probe_id") and t != "string"]:
+                raise ValueError(f"ids of {name} are not text: {odd}")
+        return out
+
     def table(self, name: str) -> DataFrame:
         if name not in self.TABLES:
             raise ValueError(f"no table {name}; there are {self.TABLES}")

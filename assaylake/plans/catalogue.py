@@ -166,9 +166,13 @@ def first_occurrence(spark, d):
 # --- stores and catalogs
 
 
-@query(sql(", m AS (SELECT sample, count(*) AS n FROM occ GROUP BY sample) SELECT study, count(*) AS memberships, count(DISTINCT occ.sample) AS samples, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS shared FROM occ JOIN m ON m.sample = occ.sample GROUP BY study", "occ"))
+@query(sql(", m AS (SELECT sample, count(*) AS n, min(study) AS canonical FROM occ GROUP BY sample) SELECT 'GSE' || study AS study, count(*) AS memberships, count(DISTINCT occ.sample) AS samples, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS shared, count(DISTINCT canonical) AS canonical_studies, row_number() OVER (ORDER BY study) - 1 AS position FROM occ JOIN m ON m.sample = occ.sample GROUP BY study", "occ"))
 def dataset_catalog(spark, d):
-    return store.catalog(I.occurrences(spark, d))
+    """Studies in natural order, with the studies that their samples count under."""
+    occ = I.occurrences(spark, d)
+    canonical = occ.groupBy("sample").agg(F.min("study").alias("canonical"))
+    name = F.concat(F.lit("GSE"), F.col("study").cast("string"))
+    return store.catalog(occ.join(canonical, "sample").withColumn("study", name))
 
 
 @query(sql(", o AS (SELECT study, row_number() OVER (ORDER BY study, sample) - 1 AS ord FROM occ) SELECT study, min(ord) AS start, max(ord) + 1 AS stop, count(*) AS n FROM o GROUP BY study", "occ"))
@@ -232,9 +236,17 @@ def donor_split(spark, d):
     return splits.donor_split(I.patients(spark, d).select(F.col("patient").alias("donor"), F.col("patient").alias("number"), "stratum"), 20260915, 0.2)
 
 
-@query(sql(" SELECT split, count(DISTINCT sample_id) AS samples, count(DISTINCT study) AS studies FROM cells GROUP BY split", "cells"))
+@query(sql(f" SELECT split, count(DISTINCT sample_id) AS samples, {r('100.0 * count(DISTINCT sample_id) / (SELECT count(DISTINCT sample_id) FROM cells)')} AS percent, count(DISTINCT study) AS groups, count(DISTINCT CASE WHEN sample_id % 9 = 0 THEN sample_id END) AS supervised FROM cells GROUP BY split", "cells"))
 def split_summary(spark, d):
-    return I.matrix(spark, d).groupBy("split").agg(F.countDistinct("sample_id").alias("samples"), F.countDistinct("study").alias("studies"))
+    rows = I.matrix(spark, d).select(F.col("sample_id").alias("sample"), F.col("study").alias("group"), "split", (F.col("sample_id") % 9 == 0).alias("supervised"))
+    return rounded(splits.summary(rows))
+
+
+@query(f"WITH d AS (SELECT DISTINCT c_custkey // 2 AS donor, CASE WHEN (c_custkey // 2) % 7 < 3 THEN 'a' WHEN (c_custkey // 2) % 7 < 6 THEN 'b' ELSE 'c' END AS stratum FROM customer), c AS (SELECT stratum, coalesce(sum(count(*)) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d GROUP BY stratum), k AS (SELECT repeat, donor, stratum, row_number() OVER (PARTITION BY repeat, stratum ORDER BY ('0x' || substr(md5((11 + repeat)::VARCHAR || ':' || donor::VARCHAR), 1, 13))::BIGINT, donor) - 1 AS rank FROM d, (SELECT unnest(range(1, 4)) AS repeat)) SELECT repeat::INT AS repeat, donor, ((before + rank + ('0x' || substr(md5((11 + repeat)::VARCHAR || ':' || repeat::VARCHAR), 1, 13))::BIGINT) % 4 + 1)::INT AS fold FROM k JOIN c USING (stratum)")
+def stratified_folds(spark, d):
+    donors = I.patients(spark, d).select("donor").distinct()
+    stratum = F.when(F.col("donor") % 7 < 3, "a").when(F.col("donor") % 7 < 6, "b").otherwise("c")
+    return splits.stratified_folds_of(donors.withColumn("stratum", stratum), 4, 3, 11)
 
 
 @query()
@@ -406,9 +418,17 @@ def union_missing_columns(spark, d):
 # --- histories
 
 
-@query(sql(f", k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score, epoch) AS k FROM hist WHERE score IS NOT NULL) SELECT run, epoch, {r('score')} AS score FROM k WHERE k = 1", "hist"))
+@query(sql(f", h AS (SELECT run, epoch, CASE WHEN run % 5 <> 0 OR epoch % 3 <> 0 THEN score END AS score, score * score AS loss FROM hist), w AS (SELECT run, count(score) = count(loss) AS whole FROM h GROUP BY run), v AS (SELECT run, epoch, CASE WHEN whole THEN score ELSE loss END AS score FROM h JOIN w USING (run)), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score, epoch) AS k FROM v WHERE score IS NOT NULL) SELECT run, epoch, {r('score')} AS score FROM k WHERE k = 1", "hist"))
 def history_best_epoch(spark, d):
-    return rounded(histories.best_epoch(I.history(spark, d)))
+    """Runs whose scores have gaps are judged by their loss."""
+    rows = I.history(spark, d).withColumn("loss", F.col("score") * F.col("score"))
+    return rounded(histories.best_epoch(rows.withColumn("score", F.when((F.col("run") % 5 != 0) | (F.col("epoch") % 3 != 0), F.col("score"))), "loss"))
+
+
+@query(sql(f", c AS (SELECT run, epoch, abs(score - lag(score) OVER w) / greatest(abs(lag(score) OVER w), 1e-12) AS change, greatest(0.002, 0.01 * pow(0.5, epoch)) AS rate FROM hist WINDOW w AS (PARTITION BY run ORDER BY epoch)) SELECT run, epoch, coalesce(count(change) OVER v = 2 AND max(change) OVER v <= 0.9, false) AND rate <= 0.002 * (1 + 1e-6) + 1e-15 AS converged FROM c WINDOW v AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)", "hist"))
+def history_converged_at_floor(spark, d):
+    rows = I.history(spark, d).withColumn("rate", F.greatest(F.lit(0.002), F.lit(0.01) * F.pow(F.lit(0.5), F.col("epoch"))))
+    return histories.convergence(rows, 2, 0.9, "rate", 0.002).select("run", "epoch", F.coalesce("converged", F.lit(False)).alias("converged"))
 
 
 @query(sql(f", c AS (SELECT run, epoch, abs(score - lag(score) OVER w) / greatest(abs(lag(score) OVER w), 1e-12) AS change FROM hist WINDOW w AS (PARTITION BY run ORDER BY epoch)) SELECT run, epoch, {r('change')} AS change, coalesce(count(change) OVER v = 3 AND max(change) OVER v <= 0.5, false) AS converged FROM c WINDOW v AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", "hist"))

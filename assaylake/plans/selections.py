@@ -77,16 +77,18 @@ def earlier_and_final(spark, d):
     return selections.earlier_and_final(runs, earlier, "run", "arm")
 
 
-@query(sql(f" SELECT split, {r('sum((value - value / 2) * (value - value / 2))', 4)} AS sse, count(*) AS n, {r('sum((value - value / 2) * (value - value / 2)) / count(*)')} AS mse FROM cells GROUP BY split", "cells"))
+@query(sql(f" SELECT split, {r('sum((value - value / 2) * (value - value / 2))', 4)} AS sse, count(*) AS n, {r('sum((value - value / 2) * (value - value / 2)) / count(*)')} AS mse, {r('sum(value)', 4)} AS sum_y, {r('sum(value * value)', 4)} AS sum_y2, {r('1 - sum((value - value / 2) * (value - value / 2)) / (sum(value * value) - sum(value) * sum(value) / count(*))')} AS r2 FROM cells GROUP BY split", "cells"))
 def reconstruction_totals(spark, d):
     rows = I.matrix(spark, d).withColumn("half", F.transform("values", lambda x: x / 2))
     out = selections.reconstruction_totals(rows, ["split"], "values", "half")
-    return out.select("split", (F.round("sse", 4) + F.lit(0.0)).alias("sse"), "n", (F.round("mse", 6) + F.lit(0.0)).alias("mse"))
+    return out.select("split", "n", *((F.round(c, k) + F.lit(0.0)).alias(c) for c, k in (("sse", 4), ("mse", 6), ("sum_y", 4), ("sum_y2", 4), ("r2", 6))))
 
 
-@query(sql(" SELECT count(*) AS memberships, count(DISTINCT sample) AS samples, (SELECT count(*) FROM (SELECT sample FROM occ GROUP BY sample HAVING count(DISTINCT study) > 1)) AS multi_study, count(*) - count(DISTINCT sample) AS extra_memberships, count(DISTINCT study) AS studies FROM occ", "occ"))
+@query(sql(" SELECT count(*) AS memberships, count(DISTINCT sample) AS samples, (SELECT count(*) FROM (SELECT sample FROM occ GROUP BY sample HAVING count(DISTINCT study) > 1)) AS multi_study, count(*) - count(DISTINCT sample) AS extra_memberships, count(DISTINCT study) AS studies, (SELECT count(*) FROM supplier) AS archives, (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS sound_archives, (SELECT max(abs(s_acctbal)) FROM supplier) AS max_abs, (SELECT max(abs(s_acctbal) / 2) FROM supplier) AS rmse FROM occ", "occ"))
 def store_status(spark, d):
-    return selections.store_status(I.occurrences(spark, d), "sample", "study")
+    own = table(spark, d, "supplier")
+    archives = own.select(F.when(F.col("s_acctbal") > 0, "Yes").otherwise("0").alias("ok"))
+    return selections.store_status(I.occurrences(spark, d), "sample", "study", archives, own.select(F.abs("s_acctbal").alias("max_abs"), (F.abs("s_acctbal") / 2).alias("rmse")))
 
 
 @query("SELECT coalesce(e.s_nationkey, o.s_nationkey) AS s_nationkey, e.s_nationkey IS NOT NULL AS expected, o.s_nationkey IS NOT NULL AS observed FROM (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal > 3000) e FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal < 2000) o ON e.s_nationkey = o.s_nationkey")
