@@ -140,7 +140,11 @@ def loss_name(x: Column) -> Column:
 
 
 def hidden_widths(x: Column) -> Column:
-    return F.transform(F.split(F.trim(x), r"\s*(?:→|->|;|,)\s*"), lambda w: w.cast("int"))
+    """Widths between arrows, semicolons or commas: one to eight whole numbers from 2 to 8192, else an error."""
+    parts = F.filter(F.split(x, r"→|->|;|,"), lambda w: F.trim(w) != "")
+    widths = F.transform(parts, lambda w: F.trim(w).try_cast("int"))
+    good = F.size(widths).between(1, 8) & F.forall(widths, lambda w: F.coalesce(w.between(2, 8192), F.lit(False)))
+    return F.when(F.coalesce(good, F.lit(False)), widths).otherwise(F.raise_error(F.concat(F.lit("hidden widths must be 1 to 8 numbers from 2 to 8192, not "), F.coalesce(x, F.lit("null")))).cast("array<int>"))
 
 
 def donor_score(number: Column, seed: int) -> Column:

@@ -126,6 +126,36 @@ def not_same_order(a: DataFrame, b: DataFrame, key: str, order: str = "ord") ->
     return x.join(y, "at", "full_outer").filter(~F.col("first").eqNullSafe(F.col("second")))
 
 
+#: Settings of a training run: least and greatest value, and which of the two is itself left out. Fixed values.
+SETTINGS = (
+    ("input_dim", 1, None, ""), ("latent_dim", 1, None, ""), ("low_rank_dim", 1, None, ""), ("residual_blocks", 0, 8, ""), ("residual_expansion", 1, 8, ""),
+    ("dropout", 0, 1, "high"), ("weight_decay", 0, None, ""), ("l2_lambda", 0, None, ""), ("epochs", 1, None, ""), ("batch_size", 1, None, ""),
+    ("learning_rate", 0, None, "low"), ("lr_decay_epochs", 1, None, ""), ("convergence_tolerance", 0, None, ""), ("convergence_window", 1, None, ""),
+    ("early_stopping_patience", 0, None, ""), ("lr_patience", 1, None, ""), ("lr_factor", 0, 1, "both"), ("gradient_clip", 0, None, ""),
+    ("validation_every_epochs", 1, None, ""), ("validation_geo_weight", 0, 1, "both"), ("ui_update_batches", 1, None, ""),
+    ("latent_pca_every_epochs", 1, None, ""), ("latent_pca_max_samples", 2, None, ""), ("huber_delta", 0, None, "low"), ("cosine_weight", 0, None, ""),
+    ("kl_beta", 0, None, ""), ("kl_warmup_epochs", 0, None, ""), ("mmd_weight", 0, None, ""), ("mask_fraction", 0, 1, "both"), ("softmax_temperature", 0, None, "low"),
+)
+
+
+def setting_faults(runs: DataFrame, key: str, choices: dict[str, set[str]] | None = None) -> DataFrame:
+    """key, setting, value of each setting of runs that is missing, out of its range or not among its choices.
+
+    A setting that is no column is not looked at; hidden_widths, if there, must hold positive widths.
+    """
+    found = []
+    for name, low, high, out in SETTINGS:
+        if name in runs.columns:
+            v = F.col(name).cast("double")
+            good = (v > low if out in ("low", "both") else v >= low) & (F.lit(True) if high is None else v < high if out in ("high", "both") else v <= high) & ~F.isnan(v)
+            found.append((name, good))
+    found += [(name, F.col(name).isin(*sorted(allowed))) for name, allowed in (choices or {}).items() if name in runs.columns]
+    if "hidden_widths" in runs.columns:
+        found.append(("hidden_widths", (F.size("hidden_widths") > 0) & F.forall("hidden_widths", lambda w: w >= 1)))
+    rows = F.array(*(F.struct(F.lit(n).alias("setting"), F.col(n).cast("string").alias("value"), F.coalesce(good, F.lit(False)).alias("good")) for n, good in found))
+    return runs.select(key, F.explode(rows).alias("s")).filter("NOT s.good").select(key, "s.setting", "s.value")
+
+
 def out_of_range(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
     """Settings outside their closed ranges, or missing: a row for each."""
     found = F.array(*(F.struct(F.lit(c).alias("setting"), F.col(c).cast("double").alias("value"), F.lit(float(lo)).alias("low"), F.lit(float(hi)).alias("high")) for c, (lo, hi) in ranges.items()))

@@ -186,7 +186,7 @@ def _ranked(df: DataFrame, by: list[str], seed: Column, hash_: Column | None = N
 
 
 def nested_manifest_of(donors: DataFrame, outer: int, repeats: int, inner: int, seed: int) -> DataFrame:
-    """nested_manifest of any number of donors(donor), with parts of the same sizes; the order is a hash's instead of numpy's generator's."""
+    """nested_manifest of any number of donors(donor), with parts of the same sizes; the order is that of hashed_order instead of numpy's generator."""
     donors = donors.select(F.col("donor").cast("string").alias("donor")).distinct()
     if not donors.filter("donor IS NULL").isEmpty():
         raise ValueError("donors cannot be missing")
@@ -196,11 +196,13 @@ def nested_manifest_of(donors: DataFrame, outer: int, repeats: int, inner: int,
     size, more = divmod(n, outer)  # the first folds have one more
     long = lambda x: F.lit(x).cast("bigint")
     rows = donors.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    rows = _ranked(rows, ["repeat"], long(seed) + F.col("repeat"))
+    own = long(seed) + F.col("repeat")
+    rows = _ranked(rows, ["repeat"], own, hashed_order(own))
     own = F.when(F.col("rank") < more * (size + 1), F.floor(F.col("rank") / (size + 1))).otherwise(more + F.floor((F.col("rank") - more * (size + 1)) / size))
     rows = rows.select("repeat", "donor", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("fold"))
     names = ["repeat", "fold", "donor"]
-    train = _ranked(rows.filter("own <> fold").select(*names), ["repeat", "fold"], long(seed + 100_003) + 1009 * F.col("repeat") + 37 * F.col("fold"))
+    inside = long(seed + 100_003) + 1009 * F.col("repeat") + 37 * F.col("fold")
+    train = _ranked(rows.filter("own <> fold").select(*names), ["repeat", "fold"], inside, hashed_order(inside))
     held = F.ceil((n - size - (F.col("fold") < more).cast("int")) / inner)
     train = train.select(*names, F.lit("outer_train").alias("outer_role"), F.when(F.col("rank") < held, "inner_validation").otherwise("inner_train").alias("inner_role"))
     test = rows.filter("own = fold").select(*names, F.lit("outer_test").alias("outer_role"), F.lit("not_applicable").alias("inner_role"))

@@ -274,15 +274,28 @@ def sweep_expand(spark, d):
     return runs.agg(F.count(F.lit(1)).alias("n"), F.min("array_index").alias("lo"), F.max("array_index").alias("hi"), F.countDistinct("settings").alias("settings"))
 
 
-@query()
+_ORDER = "('0x' || substr(md5(({})::VARCHAR || ':' || donor), 1, 13))::BIGINT"
+_NESTED = f"""nd AS (SELECT DISTINCT (c_custkey // 2)::VARCHAR AS donor FROM customer), nn AS (SELECT count(*) AS n FROM nd),
+ nr AS (SELECT repeat, donor, row_number() OVER (PARTITION BY repeat ORDER BY {_ORDER.format('7 + repeat')}, donor) - 1 AS k, n // 3 AS size, n % 3 AS more, n FROM nd, nn, (SELECT unnest(range(0, 2)) AS repeat)),
+ no AS (SELECT *, CASE WHEN k < more * (size + 1) THEN k // (size + 1) ELSE more + (k - more * (size + 1)) // size END AS own FROM nr),
+ nf AS (SELECT *, row_number() OVER (PARTITION BY repeat, fold, own <> fold ORDER BY {_ORDER.format('100010 + 1009 * repeat + 37 * fold')}, donor) - 1 AS j FROM no, (SELECT unnest(range(0, 3)) AS fold)),
+ nm AS (SELECT repeat::INT AS repeat, fold::INT AS fold, donor, CASE WHEN own = fold THEN 'outer_test' ELSE 'outer_train' END AS outer_role, CASE WHEN own = fold THEN 'not_applicable' WHEN j < ceil((n - size - CASE WHEN fold < more THEN 1 ELSE 0 END) / 2) THEN 'inner_validation' ELSE 'inner_train' END AS inner_role FROM nf)"""
+
+
+@query(f"WITH {_NESTED} SELECT * FROM nm")
 def nested_manifest(spark, d):
-    """Roles of every donor of the cohort in every fold; leaks would be rows of nested_manifest_check."""
+    """Roles of every donor of the cohort in every fold."""
     return splits.nested_manifest_of(I.patients(spark, d), 3, 2, 2, 7)
 
 
-@query("SELECT NULL::INT AS repeat, NULL::INT AS fold, NULL::VARCHAR AS donor, NULL::BIGINT AS roles, NULL::BIGINT AS bad WHERE false")
+@query(f"WITH {_NESTED}, f AS (SELECT * FROM nm WHERE NOT (outer_role = 'outer_test' AND donor::BIGINT % 5 = 1) UNION ALL SELECT repeat, fold, donor, outer_role, 'inner_train' FROM nm WHERE outer_role = 'outer_test' AND donor::BIGINT % 5 = 1 UNION ALL SELECT repeat, fold, donor, 'outer_test', 'not_applicable' FROM nm WHERE outer_role = 'outer_train' AND donor::BIGINT % 7 = 2) SELECT repeat, fold, donor, count(DISTINCT outer_role || '/' || inner_role) AS roles, count(*) FILTER (outer_role = 'outer_test' AND inner_role <> 'not_applicable') AS bad FROM f GROUP BY ALL HAVING roles > 1 OR bad > 0")
 def nested_manifest_check(spark, d):
-    return contracts.nested_leaks(nested_manifest(spark, d))
+    """A manifest in which some tested donors have an inner role, and some trained ones are tested too."""
+    good, k = nested_manifest(spark, d), F.col("donor").cast("bigint")
+    test = F.col("outer_role") == "outer_test"
+    faulty = good.withColumn("inner_role", F.when(test & (k % 5 == 1), "inner_train").otherwise(F.col("inner_role")))
+    twice = good.filter(~test & (k % 7 == 2)).select("repeat", "fold", "donor", F.lit("outer_test").alias("outer_role"), F.lit("not_applicable").alias("inner_role"))
+    return contracts.nested_leaks(faulty.unionByName(twice))
 
 
 # --- outcomes
@@ -451,9 +464,12 @@ def history_cadence(spark, d):
     return histories.cadence(I.history(spark, d), 5).select("run", "epoch")
 
 
-@query("SELECT event_id FROM events WHERE abs(value - round(value, 1)) > 1e-12 + 1e-9 * abs(round(value, 1))")
+@query("SELECT event_id FROM (SELECT event_id, value AS a, value * 0.25 AS b, 0.5 * value + 0.125 * value + CASE WHEN event_id % 7 = 0 THEN 0.001 ELSE 0 END AS s FROM events) WHERE abs(0.5 * a + 0.5 * b - s) > 1e-12 + 1e-9 * abs(s) OR event_id % 11 = 0")
 def checkpoint_consistency(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.col("value").alias("first_domain"), F.col("value").alias("second_domain"), F.col("value").alias("selection"), F.round("value", 1).alias("declared_best"))
+    """Two domains; some selections are not their mean, and some declared scores not the selection."""
+    k, v = F.col("event_id"), F.col("value")
+    rows = table(spark, d, "events").select("event_id", v.alias("first_domain"), (v * 0.25).alias("second_domain"), (0.5 * v + 0.125 * v + F.when(k % 7 == 0, 0.001).otherwise(0.0)).alias("selection"))
+    rows = rows.withColumn("declared_best", F.when(k % 11 == 0, F.col("selection") + 1).otherwise(F.col("selection")))
     return histories.inconsistent_scores(rows).select("event_id")
 
 
@@ -474,9 +490,10 @@ def row_objectives(spark, d):
 # --- contracts
 
 
-@query("SELECT 0::BIGINT AS n, 0::BIGINT AS d, 0::BIGINT AS lo, 0::BIGINT AS hi WHERE false")
+@query("SELECT * FROM (SELECT count(*) AS n, count(DISTINCT o) AS d, min(o) AS lo, max(o) AS hi FROM (SELECT CASE WHEN vec_id % 50 = 7 THEN vec_id + 1 ELSE vec_id END AS o FROM embeddings)) WHERE d <> n OR lo <> 0 OR hi <> n - 1")
 def row_permutation_check(spark, d):
-    return contracts.not_permutation(I.matrix(spark, d), "ord")
+    """Some places are there twice, and others not at all."""
+    return contracts.not_permutation(I.matrix(spark, d).withColumn("ord", F.when(F.col("ord") % 50 == 7, F.col("ord") + 1).otherwise(F.col("ord"))), "ord")
 
 
 @query("WITH p AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) SELECT * FROM p WHERE n > 1")

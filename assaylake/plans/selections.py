@@ -28,10 +28,12 @@ def eligible_runs(spark, d):
     return selections.eligible(runs, runs.filter("arm < 20"), runs.filter("score > 0").unionByName(runs.filter("score > 0")))
 
 
-@query("SELECT vec_id % 50 AS sample_id, vec_id AS ord FROM embeddings WHERE vec_id < 150")
+@query("WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS ord, count(*) OVER () AS n FROM embeddings), i AS (SELECT ord, (ord * ord + 3) % n AS at FROM o) SELECT o.vec_id AS sample_id, i.ord FROM i JOIN o ON o.ord = i.at")
 def row_gather(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("vec_id").alias("ord"))
-    index = rows.filter("ord < 150").select(F.pmod("ord", F.lit(50)).alias("at"), "ord")
+    """As many places as there are rows, some of them more than once."""
+    rows = order.numbered(table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id")), [F.col("sample_id")], "ord")
+    n = table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"))  # one row
+    index = rows.crossJoin(F.broadcast(n)).select(F.pmod(F.col("ord") * F.col("ord") + 3, F.col("n")).alias("at"), "ord")
     return selections.gather(rows, index).select("sample_id", "ord")
 
 
@@ -242,10 +244,42 @@ def reference_fit_ids(spark, d):
     return contracts.not_fitted_on(rows, rows.filter("(split = 'train' AND study % 10 <> 0) OR split = 'test'"), "sample_id")
 
 
-@query("SELECT c_custkey, 'GSM' || c_custkey AS gsm, 'GSE' || c_nationkey AS gse, CASE WHEN c_custkey < 1024 THEN c_custkey || ' B' END AS size, '[GSE' || c_nationkey || '](u?acc=GSE' || c_nationkey || ')' AS link, 'a_b_' || c_custkey AS safe, 'P' || c_custkey AS donor FROM customer WHERE c_custkey < 1024")
+_SIZE = "CASE WHEN x < 1024 THEN x || ' B' WHEN x < 1048576 THEN printf('%.1f KiB', x / 1024.0) WHEN x < 1073741824 THEN printf('%.1f MiB', x / 1048576.0) WHEN x < 1099511627776 THEN printf('%.1f GiB', x / 1073741824.0) ELSE printf('%.1f TiB', x / 1099511627776.0) END"
+
+
+@query(f"SELECT c_custkey, 'GSM' || c_custkey AS gsm, 'GSE' || c_nationkey AS gse, {_SIZE} AS size, '[GSE' || c_nationkey || '](u?acc=GSE' || c_nationkey || ')' AS link, 'a_b_' || c_custkey AS safe, 'P' || c_custkey AS donor FROM (SELECT *, c_custkey * (10 ** (3 * (c_custkey % 5)))::BIGINT + CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 7 END AS x FROM customer)")
 def identifier_functions(spark, d):
     k, n = F.col("c_custkey").cast("string"), F.concat(F.lit("gse"), F.col("c_nationkey"))
-    return table(spark, d, "customer").filter("c_custkey < 1024").select(
-        "c_custkey", ids.gsm_of_path(F.concat(F.lit("/x/gsm"), k, F.lit("_a.CEL.gz"))).alias("gsm"), ids.study_of_archive(F.concat(F.lit("/y/"), n, F.lit("_RAW.tar"))).alias("gse"), ids.byte_size(F.col("c_custkey")).alias("size"),
+    size = F.col("c_custkey") * F.pow(F.lit(10.0), 3 * (F.col("c_custkey") % 5)).cast("bigint") + F.when(F.col("c_custkey") % 5 == 0, 0).otherwise(7)
+    return table(spark, d, "customer").select(
+        "c_custkey", ids.gsm_of_path(F.concat(F.lit("/x/gsm"), k, F.lit("_a.CEL.gz"))).alias("gsm"), ids.study_of_archive(F.concat(F.lit("/y/"), n, F.lit("_RAW.tar"))).alias("gse"), ids.byte_size(size).alias("size"),
         ids.markdown_link(F.upper(n), ids.accession_url(n, "u?acc=")).alias("link"), ids.safe_name(F.concat(F.lit("a b/"), k)).alias("safe"), ids.donor_of_patient(F.concat(F.lit("P"), k, F.lit("_3m"))).alias("donor"),
     )
+
+
+_SETTINGS_SQL = "SELECT o_orderkey, 'dropout' AS setting, (o_orderkey % 11 / 10.0)::DOUBLE AS v, 0.0 AS low, 1.0 AS high, false AS lo, true AS ho FROM orders UNION ALL SELECT o_orderkey, 'learning_rate', (o_orderkey % 4 / 4.0)::DOUBLE, 0.0, 1e300, true, false FROM orders UNION ALL SELECT o_orderkey, 'residual_blocks', (o_orderkey % 12)::DOUBLE, 0.0, 8.0, false, false FROM orders UNION ALL SELECT o_orderkey, 'mask_fraction', (o_orderkey % 3 / 2.0)::DOUBLE, 0.0, 1.0, true, true FROM orders"
+
+
+@query(f"SELECT o_orderkey, setting FROM ({_SETTINGS_SQL}) WHERE v < low OR v > high OR (lo AND v = low) OR (ho AND v = high) UNION ALL SELECT o_orderkey, 'priority' FROM orders WHERE o_orderpriority IN ('5-LOW', '3-MEDIUM')")
+def setting_faults(spark, d):
+    """Settings of runs on, inside and outside the ends of their ranges."""
+    k = F.col("o_orderkey")
+    runs = table(spark, d, "orders").select("o_orderkey", (k % 11 / 10).alias("dropout"), (k % 4 / 4).alias("learning_rate"), (k % 12).alias("residual_blocks"), (k % 3 / 2).alias("mask_fraction"), F.col("o_orderpriority").alias("priority"))
+    return contracts.setting_faults(runs, "o_orderkey", {"priority": {"1-URGENT", "2-HIGH", "4-NOT SPECIFIED"}}).select("o_orderkey", "setting")
+
+
+_LINES = "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_orderkey % 97 = 0 THEN 'held' WHEN l_returnflag = 'A' THEN 'train' WHEN l_returnflag = 'N' THEN 'validation' ELSE 'test' END AS split, CASE WHEN l_partkey % 50 = 0 THEN 'x:' || l_orderkey ELSE 'geo:' || l_orderkey END AS key FROM lineitem"
+
+
+@query(f"WITH l AS ({_LINES}) SELECT 'label' AS contract, split AS item, 1::BIGINT AS n FROM l WHERE split = 'held' GROUP BY split UNION ALL SELECT 'namespace', key, count(*) FROM l WHERE key LIKE 'x:%' GROUP BY key UNION ALL SELECT 'crossing', l_suppkey::VARCHAR, count(DISTINCT split) FROM l GROUP BY l_suppkey HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'incomplete', l_orderkey::VARCHAR, count(*) FROM l GROUP BY l_orderkey HAVING count(*) <> 4")
+def contract_faults(spark, d):
+    """Unknown labels, foreign namespaces, groups in several parts and incomplete sets, each as a contract finds them."""
+    part = F.when(F.col("l_orderkey") % 97 == 0, "held").when(F.col("l_returnflag") == "A", "train").when(F.col("l_returnflag") == "N", "validation").otherwise("test")
+    key = F.concat(F.when(F.col("l_partkey") % 50 == 0, "x:").otherwise("geo:"), F.col("l_orderkey").cast("string"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", part.alias("split"), key.alias("key"))
+    named = lambda df, contract, item, n: df.select(F.lit(contract).alias("contract"), F.col(item).cast("string").alias("item"), n.cast("bigint").alias("n"))
+    out = named(contracts.wrong_labels(rows, "split", {"train", "validation", "test"}, True), "label", "label", F.lit(1))
+    foreign = contracts.unknown_namespace(rows, "key", {"geo"}).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    out = out.unionByName(named(foreign, "namespace", "key", F.col("n")))
+    out = out.unionByName(named(contracts.crossing(rows, "l_suppkey", "split"), "crossing", "l_suppkey", F.col("parts")))
+    return out.unionByName(named(contracts.incomplete(rows, ["l_orderkey"], 4), "incomplete", "l_orderkey", F.col("n")))

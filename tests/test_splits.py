@@ -80,3 +80,20 @@ def test_places_are_gapless(spark):
 def test_runs_with_gaps_are_judged_by_loss(spark):
     rows = spark.createDataFrame([(1, 1, 5.0, 9.0), (1, 2, 4.0, 1.0), (2, 1, None, 3.0), (2, 2, 0.1, 8.0), (2, 3, float("nan"), None)], "run int, epoch int, score double, loss double")
     assert sorted((r.run, r.epoch) for r in history.best_epoch(rows, "loss").collect()) == [(1, 2), (2, 1)]
+
+
+def test_settings_and_widths_are_refused(spark):
+    from assaylake.functions import ids
+    from assaylake.operators import contracts
+
+    assert len(contracts.SETTINGS) == 30
+    good = spark.createDataFrame([(1, 8, 0.0, 0.5, [64, 8], "mse")], "run int, residual_blocks int, dropout double, lr_factor double, hidden_widths array<int>, loss string")
+    assert contracts.setting_faults(good, "run", {"loss": {"mse"}}).count() == 0
+    bad = spark.createDataFrame([(2, 9, 1.0, 0.0, [], "l9"), (3, None, float("nan"), 1.0, [0], None)], good.schema)
+    got = sorted((r.run, r.setting) for r in contracts.setting_faults(bad, "run", {"loss": {"mse"}}).collect())
+    assert got == [(k, s) for k in (2, 3) for s in sorted(("residual_blocks", "dropout", "lr_factor", "hidden_widths", "loss"))]
+    widths = lambda x: spark.createDataFrame([(x,)], "x string").select(ids.hidden_widths(F.col("x")).alias("w")).first().w
+    assert widths("512 -> 256→64; 32,") == [512, 256, 64, 32]
+    for x in ("", "1", "8193", "a", ",".join(["8"] * 9), None):
+        with pytest.raises(Exception, match="hidden widths"):
+            widths(x)
