@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from assaylake.operators import designs, models, sums
+from assaylake.operators import background, designs, models, normalize, sums
 from assaylake.plans import inputs as I
 from assaylake.plans.catalogue import query, r, rounded
 from assaylake.plans.inputs import sql, table
@@ -168,3 +168,27 @@ def lasso_selection(spark, d):
     paths = sums.kept(models.lasso_paths(rows.filter("is_train").drop("is_train", "donor")), "lasso-paths")
     chosen = models.lasso_chosen(paths)
     return models.lasso_metrics(models.lasso_predictions(rows.filter("NOT is_train").drop("is_train"), chosen), chosen)
+
+
+@query()
+def background_corrected(spark, d):
+    """Vectors as arrays of intensities without their background."""
+    rows = I.matrix(spark, d).select("sample_id", F.transform("values", lambda x: 100 + 10 * F.exp(x * 8)).alias("values"))
+    return rounded(background.corrected(rows, "sample_id").select("sample_id", F.posexplode("values").alias("pos", "value"), "mu", "sigma"), 4)
+
+
+@query()
+def frozen_polish(spark, d):
+    """Summaries of all samples by the effects that training samples froze, and how far they are from the polish's own there."""
+    cells = normalize.long_form(I.raw_matrix(spark, d), "sample_id", "split").select(F.floor(F.col("pos") / 8).alias("probe_set"), F.col("pos").cast("bigint").alias("cell"), F.col("sample_id").alias("sample"), F.log2("value").alias("value"), "split")
+    effects, off = models.frozen_effects(cells.filter("split = 'train'").drop("split"))
+    found = cells.join(effects, ["probe_set", "cell"]).groupBy("probe_set", "sample").agg(F.percentile(F.col("value") - F.col("effect"), F.lit(0.5)).alias("summary"))
+    return rounded(found.join(off, "probe_set"))
+
+
+@query()
+def qc_components(spark, d):
+    """Two components of all samples, with cells that are not finite at the mean."""
+    odd = F.transform("values", lambda x, k: F.when((F.col("sample_id") + k) % 97 == 0, F.lit(float("nan"))).otherwise(x))
+    rows = I.matrix(spark, d).select(F.lit(0).alias("fold"), F.col("sample_id").alias("id"), F.lit(True).alias("is_train"), odd.alias("x"))
+    return models.pca(rows, 2)
