@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from assaylake.operators import background, designs, models, normalize, sums
+from assaylake.operators import background, checkpoints, designs, models, normalize, sums
 from assaylake.plans import inputs as I
 from assaylake.plans.catalogue import query, r, rounded
 from assaylake.plans.inputs import sql, table
@@ -192,3 +192,21 @@ def qc_components(spark, d):
     odd = F.transform("values", lambda x, k: F.when((F.col("sample_id") + k) % 97 == 0, F.lit(float("nan"))).otherwise(x))
     rows = I.matrix(spark, d).select(F.lit(0).alias("fold"), F.col("sample_id").alias("id"), F.lit(True).alias("is_train"), odd.alias("x"))
     return models.pca(rows, 2)
+
+
+_SCANNED = f", n AS (SELECT run, count(*) AS k FROM hist GROUP BY run), l AS (SELECT run, epoch, score AS v, run % 5 = 0 AS off, run % 7 = 0 AS uneven, run % 11 = 0 AS policy, run % 13 = 0 AS best FROM hist JOIN n USING (run) WHERE epoch = k) SELECT run::VARCHAR AS run, epoch AS best_epoch, CASE WHEN uneven OR policy THEN 'another policy' WHEN off OR best THEN 'scores disagree' END AS problem, {r('0.75 * v + CASE WHEN off THEN 1 ELSE 0 END')} AS score FROM l"
+
+
+@query(sql(_SCANNED, "hist"))
+def checkpoint_scan(spark, d):
+    """What each run last validated; some have uneven series, another policy, or scores that are not what they are made of."""
+    rows = I.history(spark, d).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", "score"))).alias("h"))  # a run's epochs
+    v, k = F.transform("h", lambda x: x["score"]), F.col("run")
+    some = lambda c, m: F.when(k % m == 0, c[0]).otherwise(c[1])
+    selection = F.transform("h", lambda x: x["score"] * 0.75 + some((F.lit(1.0), F.lit(0.0)), 5))
+    half = F.transform(v, lambda x: x * 0.5)
+    history = F.struct(v.alias("val_mse"), selection.alias("selection_score"), v.alias("first_mse"), some((F.slice(half, 1, F.greatest(F.size(half) - 1, F.lit(0))), half), 7).alias("second_mse"), v.alias("second_sd"), v.alias("val_r2"), v.alias("val_loss"), F.transform("h", lambda x: x["epoch"]).alias("val_epoch"))
+    policy = F.struct(*(F.lit(x).alias(n) for n, x in checkpoints.POLICY.items()), F.lit(False).alias("uses_test"), F.lit(False).alias("uses_outcomes"), some((F.lit(0.4), F.lit(0.5)), 11).alias("first_weight"), F.lit(0.5).alias("second_weight"))
+    best = F.element_at(selection, -1) + some((F.lit(0.25), F.lit(0.0)), 13)
+    records = rows.select(k.cast("string").alias("run"), F.lit("").alias("path"), F.lit(0).cast("bigint").alias("epoch"), best.alias("best"), history.alias("history"), policy.alias("policy"))
+    return rounded(checkpoints.scanned(records).select("run", "best_epoch", "problem", "score"))
