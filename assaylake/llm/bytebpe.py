@@ -3,8 +3,8 @@
 A text is cut into pre-tokens, the matches of a pattern. Each is looked up in two tiers:
 
 1. A minimal perfect hash over the vocabulary names one slot for a pre-token, and its bytes are compared with the one entry that
-   the slot holds. All pre-tokens of some hundred thousand characters are looked up at once, in arrays.
-2. The others, each distinct one once, are merged from single bytes: a heap holds the pairs of neighbours by rank, then by place, over
+   the slot holds. All distinct pre-tokens of some hundred thousand characters are looked up at once, in arrays.
+2. The others, if not remembered, are merged from single bytes: a heap holds the pairs of neighbours by rank, then by place, over
    a linked list of what the bytes have become. A run of n bytes takes n log n steps, however long it is.
 
 The hash is built by displacement: keys fall into buckets, the fullest first gets the first displacement that sends all its keys
@@ -17,6 +17,7 @@ an empty table gives an empty result; columns other than doc_id and text are not
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -27,11 +28,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.textvec import blocks, mix, release, run_hashes
+from assaylake.llm.textvec import blocks, mix, release, remembers, run_hashes
 from assaylake.llm.tokens import Recent
 
-#: Keys for each bucket, on average; displacements that are tried together; merged pre-tokens in each generation that a worker keeps.
-PER_BUCKET, TRIES, KEPT = 1.5, 64, 200_000
+#: Keys for each bucket, on average; displacements that are tried together; pre-tokens, short ones, in each of two generations that a worker remembers.
+PER_BUCKET, TRIES, KEPT = 1.5, 64, 300_000
 #: Ids that are decoded together; a longer document is taken alone.
 GROUP = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -97,6 +98,10 @@ class Vocabulary:
         self.of_slot[self.table.slots(hashes)] = np.arange(len(keys))
         self.key_hashes, self.key_lengths, self.ids = hashes, stops - self.key_starts, np.fromiter(self.ranks.values(), np.int32, len(keys))
         self.known = Recent(KEPT)
+        self.pairs = [-1] * (1 << 16)  # ranks of two bytes
+        for key, r in self.ranks.items():
+            if len(key) == 2:
+                self.pairs[key[0] << 8 | key[1]] = r
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """The id of each run of bytes that is an entry of the vocabulary, and -1 for the others."""
@@ -113,9 +118,9 @@ class Vocabulary:
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of a run of bytes: of all neighbours that make an entry, those of the smallest rank, leftmost first, become one."""
-        rank, n = self.ranks.get, len(word)
+        rank, pair, n = self.ranks.get, self.pairs, len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a node is named by where it begins; after[k] is where it ends
-        heap = [(r, k, k + 2) for k in range(n - 1) if (r := rank(word[k : k + 2])) is not None]
+        heap = [(r, k, k + 2) for k, (x, y) in enumerate(zip(word, word[1:], strict=False)) if (r := pair[x << 8 | y]) >= 0]
         heapify(heap)
         while heap:
             _, k, stop = heappop(heap)
@@ -125,10 +130,13 @@ class Vocabulary:
             after[k], after[mid] = stop, -1
             if stop < n:
                 before[stop] = k
-                if (r := rank(word[k : after[stop]])) is not None:
-                    heappush(heap, (r, k, after[stop]))
-            if k and (r := rank(word[before[k] : stop])) is not None:
-                heappush(heap, (r, before[k], stop))
+                end = after[stop]
+                if (r := rank(word[k:end])) is not None:
+                    heappush(heap, (r, k, end))
+            if k:
+                first = before[k]
+                if (r := rank(word[first:stop])) is not None:
+                    heappush(heap, (r, first, stop))
         out, k = [], 0
         while k < n:
             out.append(self.ranks[word[k : after[k]]])
@@ -136,34 +144,23 @@ class Vocabulary:
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each has."""
-        pieces, per_text = [], []
-        for t in texts:
-            found = self.find(t)
-            per_text.append(len(found))
-            pieces += found
-        text = "".join(pieces)
-        raw = text.encode("utf-8", "surrogatepass")
-        data = np.frombuffer(raw, np.uint8)
-        stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        del pieces
-        if len(raw) > len(text):  # from characters to bytes
-            stops = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(raw))[stops]
-        starts = np.concatenate([np.zeros(1, np.int64), stops])[:-1]
-        ids = self.look_up(data, starts, stops)
-        missed = np.flatnonzero(ids < 0)
-        words = [raw[a:b] for a, b in zip(starts[missed].tolist(), stops[missed].tolist(), strict=True)]
-        new = self.known.missing(set(words))
+        """The ids of all texts, one after another, and how many each has. Each distinct pre-token is looked up once, if not remembered."""
+        found = [self.find(t) for t in texts]
+        new = self.known.missing(set().union(*found))
         held = self.known.young
-        held.update((w, np.array(self.merged(w), np.int32).tobytes()) for w in new)
-        packed = [held[w] for w in words]
+        self._learn(list(new), held)
+        out = [b"".join(map(held.__getitem__, own)) for own in found]
         self.known.shorten(new)
-        counts = np.ones(len(ids), np.int64)
-        counts[missed] = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        out = np.repeat(ids, counts)
-        out[np.repeat(ids < 0, counts)] = np.frombuffer(b"".join(packed), np.int32)
-        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
-        return out, np.diff(upto[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)])
+        return np.frombuffer(b"".join(out), np.int32), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+    def _learn(self, pieces: list[str], held: dict[str, bytes]) -> None:
+        """The packed ids of new pre-tokens: of all by the table, then of those that it does not have, one by one."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        stops = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        ids = self.look_up(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([np.zeros(1, np.int64), stops])[:-1], stops)
+        packed = ids.tobytes()
+        for k, (p, known) in enumerate(zip(pieces, (ids >= 0).tolist(), strict=True)):
+            held[p] = packed[4 * k : 4 * k + 4] if known else array("i", self.merged(raw[k])).tobytes()
 
 
 @cache
@@ -172,8 +169,11 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
+remembers("bytebpe", vocabulary.cache_clear)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    release()
+    release("bytebpe")
     own = vocabulary(path, pattern)
     for part, texts in blocks(batches):
         ids, counts = own.encode(texts)
@@ -182,7 +182,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    release()
+    release("bytebpe")
     own = vocabulary(path, pattern)
     for batch in batches:
         column, lo = batch.column(1), 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import numpy as np
@@ -15,8 +15,19 @@ import pyarrow.compute as pc
 BLOCK = 500_000
 
 
-def release() -> None:
-    """Give back what this worker has freed: Spark hands workers on to later stages, and the allocators would keep it."""
+_remembered: dict[str, Callable[[], object]] = {}
+
+
+def remembers(name: str, forget: Callable[[], object]) -> None:
+    """Name what a module remembers between tasks, and how a worker forgets it."""
+    _remembered[name] = forget
+
+
+def release(name: str | None = None) -> None:
+    """Forget what other work than the named remembers, and give back what is free: Spark hands workers on to later stages, and the allocators would keep it."""
+    for other, forget in _remembered.items():
+        if other != name:
+            forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # glibc alone has it
