@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.llm.common import written
-from assaylake.llm.textvec import blocks, release
+from assaylake.llm.textvec import blocks, release, remembers
 from assaylake.llm.tokens import Recent
 
 #: Pairs of ids that are broadcast (about 40 bytes each), and links of a group beyond which its distinct ids are expanded instead.
@@ -167,6 +167,9 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
 
 
+remembers("alignment", tokenizers.cache_clear)
+
+
 def united(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The smallest node of the component of each of n nodes, by union-find over all edges (u, v) together.
 
@@ -244,7 +247,7 @@ def _counted(of: np.ndarray, pair: np.ndarray, times: np.ndarray | None) -> tupl
 
 
 def _align(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    release()
+    release("alignment")
     own = tokenizers(a_path, b_path)
     for part, texts in blocks(batches):
         split = own.split(texts)
@@ -280,7 +283,7 @@ def _align(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Itera
 
 
 def _groups(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    release()
+    release("alignment")
     own = tokenizers(a_path, b_path)
     for part, texts in blocks(batches):
         rows = []

@@ -50,6 +50,7 @@ def fitted(frame: DataFrame, train: Callable[[pd.DataFrame], object], chars: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         kept, held = [], 0
         for batch in batches:
             upto = np.cumsum([len(t) for t in batch.column("text").to_pylist()]) + held

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.llm.common import discard, partitions, ranged, running_sums, work_path, written
-from assaylake.llm.textvec import release
+from assaylake.llm.textvec import release, remembers
 
 PACK_MAGIC, RECIPE_MAGIC = b"ALPACK1\n", b"ALRECP1\n"
 PACK_HEAD, RECIPE_HEAD, RECIPE_CHUNK = struct.Struct("<16sI"), struct.Struct("<qqqI32s"), struct.Struct("<16sI")
@@ -195,6 +195,7 @@ def _latin_1(text: str) -> bool:
 
 
 _encoders: dict[str, Encoder] = {}
+remembers("tokens", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -238,7 +239,7 @@ def _stage(batches: Iterator[pa.RecordBatch], path: str, end_id: int, folder: st
 
     Rows of a lost or repeated attempt never reach the table, so nothing refers to its file.
     """
-    release()
+    release("tokens")
     enc = encoder(path)
     store, at = fs.FileSystem.from_uri(folder)
     store.create_dir(at, recursive=True)
@@ -508,7 +509,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     pieces = recipes.select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip("digests", "lengths", "ends")).alias("c"))
     after = F.greatest(F.col("n_tokens") - F.col("c.ends"), F.lit(0)) * 4  # bytes behind the chunk
     pieces = pieces.select("doc_id", "start", "n_tokens", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"), after.alias("after"))
-    pieces = pieces.join(pool, "digest", "left")
+    # What files hold is unknown to Spark's planner, which would take the packs for small and broadcast them.
+    pieces = pieces.join(pool.hint("merge"), "digest", "left")
     pieces = pieces.withColumn("crc", F.when(F.col("n_ids") == F.col("length"), F.col("crc")).otherwise(F.raise_error(F.lit("a recipe names a chunk that the packs do not have")).cast("long")))
     sums = pieces.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor(F.pandas_udf(_shifted, "bigint")("crc", "after")).alias("ids_crc32"), F.sum("length").alias("held"))
     return sums.select("doc_id", "start", F.when(F.col("held") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe lacks ids")).cast("long")).alias("n_tokens"), "ids_crc32")

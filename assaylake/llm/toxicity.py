@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.llm.learn import Adam, char_hash, fit_logistic, fitted, grouped, held_out, letters, logistic, lower, novel, sample
-from assaylake.llm.textvec import blocks, codes, mix, powers, spans
+from assaylake.llm.textvec import blocks, codes, mix, powers, release, spans
 
 SAMPLE, BITS, EPOCHS, STRONG, SURE = 1500, 18, 25, 8.0, 3
 #: Occurrences in a document from which a feature counts as there.
@@ -234,6 +234,7 @@ def scores(docs: DataFrame, field: Field, with_spans: bool = False) -> DataFrame
 
 
 def _clean(batches: Iterator[pa.RecordBatch], field: Field, text: int) -> Iterator[pa.RecordBatch]:
+    release()
     for part, texts in blocks(batches, text):
         features, _, _, first, begins = tokenize(texts)
         score = logistic(summary(field.tokens(features, begins), first) @ field.score[:-1] + field.score[-1])
