@@ -128,9 +128,13 @@ def ordered_digest(order: Column, key: Column) -> Column:
 
 
 def byte_size(x: Column) -> Column:
+    """To one digit in the largest unit; a half goes to the even digit, as C and Python write doubles, where Java's formats round it up."""
     out = None
     for power, unit in ((4, "TiB"), (3, "GiB"), (2, "MiB"), (1, "KiB")):
-        text = F.format_string(f"%.1f {unit}", x / float(1024**power))
+        size = x.cast("double") / float(1024**power)
+        whole = F.floor(size)
+        tenths = whole * 10 + F.rint((size - whole) * 10).cast("bigint")  # exact: what is behind the point has few bits
+        text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
         out = text if out is None else F.when(x < 1024 ** (power + 1), text).otherwise(out)
     return F.when(x < 1024, F.concat(x.cast("bigint").cast("string"), F.lit(" B"))).otherwise(out)
 
