@@ -10,11 +10,15 @@ from assaylake.operators import order
 
 
 def delta_to(metrics: DataFrame, baseline: str, keys: list[str]) -> DataFrame:
-    """base - rmse of each model on the same fold; a fold without the baseline is an error."""
-    base = metrics.filter(F.col("model_id") == baseline).select(*keys, F.col("rmse").alias("base"))
-    out = metrics.join(base, keys, "left")
-    checked = F.when(F.col("base").isNotNull(), F.col("base") - F.col("rmse")).otherwise(F.raise_error(F.lit("a fold lacks the baseline")).cast("double"))
-    return out.withColumn("delta", checked)
+    """base - rmse of each model on the same fold; a fold without the baseline, or with several, is an error.
+
+    The base is found among the rows themselves: a second evaluation of the metrics may sum doubles in another order, and the
+    baseline would then differ from itself. A fold has a row for each model.
+    """
+    fold, own = W.partitionBy(*keys), F.when(F.col("model_id") == baseline, F.col("rmse"))
+    out = metrics.withColumns({"base": F.max(own).over(fold), "_bases": F.count(own).over(fold)})
+    checked = F.when(F.col("_bases") == 1, F.col("base") - F.col("rmse")).when(F.col("_bases") == 0, F.raise_error(F.lit("a fold lacks the baseline")).cast("double"))
+    return out.withColumn("delta", checked.otherwise(F.raise_error(F.lit("a fold has several baselines")).cast("double"))).drop("_bases")
 
 
 def summarize(deltas: DataFrame, by: list[str]) -> DataFrame:
