@@ -164,11 +164,18 @@ def out_of_range(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataF
 
 
 def unfit_matrix(rows: DataFrame, train: str, values: str = "values") -> DataFrame:
-    """Features that training cannot use: missing or not finite somewhere, or of one value in all training rows."""
-    found = sums.moments(rows.select(F.coalesce(train, F.lit(False)).alias("_train"), values), ["_train"], values)
+    """Features that training cannot use: missing or not finite somewhere, or of one value in all training rows.
+
+    n_values counts the distinct values of a feature in training rows: not a number is one, missing is none.
+    """
+    rows = rows.select(F.coalesce(train, F.lit(False)).alias("_train"), F.col(values).alias("_values"))
+    found = sums.moments(rows, ["_train"], "_values")
     each = found.select("_train", F.posexplode(F.arrays_zip("low", "high", "n_not_finite")).alias("pos", "s"))
     each = each.groupBy("pos").agg(F.sum("s.n_not_finite").alias("n_not_finite"), F.coalesce(F.max(F.when(F.col("_train"), F.col("s.low") != F.col("s.high"))), F.lit(False)).alias("varies"))
-    return each.filter("n_not_finite > 0 OR NOT varies")
+    unfit = sums.kept(each.filter("n_not_finite > 0 OR NOT varies"), "unfit-features")  # a row for each such feature
+    cells = rows.filter("_train").select(F.posexplode("_values").alias("pos", "value")).join(F.broadcast(unfit.select("pos")), "pos", "left_semi")
+    counted = cells.distinct().groupBy("pos").agg(F.count("value").alias("n_values"))  # values meet in tasks by value: none holds all of a feature
+    return unfit.join(counted, "pos", "left").select("pos", "n_not_finite", F.coalesce("n_values", F.lit(0)).cast("bigint").alias("n_values"), "varies")
 
 
 def not_identical(a: DataFrame, b: DataFrame, keys: list[str], score: str = "score", relative: float = 1e-9, absolute: float = 1e-12) -> DataFrame:

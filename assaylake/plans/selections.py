@@ -222,7 +222,7 @@ def settings_out_of_range(spark, d):
     return contracts.out_of_range(s, {"balance": (0, 5000), "nation": (3, 24)})
 
 
-@query("SELECT 0::INT AS pos, 0::BIGINT AS n_not_finite, false AS varies UNION ALL SELECT 1, (SELECT count(*) FROM embeddings WHERE vec_id % 5 = 0), (SELECT count(DISTINCT vec_id) > 1 FROM embeddings WHERE label % 10 < 8 AND vec_id % 5 <> 0)")
+@query("SELECT 0::INT AS pos, 0::BIGINT AS n_not_finite, 1::BIGINT AS n_values, false AS varies UNION ALL SELECT 1, (SELECT count(*) FROM embeddings WHERE vec_id % 5 = 0), (SELECT count(DISTINCT CASE WHEN vec_id % 5 <> 0 THEN vec_id END) + CASE WHEN count(*) FILTER (vec_id % 5 = 0 AND label % 10 < 8) > 0 THEN 1 ELSE 0 END FROM embeddings WHERE label % 10 < 8), (SELECT count(DISTINCT vec_id) > 1 FROM embeddings WHERE label % 10 < 8 AND vec_id % 5 <> 0)")
 def unfit_features(spark, d):
     rows = I.matrix(spark, d)
     odd = F.when(F.col("sample_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("sample_id").cast("double"))
