@@ -69,17 +69,24 @@ class Recent:
     def __init__(self, size: int):
         self.size, self.young, self.older = size, {}, {}
 
-    def missing(self, keys: set) -> set:
-        """Bring what is known of the keys into the young generation, and return the others."""
+    def turn(self) -> None:
+        """Begin a new generation where the young one is full."""
         if len(self.young) > self.size:
             self.older, self.young = self.young, {}
-        new = keys.difference(self.young)
+
+    def known(self, new: set) -> set:
+        """Bring what is known of keys that the young generation lacks into it, and return the others."""
         if self.older:
             known = [k for k in new if k in self.older]
             self.young.update((k, self.older[k]) for k in known)
             new.difference_update(known)
         return new
 
+    def missing(self, keys: set) -> set:
+        """Bring what is known of the keys into the young generation, and return the others."""
+        self.turn()
+        return self.known(keys.difference(self.young))
+
     def shorten(self, keys: set) -> None:
         """Forget the long ones of these keys: entries have a greatest size."""
         for k in keys:
@@ -91,8 +98,8 @@ class Encoder:
     """Ids of texts by the tokenizers library, word by word.
 
     The normalizer and the splitter of the word vocabulary never join what blanks and line ends part, so the ids of a text
-    are those of its words. Words of ASCII and Latin-1 letters are taken apart here as the splitter does, and the parts of many
-    new words go through the library's model as one text: a part's last id, and no other, is one of those that end a part. All
+    are those of its words. Words of ASCII and Latin-1 letters are taken apart here as the splitter does, and many distinct parts
+    that are new go through the library's model as one text: a part's last id, and no other, is one of those that end a part. All
     other words go through the whole library, and so do those of a vocabulary without such ids. A vocabulary whose file names
     another normalizer or splitter gets its texts whole.
     """
@@ -146,44 +153,66 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: set[str]) -> set[str]:
+        """Put new words among the young ones, and parts of words that are not known; returns what was put there."""
         words = self.words.young
         plain = [w for w in new if (w.isascii() and w.isprintable() or self.PLAIN.fullmatch(w)) and "<|" not in w] if self.ends.any() else []
-        find = self.PARTS.findall
-        for lo in range(0, len(plain), 4096):
-            some = plain[lo : lo + 4096]
-            split = [find(w.lower()) for w in some]
-            text = " ".join(chain.from_iterable(split))
+        whole = {w for w in plain if w.isalpha() and w.islower()}  # a part of its own
+        split = {w: self.PARTS.findall(w.lower()) for w in plain if w not in whole}
+        parts = self.words.known(set(chain.from_iterable(split.values())).difference(words, whole)) | whole
+        every = list(parts)
+        for lo in range(0, len(every), 4096):
+            some = every[lo : lo + 4096]
+            text = " ".join(some)
             for c in set(text).difference(ASCII):
                 text = text.replace(c, self.written[c])
             ids = np.array(self.parts.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-            stops = np.flatnonzero(self.ends[ids])[np.cumsum(np.fromiter(map(len, split), np.int64, len(split))) - 1] + 1  # one of each word
-            data, at = ids.tobytes(), [0, *(stops * self.width).tolist()]
-            words.update((w, data[a:b]) for w, a, b in zip(some, at, at[1:], strict=False))
+            data, at = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()]
+            words.update(zip(some, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        words.update({w: b"".join([words[p] for p in own]) for w, own in split.items()})
         others = list(new.difference(plain))
         words.update((w, self.packed(x.ids)) for w, x in zip(others, self.whole.encode_batch_fast(others, add_special_tokens=False), strict=True))
+        return parts | new
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text; texts are taken together to look up their new words at once."""
+    def joined(self, texts: list[str], tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other and each with the packed tail behind it, and how many each text then has.
+
+        Texts are taken together: each distinct word is looked up once, and ids are gathered by the numbers of words.
+        """
         if not self.known:
-            return [self.packed(x.ids) for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        split = []
+            packed = [self.packed(x.ids) + tail for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.frombuffer(b"".join(packed), self.kind), np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        clean = []
         for text in texts:
             # Case folding is the normalizer's own; done before, it spares entries. Special tokens keep their case.
             if "<|" not in text and (text.isascii() or _latin_1(text)):
                 text = text.lower()
                 if not self.RUNS.search(text):  # stops and commas then are parts of their own, and need not make words of their own
                     text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
-            split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        every = set().union(*split)
-        every.discard("")
-        new = self.words.missing(every)
-        self._learn(new)
+            clean.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " "))
+        clean.append("")  # no word has a line end by now: one stands behind each text
+        every = pc.split_pattern(pa.array([" \n ".join(clean)], pa.large_string()), " ").values.dictionary_encode()
+        distinct, number = every.dictionary.to_numpy(zero_copy_only=False).tolist(), every.indices.to_numpy()
+        self.words.turn()
         words = self.words.young
-        words[""] = b""
-        out = [b"".join(map(words.__getitem__, parts)) for parts in split]
-        self.words.shorten(new)
-        return out
+        words[""], words["\n"] = b"", tail
+        packed = list(map(words.get, distinct))
+        if new := {w for w, x in zip(distinct, packed, strict=True) if x is None}:
+            put = self._learn(self.words.known(new))
+            packed = [words[w] if x is None else x for w, x in zip(distinct, packed, strict=True)]
+            self.words.shorten(put)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        first, pool = np.cumsum(size) - size, np.frombuffer(b"".join(packed), self.kind)
+        sizes = size[number]
+        stops = np.cumsum(sizes)
+        ids = pool[np.repeat(first[number] - stops + sizes, sizes) + np.arange(int(sizes.sum()))]
+        return ids, np.diff(stops[number == distinct.index("\n")], prepend=0) if texts else np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        ids, lengths = self.joined(texts)
+        data, at = ids.tobytes(), [0, *(np.cumsum(lengths) * self.width).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def _latin_1(text: str) -> bool:
@@ -253,14 +282,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], enc: Encoder, end_id: int, file:
     end, width = np.array([end_id], enc.kind).tobytes(), enc.width
     seen = Recent(DIGESTS)  # chunks that this task has handed on; one forgotten is put aside again, and the packs hold it once
     for doc_ids, texts in _groups(batches):
-        packed = [x + end for x in enc.encode(texts)]
-        lengths = np.array([len(x) // width for x in packed])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        pieces: list[tuple[bytes, bytes]] = []
-        ends = cuts(np.frombuffer(b"".join(packed), enc.kind), starts)
-        for data, begin, own in zip(packed, starts.tolist(), ends, strict=True):
-            at = [0, *((stop - begin) * width for stop in own)]
-            pieces += [(hashlib.blake2b(x, digest_size=16).digest(), x) for x in (data[a:b] for a, b in zip(at, at[1:], strict=False))]
+        ids, lengths = enc.joined(texts, end)
+        ends = cuts(ids, np.cumsum(lengths) - lengths)
+        data, at = ids.tobytes(), [0, *(stop * width for stop in chain.from_iterable(ends))]
+        pieces = [(hashlib.blake2b(x, digest_size=16).digest(), x) for x in (data[a:b] for a, b in zip(at, at[1:], strict=False))]
         new = seen.missing({d for d, _ in pieces})
         offsets: list[int | None] = []
         for digest, piece in pieces:
